@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csift.llm import chat, exact_dedup, mixing
+from csift.llm import bpe, chat, exact_dedup, html_text, media, mixing, simhash
 from csift.llm.common import table
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,14 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,6 +64,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.chat_windows(turns))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def _escaped(x: str) -> str:
     x = f"replace({x}, chr(92), chr(92) || 'b')"
     for mark in ("[INST]", "[/INST]"):
@@ -86,9 +102,13 @@ FROM g GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op1_media_columns": op1_media_columns,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_html_extraction": op3_html_extraction,
+        "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
         "op6_chat": op6_chat,
+        "op8_bpe": op8_bpe,
     }
 
 
