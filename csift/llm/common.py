@@ -19,11 +19,17 @@ def durable(df: DataFrame) -> DataFrame:
 
     Later reads survive the loss of executors. A folder of our own is set only where the session names none, as in tests.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="csift-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

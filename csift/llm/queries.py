@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csift.llm import bpe, chat, exact_dedup, html_text, media, mixing, simhash
+from csift.llm import bpe, chat, exact_dedup, html_text, licenses, media, mixing, quality, simhash, toxicity
 from csift.llm.common import table
 
 
@@ -64,10 +64,28 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.chat_windows(turns))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _escaped(x: str) -> str:
     x = f"replace({x}, chr(92), chr(92) || 'b')"
     for mark in ("[INST]", "[/INST]"):
@@ -108,7 +126,11 @@ def queries() -> dict:
         "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
         "op6_chat": op6_chat,
+        "op7_license_scan": op7_license_scan,
         "op8_bpe": op8_bpe,
+        "op9_quality": op9_quality,
+        "op10_toxicity": op10_toxicity,
+        "pipeline": pipeline,
     }
 
 
