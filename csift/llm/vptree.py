@@ -81,7 +81,7 @@ def linked_groups(codes: np.ndarray, reach: int, small: int = 768) -> np.ndarray
             d = np.bitwise_count(codes[idx] ^ codes[idx[len(idx) // 2]]).astype(np.int16)
             radius = int(np.median(d))
             inside, outside = idx[d - reach <= radius], idx[d > radius]
-            if len(inside) + len(outside) <= 1.5 * len(idx):
+            if len(inside) <= 0.9 * len(idx) and len(inside) + len(outside) <= 1.5 * len(idx):
                 todo += [inside, outside]
                 continue
         step = max(1, (1 << 21) // len(idx))
