@@ -41,6 +41,17 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def hash_sample(df: DataFrame, column: str, sample: int) -> DataFrame:
+    """About `sample` rows of df, or all if it has no more: those whose hash of the column is under a bound.
+
+    No task and no driver gathers more than the sample, however many partitions there are.
+    """
+    count = df.count()
+    if count <= sample:
+        return df
+    return df.filter(F.pmod(F.xxhash64(column, F.lit(29)), F.lit(1 << 40)) < int((1 << 40) * sample / count))
+
+
 def row_identity():
     """Numbers rows; only of use in a table that is made durable right after."""
     return F.monotonically_increasing_id()

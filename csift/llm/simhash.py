@@ -8,8 +8,8 @@ block's code may meet by the triangle bound. With BLOCKS = 4 the radius is 0 and
 the results are the same, but balls overlap more boundaries and rows are copied more often (measured: 13.5, 8.7 and 4
 rows a fingerprint for 1, 2 and 4). Within a shard the vantage split goes on over all 64 bits with radius REACH, codes
 within reach of a boundary in both parts, and the last parts are compared exactly. A shard beyond PART rows is dealt
-out as pairs of its parts. Shards return stars, not pairs; their components are found in Spark. The sample has at most
-SAMPLE fingerprints; nothing else reaches the driver.
+out as pairs of its parts. Shards return stars, not pairs; their components are found in Spark. The sample has about
+SAMPLE fingerprints at most; nothing else reaches the driver.
 
 Defined results: null text is empty, no word gives fingerprint zero; component_id ignores null doc_ids unless a
 component has no other; repeated rows share fingerprint and component; an empty table gives an empty result; other
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from csift.llm.common import durable, slices, whole_text
+from csift.llm.common import durable, hash_sample, slices, whole_text
 from csift.llm.components import stars
 from csift.llm.vptree import VantageTree, linked_groups
 
@@ -34,7 +34,7 @@ SHINGLE = 3
 SEED = 42
 REACH = 3
 BLOCKS = 4
-SAMPLE = 1 << 17
+SAMPLE = 1 << 16
 LEAF = 4096
 PART = 1 << 15
 BITS = 64
@@ -94,7 +94,7 @@ def links(points: DataFrame, reach: int = REACH, blocks: int = BLOCKS, sample: i
     if BITS % blocks:
         raise ValueError("blocks must divide the number of bits")
     spark, count = points.sparkSession, points.count()
-    drawn = points.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(sample).select("fingerprint").toPandas()["fingerprint"].to_numpy(np.int64).view(np.uint64)
+    drawn = np.sort(hash_sample(points, "fingerprint", sample).select("fingerprint").toPandas()["fingerprint"].to_numpy(np.int64)).view(np.uint64)
     size = max(4, leaf * len(drawn) // max(1, count))
     trees = spark.sparkContext.broadcast([VantageTree.build(block_codes(drawn, b, blocks), size) for b in range(blocks)])
 
