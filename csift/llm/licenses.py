@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from csift.llm.common import slices
+from csift.llm.common import hash_sample, slices
 from csift.llm.linear import Rows, fit_softmax, softmax
 
 NEGATIVES = 400
@@ -215,9 +215,9 @@ def train(lines: list[str], seed: int = 3) -> Model:
 def sample_lines(docs: DataFrame, sample: int = NEGATIVES) -> list[str]:
     """The line of each of `sample` documents, chosen by a hash, that a hash of the document points to."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    chosen = docs.select("text").filter(F.length(F.trim("text")) > 0).withColumn("_h", F.xxhash64("text")).orderBy("_h", F.length("text")).limit(sample)
+    chosen = hash_sample(docs.select("doc_id", "text"), "doc_id", sample).filter(F.length(F.trim("text")) > 0).withColumn("_h", F.xxhash64("text"))
     line = F.get(lines, F.pmod(F.col("_h"), F.greatest(F.size(lines), F.lit(1))).cast("int"))
-    return [x[0] for x in chosen.select(F.substring(line, 1, 2000)).collect() if x[0]]
+    return [x[0] for x in chosen.select(F.substring(line, 1, 2000)).distinct().collect() if x[0]]
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
