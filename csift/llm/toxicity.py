@@ -12,7 +12,6 @@ rows score alike; an empty table gives an empty result; other columns don't matt
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from csift.llm.common import slices
+from csift.llm.common import durable, slices
 from csift.llm.linear import Rows, fit_cumulative, sigmoid
 from csift.llm.quality import held_out_column, labelled
 
@@ -50,41 +49,53 @@ class Model:
         return sigmoid(sum(get(t, 0.0) for t in sorted(self.weights.keys() & terms_of(text))) - np.array(self.cuts))
 
 
-def fit(found: list[set[str]], toxic: np.ndarray, shrink: float = SHRINK) -> Model:
-    """found: the terms of each text."""
-    if len(toxic) == 0 or toxic.min() == toxic.max():
-        return Model({}, (50.0,) * (LEVELS - 1))
-    yes, no = Counter(), Counter()
-    for terms, label in zip(found, toxic):
-        (yes if label else no).update(terms)
-    n_yes, n_no = int(toxic.sum()), int(len(toxic) - toxic.sum())
+def telling(a, b, n_yes: int, n_no: int):
+    """z of the difference of smoothed logarithmic odds of a term in a of n_yes toxic and b of n_no other texts."""
+    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    c, d = n_yes - a + 0.5, n_no - b + 0.5
+    a, b = a + 0.5, b + 0.5
+    return np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
 
-    def telling(t: str) -> float:
-        """z of the difference of logarithmic odds, smoothed."""
-        a, b, c, d = yes[t] + 0.5, n_yes - yes[t] + 0.5, no[t] + 0.5, n_no - no[t] + 0.5
-        return (np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
 
-    z = {t: telling(t) for t in yes.keys() | no.keys() if yes[t] + no[t] >= LEAST}
-    chosen = sorted(z, key=lambda t: (-abs(z[t]), t))[:TERMS]
-    strong = {t for t in chosen if z[t] > 4 and yes[t] / n_yes > 10 * no[t] / n_no}
-    grades = np.array([0 if not label else 2 if len(terms & strong) >= STRONG else 1 for terms, label in zip(found, toxic)])
-    index = {t: i for i, t in enumerate(chosen)}
-    weights, cuts = fit_cumulative(Rows.of([sorted(x) for x in found], index), grades, LEVELS, shrink)
-    return Model({t: float(weights[i]) for t, i in index.items() if abs(weights[i]) > 1e-4}, tuple(float(c) for c in cuts))
+def fit(terms: list[str], yes: np.ndarray, no: np.ndarray, rows: Rows, toxic: np.ndarray, shrink: float = SHRINK) -> Model:
+    """terms: features, with the numbers of toxic and of other texts that have them; rows: which text has which."""
+    n_yes, n_no = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    if not n_yes or not n_no:
+        return Model({}, (50.0,) * (LEVELS - 1))
+    strong = (telling(yes, no, n_yes, n_no) > 4) & (yes / n_yes > 10 * no / n_no)
+    grades = np.where(toxic == 0, 0, np.where(rows.times(strong.astype(np.float64)) >= STRONG, 2, 1))
+    weights, cuts = fit_cumulative(rows, grades, LEVELS, shrink)
+    return Model({t: float(w) for t, w in zip(terms, weights) if abs(w) > 1e-4}, tuple(float(c) for c in cuts))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Executors send the driver the sample's distinct terms, not its texts."""
+    """Counts of terms are made in Spark; the driver gets at most TERMS terms, and which of them the sample's texts have."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
             found = pa.array([sorted(terms_of(x)) for x in part.column("text").to_pylist()], pa.list_(pa.string()))
             yield pa.record_batch([part.column("doc_id"), part.column("label"), found], ["doc_id", "label", "terms"])
 
     chosen = labelled(docs, labels, "toxic", sample).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_csift_label").cast("long").alias("label"), F.col("text").cast("string").alias("text"))
-    rows = chosen.mapInArrow(run, "doc_id long, label long, terms array<string>").toPandas()
-    order = sorted(range(len(rows)), key=lambda i: (rows["doc_id"][i], list(rows["terms"][i])))
-    return fit([set(rows["terms"][i]) for i in order], np.array([rows["label"][i] for i in order], np.int64))
+    texts = durable(chosen.mapInArrow(split, "doc_id long, label long, terms array<string>"))
+    n_yes, n = texts.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    if not n_yes or n_yes == n:
+        return Model({}, (50.0,) * (LEVELS - 1))
+    counts = texts.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("yes"), (F.count(F.lit(1)) - F.sum("label")).alias("no"))
+    a, b, c, d = F.col("yes") + 0.5, F.col("no") + 0.5, F.lit(n_yes) - F.col("yes") + 0.5, F.lit(n - n_yes) - F.col("no") + 0.5
+    z = F.abs(F.log(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+    top = counts.filter(F.col("yes") + F.col("no") >= LEAST).orderBy(F.round(z, 9).desc(), "term").limit(TERMS).collect()
+    index = docs.sparkSession.sparkContext.broadcast({r["term"]: i for i, r in enumerate(top)})
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [[index.value[t] for t in terms if t in index.value] for terms in batch.column("terms").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(held, pa.list_(pa.int32()))], ["doc_id", "label", "held"])
+
+    found = texts.mapInArrow(numbered, "doc_id long, label long, held array<int>").toPandas().sort_values("doc_id", kind="stable")
+    held = [np.asarray(x, np.int64) for x in found["held"]]
+    rows = Rows(np.repeat(np.arange(len(held)), [len(x) for x in held]), np.concatenate(held), (len(held), len(top)))
+    return fit([r["term"] for r in top], np.array([r["yes"] for r in top]), np.array([r["no"] for r in top]), rows, found["label"].to_numpy(np.int64))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
