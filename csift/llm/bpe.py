@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from csift.llm.common import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Bytes of text that a worker has in arrays at a time.
+SLICE = 1 << 20
 
 # Classes of code points.
 LETTER, ONE, R, V, L, E, NUMBER, SPACE, WHITE, QUOTE, OTHER, END = range(12)
@@ -133,7 +135,7 @@ def boundaries(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Ranks of byte strings, and for pairs of tokens what they merge to."""
 
-    CACHED = 400_000
+    CACHED = 150_000
     ROUNDS_UP_TO = 32
 
     def __init__(self, lines: bytes):
@@ -147,7 +149,7 @@ class Vocabulary:
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, r = np.array(pairs, np.int64).T
         self._hashed(a << 20 | b, r)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}  # ids as 32-bit integers
 
     NEVER = np.int64(1 << 40)
 
@@ -178,14 +180,14 @@ class Vocabulary:
             out[hit] = self.values[at[hit]]
         return out
 
-    def _rounds(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _rounds(self, pieces: list[bytes]) -> list[bytes]:
         """In each round every piece merges its pair of least rank, the leftmost first."""
         width = max(map(len, pieces))
         lengths = np.array([len(p) for p in pieces])
         inside = np.arange(width) < lengths[:, None]
         parts = np.full((len(pieces), width), -1, np.int64)
         parts[inside] = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
-        done: list = [None] * len(pieces)
+        done: list[bytes] = [b""] * len(pieces)
         rows, columns = np.arange(len(pieces)), np.arange(width)
         ranks = np.full(parts.shape, self.NEVER)
         ranks[:, :-1] = self.merged(parts[:, :-1], parts[:, 1:])
@@ -194,7 +196,7 @@ class Vocabulary:
             value = np.take_along_axis(ranks, best[:, None], 1)[:, 0]
             over = value == self.NEVER
             for k in np.nonzero(over)[0]:
-                done[rows[k]] = parts[k][parts[k] >= 0].astype(np.int32)
+                done[rows[k]] = parts[k][parts[k] >= 0].astype(np.int32).tobytes()
             rows, parts, ranks, best, value = rows[~over], parts[~over], ranks[~over], best[~over], value[~over]
             if not len(rows):
                 break
@@ -217,7 +219,7 @@ class Vocabulary:
             ranks[at, left] = np.where(best > 0, self.merged(parts[at, left], value), ranks[at, left])
         return done
 
-    def _long(self, piece: bytes) -> np.ndarray:
+    def _long(self, piece: bytes) -> bytes:
         """The same for one long piece, with a heap of pairs."""
         n = len(piece)
         parts = self.bytes[np.frombuffer(piece, np.uint8)].tolist()
@@ -240,9 +242,9 @@ class Vocabulary:
                     heapq.heappush(heap, (new, i, ends[k]))
             if (h := before[i]) >= 0 and (new := rank(piece[h:end])) is not None:
                 heapq.heappush(heap, (new, h, end))
-        return np.array([p for p, a in zip(parts, alive) if a], np.int32)
+        return np.array([p for p, a in zip(parts, alive) if a], np.int32).tobytes()
 
-    def pieces(self, distinct: list[bytes]) -> list[np.ndarray]:
+    def pieces(self, distinct: list[bytes]) -> list[bytes]:
         """Ids of each piece, through the cache."""
         if len(self.known) > self.CACHED:
             self.known.clear()
@@ -250,7 +252,7 @@ class Vocabulary:
         for piece in distinct:
             if piece not in known:
                 if (r := self.ranks.get(piece)) is not None:
-                    known[piece] = np.array([r], np.int32)
+                    known[piece] = r.to_bytes(4, "little")
                 elif len(piece) > self.ROUNDS_UP_TO:
                     known[piece] = self._long(piece)
                 else:
@@ -275,8 +277,8 @@ class Vocabulary:
         ends = np.append(places[at], places[-1]).astype(np.int32)
         encoded = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
         merged = self.pieces(encoded.dictionary.to_pylist())
-        counts = np.array([len(x) for x in merged], np.int64)
-        table = np.concatenate(merged) if merged else np.zeros(0, np.int32)
+        counts = np.array([len(x) // 4 for x in merged], np.int64)
+        table = np.frombuffer(b"".join(merged), "<i4")
         heads = np.cumsum(counts) - counts
         which = encoded.indices.to_numpy()
         each = counts[which]
@@ -324,7 +326,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(lines.value)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             ids, offsets, begin = words.encode(part.column("text"))
             lists = [pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, offsets)]
             yield pa.record_batch([part.column("doc_id"), *lists], ["doc_id", "ids", "offsets"])
@@ -355,7 +357,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(lines.value)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             ids, _, begin = words.encode(part.column("text"))
             sums = [hashlib.sha256(memoryview(ids[i:j].astype("<u4"))).hexdigest() for i, j in zip(begin[:-1], begin[1:])]
             back = [hashlib.sha256(x).hexdigest() for x in words.decode(ids, begin)]
