@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from csift.llm.common import whole_text
+from csift.llm.common import hash_sample, whole_text
 from csift.llm.linear import Dense, fit_logistic, sigmoid
 
 SAMPLE = 12_000
@@ -35,8 +35,8 @@ def held_out_column() -> Column:
 def statistics(text: str = "text") -> dict[str, Column]:
     """Ratios are 0 where there is nothing to count."""
     whole = whole_text(text)
-    words = F.filter(F.split(whole, r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    lines = F.filter(F.split(whole, "\n"), lambda x: F.trim(x) != "")
+    words = F.array_remove(F.split(whole, r"[\x20\x09-\x0D]+"), "")
+    lines = F.array_remove(F.split(whole, "\n"), "")
     chars, count = F.length(whole), F.size(words)
 
     def ratio(part: Column, of: Column) -> Column:
@@ -149,15 +149,10 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, sh
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """docs of at most `sample` labelled doc_ids that aren't held out, chosen by a hash, with _csift_label."""
-    chosen = (
-        labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out_column())
-        .groupBy("doc_id")
-        .agg(F.min(label).alias("_csift_label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    """docs of about `sample` labelled doc_ids at most that aren't held out, chosen by a hash, with _csift_label."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out_column())
+    chosen = hash_sample(known, "doc_id", sample).groupBy("doc_id").agg(F.min(label).alias("_csift_label"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[Rule], float]:
@@ -178,9 +173,11 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     found = statistics()
     used = sorted({i for r in rules for i, _, _ in r.conditions})
     names = list(found)
-    held = docs.withColumn("_csift_statistics", F.struct(F.lit(0.0).alias("_none"), *[found[names[i]].alias(names[i]) for i in used]))
+    # the row's number keeps Spark from computing the statistics once for each rule that a filter names
+    held = docs.withColumn("_csift_statistics", F.struct(F.monotonically_increasing_id().alias("_row"), *[found[names[i]].alias(names[i]) for i in used]))
     columns = [F.col(f"_csift_statistics.{n}") if i in used else F.lit(0.0) for i, n in enumerate(names)]
-    return held.withColumn("_csift_score", score_column(rules, intercept, columns)).drop("_csift_statistics")
+    score = F.when(F.col("_csift_statistics._row") >= 0, score_column(rules, intercept, columns))
+    return held.withColumn("_csift_score", score).drop("_csift_statistics")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **parameters) -> DataFrame:
