@@ -232,6 +232,8 @@ def sql_text(text: str) -> str:
 
 def corpus(part: DataFrame, sources: list[str]) -> DataFrame:
     """path and content, one file a row: its template is the key's remainder."""
+    # narrow rows are dealt out before they become files: analysing a file costs far more than moving its key
+    part = part.select("p_partkey", "p_size").repartition(part.sparkSession.sparkContext.defaultParallelism * 2, "p_partkey")
     key, size = F.col("p_partkey"), F.col("p_size")
     which = key % len(sources)
     content = None

@@ -12,6 +12,11 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 IDENTIFIER = r"\b[a-zA-Z_]\w*\b"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row: a column that lambdas name would be put into them, and computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalized_newlines(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
 

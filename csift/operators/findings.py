@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from csift.functions.lexing import fingerprint, mask_literals, split_lines, suppressions
+from csift.functions.lexing import fingerprint, let, mask_literals, split_lines, suppressions
 from csift.rules import catalog
 from csift.rules.facts import fact_rules
 from csift.rules.lines import HIT, ONLY_WITHOUT_FACTS, line_rules
@@ -48,32 +48,40 @@ def with_hits(parses: DataFrame, numbers, mode: str = HYBRID, extra_banned=None,
 
 def exploded(rows: DataFrame) -> DataFrame:
     """One row a hit, with its place in the order of emission; outer, then filtered, so that no rule is evaluated twice."""
-    out = rows.select("path", "content", "parse.confidence", F.posexplode_outer("hits").alias("emit_idx", "hit"))
+    out = rows.select("path", "parse.confidence", F.posexplode_outer("hits").alias("emit_idx", "hit"))
     return out.filter("hit is not null")
 
 
-def findings(rows: DataFrame, prefix: str = catalog.PREFIX, overrides: dict[str, str] | None = None, suppress: bool = True, keyword: str = "csift") -> DataFrame:
+def findings(rows: DataFrame, prefix: str = catalog.PREFIX, overrides: dict[str, str] | None = None, suppress: bool = True, keyword: str = "csift", numbers=None) -> DataFrame:
     """All columns of findings, from file rows with hits: suppressed ones left out, the first of equal (rule, line, message) kept.
 
+    numbers: the rules that the hits are of, if not all; the plan then holds only their texts.
+
     A rule's severity is overridden before rule 001 lowers a bounded copy to Low.
     """
-    directives = suppressions(F.col("content"), keyword) if suppress else F.array().cast("array<struct<line:int,rule_id:string>>")
+    none = F.array().cast("array<struct<line:int,rule_id:string>>")
     named = lambda h: F.concat(F.lit(f"{prefix}-"), F.lpad(h["rule"].cast("string"), 3, "0"))
-    hidden = lambda h: F.exists(F.col("_directives"), lambda d: (d["line"] == h["line"]) & ((d["rule_id"] == "*") | (d["rule_id"] == F.upper(named(h)))))
-    told = rows.withColumn("_directives", directives).withColumn("hits", F.filter("hits", lambda h: ~hidden(h)))
+
+    def shown(s: Column) -> Column:
+        hidden = lambda h: F.exists(s["directives"], lambda d: (d["line"] == h["line"]) & ((d["rule_id"] == "*") | (d["rule_id"] == F.upper(named(h)))))
+        return F.filter(s["hits"], lambda h: ~hidden(h))
+
+    def first(hits: Column) -> Column:
+        key = lambda h: F.struct(h["rule"], h["line"], h["message"])
+        return let(F.transform(hits, key), lambda keys: F.filter(hits, lambda h, i: F.array_position(keys, key(h)) == i + 1))
+
+    # a file without hits has no use for its directives
+    directives = F.when(F.size("hits") > 0, suppressions(F.col("content"), keyword)).otherwise(none) if suppress else none
+    kept = let(F.struct(F.col("hits").alias("hits"), directives.alias("directives")), shown)
     # the line pass comes first, then facts; among equal ones the first stays
-    told = told.withColumn("hits", F.transform(F.array_sort(F.transform("hits", lambda h, i: F.struct(h["pass"].alias("pass"), i.alias("i"), h.alias("h")))), lambda x: x["h"]))
-    keyed = F.transform("hits", lambda h: h.withField("message", catalog.message_column(h["rule"], h["parameters"])))
-    told = told.withColumn("hits", keyed)
-    key = lambda h: F.struct(h["rule"], h["line"], h["message"])
-    told = told.withColumn("_keys", F.transform("hits", key)).withColumn(
-        "hits", F.filter("hits", lambda h, i: F.array_position(F.col("_keys"), key(h)) == i + 1)
-    )
-    out = exploded(told.withColumn("_raw", split_lines(F.col("content"))).select("path", F.struct("_raw").alias("content"), "parse", "hits"))
+    ordered = F.transform(F.array_sort(F.transform(kept, lambda h, i: F.struct(h["pass"].alias("pass"), i.alias("i"), h.alias("h")))), lambda x: x["h"])
+    told = let(F.transform(ordered, lambda h: h.withField("message", catalog.message_column(h["rule"], h["parameters"], numbers))), first)
+    raw_lines = let(split_lines(F.col("content")), lambda lines: F.transform("hits", lambda h: h.withField("raw", F.get(lines, h["line"] - 1))))
+    out = exploded(rows.select("path", "content", "parse", told.alias("hits")).withColumn("hits", F.when(F.size("hits") > 0, raw_lines)))
     rule, parameters, line = F.col("hit.rule"), F.col("hit.parameters"), F.col("hit.line")
-    fix, automatic, suggested = catalog.fix_columns(rule, parameters)
-    raw = F.get(F.col("content._raw"), line - 1)
-    by_rule = lambda value: F.element_at(F.create_map(*[F.lit(y) for r in catalog.RULES for y in (r.number, value(r))]), rule)
+    fix, automatic, suggested = catalog.fix_columns(rule, parameters, numbers)
+    raw = F.col("hit.raw")
+    by_rule = lambda value: F.element_at(F.create_map(*[F.lit(y) for r in catalog.RULES if numbers is None or r.number in numbers for y in (r.number, value(r))]), rule) if numbers is None or len(numbers) else F.lit(None).cast("string")
     severity = by_rule(lambda r: (overrides or {}).get(catalog.rule_id(r.number, prefix), r.impact))
     out = out.select(
         named(F.col("hit")).alias("rule_id"),

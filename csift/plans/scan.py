@@ -96,7 +96,7 @@ def scan_files(files: DataFrame, config: ScanConfig = ScanConfig(), target: str
     facts = config.mode != REGEX
     parses = parsed(readable, facts, config.allocators, config.reallocators, config.deallocators).persist(StorageLevel.MEMORY_AND_DISK)
     rows = with_hits(parses, config.numbers, config.mode, config.banned, config.reallocators)
-    found = findings(rows, config.prefix, config.overrides, config.suppress, config.keyword)
+    found = findings(rows, config.prefix, config.overrides, config.suppress, config.keyword, config.numbers)
     if custom:
         found = found.unionByName(hits_of(parses, custom, config))
     found = at_least(found, config.severity).persist(StorageLevel.MEMORY_AND_DISK)

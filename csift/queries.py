@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rule_query(number: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = corpus(table(spark, sf_dir, "part"), sources_of(number))
-        return findings(with_hits(parsed(files), [number])).select(*FOUND)
+        return findings(with_hits(parsed(files), [number]), numbers=[number]).select(*FOUND)
 
     run.__doc__ = f"Findings of rule {number} in its corpus."
     return run
@@ -80,7 +80,7 @@ def mixed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_findings(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    return findings(mixed_hits(spark, sf_dir), **how)
+    return findings(mixed_hits(spark, sf_dir), numbers=MIXED, **how)
 
 
 def mixed_sql(suppressed_too: bool = False) -> str:
@@ -249,7 +249,7 @@ FROM l WHERE trim(line) <> '' GROUP BY 1
 def file_summary(spark, sf_dir):
     """Counts by severity of every file, clean ones too."""
     rows = mixed_hits(spark, sf_dir)
-    return summary.file_summaries(rows, findings(rows)).select("file_path", "lines_of_code", *[F.col(c).cast("long").alias(c) for c in ("issues_count", "high_count", "medium_count", "low_count")], "status", "parser", "confidence")
+    return summary.file_summaries(rows, findings(rows, numbers=MIXED)).select("file_path", "lines_of_code", *[F.col(c).cast("long").alias(c) for c in ("issues_count", "high_count", "medium_count", "low_count")], "status", "parser", "confidence")
 
 
 FILE_SQL = f"""
@@ -263,7 +263,7 @@ FROM c LEFT JOIN f ON c.path = f.file_path GROUP BY path, content
 def severity_totals(spark, sf_dir):
     """One row over all files."""
     rows = mixed_hits(spark, sf_dir)
-    return summary.totals(summary.file_summaries(rows, findings(rows)))
+    return summary.totals(summary.file_summaries(rows, findings(rows, numbers=MIXED)))
 
 
 TOTALS_SQL = f"""
@@ -324,7 +324,7 @@ TIERS = ["int a_@K(void) { return @N; }\n", "int b_@K(int n) {\n  return n +;\n}
 def status_histogram(spark, sf_dir):
     """How many files were parsed how; every status has a row."""
     parses = parsed(corpus(table(spark, sf_dir, "part"), TIERS)).persist(StorageLevel.MEMORY_AND_DISK)
-    none = findings(with_hits(parses, []))
+    none = findings(with_hits(parses, []), numbers=[])
     return summary.status_histogram(summary.file_summaries(parses, none))
 
 

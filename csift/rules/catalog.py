@@ -202,10 +202,12 @@ def _filled(template: str, parameters: Column) -> Column:
     return F.concat(*parts)
 
 
-def _chosen(table: dict, value, rule: Column, parameters: Column) -> Column:
+def _chosen(table: dict, value, rule: Column, parameters: Column, numbers=None) -> Column:
     """value(entry) of the entry that a hit's rule and form name, else null; one branch a rule."""
     by_rule: dict[int, dict[str, Column]] = {}
     for (number, form), entry in table.items():
+        if numbers is not None and number not in numbers:
+            continue
         by_rule.setdefault(number, {})[form] = value(entry)
     out = None
     for number, forms in by_rule.items():
@@ -216,17 +218,17 @@ def _chosen(table: dict, value, rule: Column, parameters: Column) -> Column:
             for form, column in forms.items():
                 inner = F.when(F.get(parameters, F.lit(0)) == form, column) if inner is None else inner.when(F.get(parameters, F.lit(0)) == form, column)
         out = F.when(rule == number, inner) if out is None else out.when(rule == number, inner)
-    return out
+    return F.lit(None).cast("string") if out is None else out
 
 
-def message_column(rule: Column, parameters: Column) -> Column:
-    return _chosen(MESSAGES, lambda t: _filled(t, parameters), rule, parameters)
+def message_column(rule: Column, parameters: Column, numbers=None) -> Column:
+    return _chosen(MESSAGES, lambda t: _filled(t, parameters), rule, parameters, numbers)
 
 
-def fix_columns(rule: Column, parameters: Column) -> tuple[Column, Column, Column]:
+def fix_columns(rule: Column, parameters: Column, numbers=None) -> tuple[Column, Column, Column]:
     """fix_type, auto_fix_replacement, suggested_fix_replacement."""
-    kind = F.coalesce(_chosen(FIXES, lambda x: F.lit(x[0]), rule, parameters), F.lit(MANUAL))
-    text = _chosen(FIXES, lambda x: _filled(x[1], parameters), rule, parameters)
+    kind = F.coalesce(_chosen(FIXES, lambda x: F.lit(x[0]), rule, parameters, numbers), F.lit(MANUAL))
+    text = _chosen(FIXES, lambda x: _filled(x[1], parameters), rule, parameters, numbers)
     return kind, F.when(kind == SAFE, text), F.when(kind == SUGGESTED, text)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from csift.functions import classify as C
-from csift.functions.lexing import IDENTIFIER
+from csift.functions.lexing import IDENTIFIER, let
 from csift.rules.catalog import BANNED
 
 HIT = "struct<rule:int,line:int,column:int,parameters:array<string>,engine:string,pass:int>"
@@ -76,10 +76,14 @@ def banned(lines: Column, clean: Column, extra: dict[str, tuple[str, str]] | Non
             if name != "strcpy":
                 return F.when(found, plain)
             call = r'\bstrcpy\s*\(\s*(?:\(\s*(?:const\s+)?(?:char|int8_t|uint8_t|void|unsigned\s+char|signed\s+char)\s*\*+\s*\)\s*)?([A-Za-z_]\w*)\s*,\s*((?:(?:u8)?"(?:[^"\\]|\\.)*"\s*)+)\)'
-            destination, literal = got(x["line"], call, 1), F.trim(got(x["line"], call, 2))
-            size, length = declared_size(lines, clean, destination, x["n"]), C.literal_length(literal)
-            fits = hit(1, x["n"], at(x["masked"], pattern), "bounded", name, length, destination, size)
-            return F.when(found, F.when((literal != "") & (size > length + 1), fits).otherwise(plain))
+            literal = F.trim(got(x["line"], call, 2))
+            sizes = F.struct(declared_size(lines, clean, got(x["line"], call, 1), x["n"]).alias("room"), C.literal_length(literal).alias("length"))
+
+            def bounded(s: Column) -> Column:
+                fits = hit(1, x["n"], at(x["masked"], pattern), "bounded", name, s["length"], got(x["line"], call, 1), s["room"])
+                return F.when(s["room"] > s["length"] + 1, fits).otherwise(plain)
+
+            return F.when(found, F.when(literal != "", let(sizes, bounded)).otherwise(plain))
 
         out.append(F.when(clean.contains(name), each(lines, of)).otherwise(none()))
     return F.concat(*out)
@@ -87,33 +91,41 @@ def banned(lines: Column, clean: Column, extra: dict[str, tuple[str, str]] | Non
 
 def constant(clean: Column, text: Column) -> Column:
     """A number, or the value of a #define or a const of that name."""
-    word = F.when(text.rlike(r"^\w+$"), text).otherwise(F.lit("0"))
-    value = got(clean, F.concat(F.lit(r"#\s*define\s+"), word, F.lit(r"\s+(0x[0-9a-fA-F]+|\d+)\b")), 1)
-    fixed = got(clean, F.concat(F.lit(r"\bconst\s+(?:int|size_t|uint\w+_t)\s+"), word, F.lit(r"\s*=\s*(0x[0-9a-fA-F]+|\d+)\b")), 1)
-    chosen = F.when(text.rlike(r"^\d+$"), text).when(value != "", value).otherwise(fixed)
-    return F.when(chosen.startswith("0x"), F.conv(F.substr(chosen, F.lit(3)), 16, 10).cast("long")).when(chosen != "", chosen.cast("long"))
+
+    def of(t: Column) -> Column:
+        word = F.when(t.rlike(r"^\w+$"), t).otherwise(F.lit("0"))
+        value = got(clean, F.concat(F.lit(r"(?:#\s*define\s+"), word, F.lit(r"\s+|\bconst\s+(?:int|size_t|uint\w+_t)\s+"), word, F.lit(r"\s*=\s*)(0x[0-9a-fA-F]+|\d+)\b")), 1)
+        return F.when(t.rlike(r"^\d+$"), t).when(t.rlike(r"^[A-Za-z_]\w*$"), value)
+
+    number = lambda v: F.when(v.startswith("0x"), F.conv(F.substr(v, F.lit(3)), 16, 10).cast("long")).when(v != "", v.cast("long"))
+    return let(let(text, of), number)
 
 
 def function_start(lines: Column, n: Column) -> Column:
     """The line of the nearest header at or above line n, else 1."""
     above = F.filter(F.slice(lines, F.lit(1), n.cast("int")), lambda y: y["line"].rlike(HEADER))
-    return F.coalesce(F.get(above, F.size(above) - 1)["n"], F.lit(1))
+    return let(above, lambda a: F.coalesce(F.get(a, F.size(a) - 1)["n"], F.lit(1)))
 
 
 def declared_size(lines: Column, clean: Column, name: Column, n: Column) -> Column:
     """Elements of array `name` as declared nearest above line n in its function, through one alias, or globally."""
 
-    def nearest(word: Column, first: Column, last: Column) -> Column:
+    def last(found: Column) -> Column:
+        return let(F.filter(found, lambda d: d != ""), lambda d: F.coalesce(F.get(d, F.size(d) - 1), F.lit("")))
+
+    def nearest(within: Column, word: Column) -> Column:
         pattern = F.concat(F.lit(r"\b(?:unsigned\s+char|signed\s+char|struct\s+\w+|\w+)\s+(?:\*|\s)*\b"), word, F.lit(r"\s*\[\s*([^\]]+?)\s*\]"))
-        found = F.filter(F.transform(F.slice(lines, first.cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")), lambda y: got(y["line"], pattern, 1)), lambda d: d != "")
-        return constant(clean, F.coalesce(F.get(found, F.size(found) - 1), F.lit("")))
+        return constant(clean, last(F.transform(within, lambda y: got(y["line"], pattern, 1))))
+
+    def of(s: Column) -> Column:
+        word = s["word"]
+        inside = F.slice(lines, s["start"].cast("int"), (n - s["start"] + 1).cast("int"))
+        given = F.concat(F.lit(r"^\s*(?:(?:char|int8_t|uint8_t|int|unsigned\s+char|signed\s+char)\s*\*+\s*)?"), word, F.lit(r"\s*=\s*([a-zA-Z_]\w*)\s*;"))
+        alias = let(last(F.transform(inside, lambda y: got(y["line"], given, 1))), lambda a: F.when(a != "", nearest(inside, a)))
+        return F.coalesce(nearest(inside, word), alias, nearest(F.slice(lines, F.lit(1), s["start"].cast("int")), word))
 
-    word = F.when(name.rlike(r"^[A-Za-z_]\w*$"), name).otherwise(F.lit("0"))
-    start = function_start(lines, n)
-    given = F.concat(F.lit(r"^\s*(?:(?:char|int8_t|uint8_t|int|unsigned\s+char|signed\s+char)\s*\*+\s*)?"), word, F.lit(r"\s*=\s*([a-zA-Z_]\w*)\s*;"))
-    aliases = F.filter(F.transform(F.slice(lines, start.cast("int"), (n - start + 1).cast("int")), lambda y: got(y["line"], given, 1)), lambda d: d != "")
-    alias = F.coalesce(F.get(aliases, F.size(aliases) - 1), F.lit("0"))
-    return F.when(word != "0", F.coalesce(nearest(word, start, n), nearest(alias, start, n), nearest(word, F.lit(1), start)))
+    known = F.struct(name.alias("word"), function_start(lines, n).alias("start"))
+    return F.when(name.rlike(r"^[A-Za-z_]\w*$"), let(known, of))
 
 
 def format_string(lines: Column, clean: Column) -> Column:
@@ -199,8 +211,8 @@ def constant_index(lines: Column, clean: Column) -> Column:
             place = F.instr(x["line"], text)
             before = F.element_at(F.split(F.left(x["line"], place - 1), r"[;{}]", -1), -1)
             declaration = before.rlike(r"(?:\bconst\s+|\bstatic\s+|\bunsigned\s+|\bsigned\s+|\bstruct\s+\w+|\b(?!return\b|case\b|else\b)\w+)\s+(?:\*|\s)*$")
-            size = indexed_size(lines, name, x["n"])
-            return F.when(~declaration & (index.cast("long") >= size), hit(7, x["n"], place, "constant", index, name, size))
+            room = indexed_size(lines, name, x["n"])
+            return F.when(~declaration, let(room, lambda size: F.when(index.cast("long") >= size, hit(7, x["n"], place, "constant", index, name, size))))
 
         return F.array_compact(F.transform(F.array_distinct(F.regexp_extract_all(x["line"], F.lit(used), F.lit(0))), one))
 
@@ -210,21 +222,26 @@ def constant_index(lines: Column, clean: Column) -> Column:
 
 def indexed_size(lines: Column, name: Column, n: Column) -> Column:
     """Declared elements of an array in its function by a number, less an alias's offset."""
-    start = function_start(lines, n)
-    above = F.slice(lines, start.cast("int"), (n - start + 1).cast("int"))
 
-    def nearest(word: Column) -> Column:
+    def last(found: Column) -> Column:
+        return let(F.filter(found, lambda d: d != ""), lambda d: F.get(d, F.size(d) - 1))
+
+    def nearest(above: Column, word: Column) -> Column:
         pattern = F.concat(F.lit(r"\b(?:struct\s+\w+|(?!return\b)\w+)\s+(?:\*|\s)*\b"), word, F.lit(r"\s*\[\s*(\d+)\s*\]"))
-        found = F.filter(F.transform(above, lambda y: got(y["line"], pattern, 1)), lambda d: d != "")
-        return F.get(found, F.size(found) - 1).cast("long")
-
-    given = F.concat(F.lit(r"(?:^|[;{}\s])(?:(?:\w+\s+)*\*+\s*)?"), name, F.lit(r"\s*=(?!=)\s*(?:\([^)]+\)\s*)*(&?\s*[a-zA-Z_]\w*\s*\[\s*\d+\s*\]|[a-zA-Z_]\w*\s*\+\s*\d+|\d+\s*\+\s*[a-zA-Z_]\w*|&?\s*[a-zA-Z_]\w*)\s*(?:;|$)"))
-    aliases = F.filter(F.transform(above, lambda y: got(y["line"], given, 1)), lambda d: d != "")
-    alias = F.coalesce(F.get(aliases, F.size(aliases) - 1), F.lit(""))
-    offset = F.coalesce(F.nullif(got(alias, r"\b(\d+)\b", 1), F.lit("")).cast("long"), F.lit(0))
-    target = F.when(alias != "", got(alias, r"([a-zA-Z_]\w*)", 1)).otherwise(F.lit("0"))
-    held = nearest(target)
-    return F.coalesce(nearest(name), F.when((target != name) & held.isNotNull(), F.greatest(held - offset, F.lit(0))))
+        return last(F.transform(above, lambda y: got(y["line"], pattern, 1))).cast("long")
+
+    def of(s: Column) -> Column:
+        above = F.slice(lines, s["start"].cast("int"), (n - s["start"] + 1).cast("int"))
+        given = F.concat(F.lit(r"(?:^|[;{}\s])(?:(?:\w+\s+)*\*+\s*)?"), s["word"], F.lit(r"\s*=(?!=)\s*(?:\([^)]+\)\s*)*(&?\s*[a-zA-Z_]\w*\s*\[\s*\d+\s*\]|[a-zA-Z_]\w*\s*\+\s*\d+|\d+\s*\+\s*[a-zA-Z_]\w*|&?\s*[a-zA-Z_]\w*)\s*(?:;|$)"))
+
+        def by_alias(a: Column) -> Column:
+            offset = F.coalesce(F.nullif(got(a, r"\b(\d+)\b", 1), F.lit("")).cast("long"), F.lit(0))
+            target = got(a, r"([a-zA-Z_]\w*)", 1)
+            return F.when((target != "") & (target != s["word"]), let(nearest(above, target) - offset, lambda k: F.when(k.isNotNull(), F.greatest(k, F.lit(0)))))
+
+        return F.coalesce(nearest(above, s["word"]), let(last(F.transform(above, lambda y: got(y["line"], given, 1))), by_alias))
+
+    return let(F.struct(name.alias("word"), function_start(lines, n).alias("start")), of)
 
 
 def wiped(lines: Column, clean: Column) -> Column:

@@ -70,9 +70,10 @@ def from_text(spark: SparkSession, text: str, path: str = "source.c") -> DataFra
     return spark.createDataFrame([(path, text)], SCHEMA)
 
 
-def from_table(table: DataFrame, path: str, content: str) -> DataFrame:
-    """Any table of documents as files."""
-    return table.select(F.col(path).cast("string").alias("path"), F.col(content).cast("string").alias("content"))
+def from_table(table: DataFrame, path: str, content: str, partitions: int | None = None) -> DataFrame:
+    """Any table of documents as files; dealt out to so many partitions if the table has few large ones."""
+    out = table.select(F.col(path).cast("string").alias("path"), F.col(content).cast("string").alias("content"))
+    return out.repartition(partitions) if partitions else out
 
 
 def from_lake(spark: SparkSession, location: str) -> DataFrame:
