@@ -56,17 +56,20 @@ def split_lines(text: Column) -> Column:
 
 
 def comments(text: Column) -> Column:
-    """array<struct<line, text>> of comments with the line they begin in."""
+    """array<struct<line, text>> of comments with the line they begin in.
+
+    What is left of the text is its line ends, and a mark where a comment begins; marks counted line by line give the
+    lines of the comments in order, in one pass however many there are.
+    """
     empty = F.array().cast("array<struct<line:int,text:string>>")
-    start = F.struct(F.lit(1).alias("line"), empty.alias("found"))
 
-    def step(state: Column, t: Column) -> Column:
-        return F.struct(
-            (state["line"] + F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("int").alias("line"),
-            F.when(is_comment(t), F.concat(state["found"], F.array(F.struct(state["line"].alias("line"), t.alias("text"))))).otherwise(state["found"]).alias("found"),
-        )
+    def of(parts: Column) -> Column:
+        ends = lambda t: F.regexp_replace(t, r"[^\n]", "")
+        marks = F.array_join(F.transform(parts, lambda t: F.when(is_comment(t), F.concat(F.lit("*"), ends(t))).otherwise(ends(t))), "")
+        places = F.flatten(F.transform(F.split(marks, "\n", -1), lambda x, i: F.array_repeat((i + 1).cast("int"), F.length(x))))
+        return F.zip_with(places, F.filter(parts, is_comment), lambda n, t: F.struct(n.alias("line"), t.alias("text")))
 
-    return F.when(text.contains("//") | text.contains("/*"), F.aggregate(tokens(text), start, step, lambda s: s["found"])).otherwise(empty)
+    return F.when(text.contains("//") | text.contains("/*"), let(tokens(text), of)).otherwise(empty)
 
 
 def suppressions(text: Column, keyword: str = "csift") -> Column:

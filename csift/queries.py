@@ -501,6 +501,20 @@ def sensitive_words(spark, sf_dir):
     return names.union(more).select("word", classify.sensitive_name(F.col("word")).alias("sensitive"), classify.security_function(F.col("word")).alias("security"))
 
 
+def _words_sql() -> str:
+    has = lambda words: f"regexp_matches(low, '{'|'.join(words)}')"
+    part = lambda words: f"regexp_matches(low, '(?:^|[^a-z0-9])(?:{'|'.join(words)})(?:[^a-z0-9]|$)')"
+    c = classify
+    chance = f"(contains(low, 'sig') AND NOT contains(low, 'signature') AND NOT {part(['sig'])} OR contains(low, 'pass') AND NOT {has(['password', 'passwd'])} AND NOT {part(['pass'])})"
+    more = "'session_key', 'keyboard', 'my_iv', 'drive', 'apiKey', 'keys', 'hash_len', 'key_size', 'design_token', 'passage_hash'"
+    return f"""
+WITH n AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(p_name, '\\s+')) AS word FROM part UNION ALL SELECT event_type FROM events)),
+w AS (SELECT word, lower(word) AS low FROM (SELECT word FROM n UNION ALL SELECT unnest([{more}])))
+SELECT word, NOT {has(c.NOT_SENSITIVE)} AND CASE WHEN {has(c.SENSITIVE)} THEN NOT {chance} ELSE {part(c.SEGMENTS)} OR {has(['key', 'crypto'])} AND low <> 'keys' END AS sensitive,
+       {has(c.SECURITY)} OR {part(c.SEGMENTS)} OR {has(c.ACTIONS)} AND ({has(c.NOUNS)} OR {part(['iv'])}) AND NOT {has(c.METADATA)} AS security FROM w
+"""
+
+
 def precision_recall(spark, sf_dir):
     """Of what must be found and what was: rule 3 in its corpus."""
     reported = rule_query(3)(spark, sf_dir).select(F.col("file_path").alias("path"), F.col("line_number").alias("line"), "rule_id")
@@ -560,7 +574,7 @@ PLAIN = {
     "node_facts": (node_facts, NODE_SQL),
     "reachability": (reachability, REACH_SQL),
     "symbol_resolution": (symbol_resolution, SYMBOL_SQL),
-    "sensitive_words": (sensitive_words, None),
+    "sensitive_words": (sensitive_words, _words_sql()),
     "precision_recall": (precision_recall, PRECISION_SQL),
     "full_scan": (full_scan, None),
     "json_report": (json_report, None),
