@@ -6,8 +6,7 @@ element, or else body) holds without template subtrees, and without elements who
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments. Inside an article, a
 recurring paragraph, heading or inline element is text and stays: sentences recur too.
 
-Pages are hashed from the distinct (host, html), so copies of a page don't make a template, and the counting is a
-partial aggregate. Template hashes are broadcast while there are at most BROADCAST_TEMPLATES, which is counted;
+Of copies of a page on a host one counts, so copies don't make a template, and the counting is a partial aggregate. Template hashes are broadcast while there are at most BROADCAST_TEMPLATES, which is counted;
 beyond, each page gets those it holds by a join on its hashes.
 
 Defined results: null html has the empty text; a null or strange url has the empty host (it's then a host of its own);
@@ -91,34 +90,34 @@ def host_column(url: str = "url"):
 
 
 def page_hashes(pages: DataFrame) -> DataFrame:
-    """_csift_host, _csift_page (digest of the html) and hash: the distinct subtrees of each distinct page of a host."""
+    """_csift_host, _csift_page (digest of the html) and hashes: the distinct subtrees of each distinct page of a host.
+
+    Pages are hashed where they lie, so that hashes are shuffled to tell copies, not html.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html", 1 << 20):
-            hosts, keys, found = [], [], []
-            for host, key, text in zip(part.column("_csift_host").to_pylist(), part.column("_csift_page").to_pylist(), part.column("html").to_pylist()):
-                digests = {x.digest for x in hashed(parse(text or ""))[1:]}
-                hosts += [host] * len(digests)
-                keys += [key] * len(digests)
-                found += digests
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array([x - (1 << 64) if x >> 63 else x for x in found], pa.int64())], ["_csift_host", "_csift_page", "hash"])
+            found = [sorted({x.digest - (1 << 64) if x.digest >> 63 else x.digest for x in hashed(parse(text or ""))[1:]}) for text in part.column("html").to_pylist()]
+            yield pa.record_batch([part.column("_csift_host"), part.column("_csift_page"), pa.array(found, pa.list_(pa.int64()))], ["_csift_host", "_csift_page", "hashes"])
 
-    return pages.select("_csift_host", "_csift_page", "html").mapInArrow(run, "_csift_host string, _csift_page string, hash long")
+    rows = pages.select("_csift_host", "_csift_page", "html").mapInArrow(run, "_csift_host string, _csift_page binary, hashes array<long>")
+    return rows.groupBy("_csift_host", "_csift_page").agg(F.first("hashes").alias("hashes"))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(distinct: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(_csift_host, hash) of subtrees on many of a host's distinct pages."""
-    distinct = pages.groupBy("_csift_host", "_csift_page").agg(F.first("html").alias("html"))
-    counts = page_hashes(distinct).groupBy("_csift_host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    sizes = pages.groupBy("_csift_host").agg(F.countDistinct("_csift_page").alias("pages"))
+    each = distinct.select("_csift_host", F.explode("hashes").alias("hash"))
+    counts = each.groupBy("_csift_host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    sizes = distinct.groupBy("_csift_host").agg(F.count(F.lit(1)).alias("pages"))
     return counts.join(sizes, "_csift_host").filter(F.col("n") >= min_share * F.col("pages")).select("_csift_host", "hash")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("_csift_host", host_column()).withColumn("_csift_page", F.sha2("html", 256))
-    found = durable(templates(rows, min_pages, min_share))
+    rows = rows.withColumn("_csift_host", host_column()).withColumn("_csift_page", F.unhex(F.sha2("html", 256)))
+    distinct = durable(page_hashes(rows))
+    found = durable(templates(distinct, min_pages, min_share))
     if found.count() <= broadcast_templates:
         per_host = pages.sparkSession.sparkContext.broadcast(
             {host: frozenset(hashes) for host, hashes in found.groupBy("_csift_host").agg(F.collect_list("hash")).collect()}
@@ -126,7 +125,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         rows = rows.withColumn("_csift_held", F.lit(None).cast("array<long>"))
     else:
         per_host = None
-        held = page_hashes(rows.groupBy("_csift_host", "_csift_page").agg(F.first("html").alias("html"))).join(found, ["_csift_host", "hash"])
+        held = distinct.select("_csift_host", "_csift_page", F.explode("hashes").alias("hash")).join(found, ["_csift_host", "hash"])
         held = durable(held.groupBy("_csift_host", "_csift_page").agg(F.collect_list("hash").alias("_csift_held")))
         rows = rows.join(held, ["_csift_host", "_csift_page"], "left")
 
