@@ -1,6 +1,9 @@
 """Licence scans: a trained classifier of paragraphs, confirmed by templates.
 
-A paragraph is a line that isn't blank. A multinomial logistic regression over word 1- and 2-grams, with an L1 term,
+A paragraph is a line that isn't blank; notices are also looked for in joins of neighbouring ones, for they are often
+wrapped. A join begins at each line and goes on within the block of lines that aren't blank until it has, behind its
+first line, as many words as the longest notice. Of joins and single lines that overlap, the one that is nearest to
+a notice counts, of equally near ones the one of the fewest lines, then the first. A multinomial logistic regression over word 1- and 2-grams, with an L1 term,
 tells licence families and "unknown" apart. It is trained here on notices of the families below, with words dropped
 and foreign words around them, against sentences that only mention such words and a bounded sample (NEGATIVES) of the
 corpus's own lines. Its probabilities are calibrated by a temperature on notices kept aside; a paragraph whose
@@ -140,8 +143,20 @@ def pairs(paragraph: str) -> frozenset[tuple[str, str]]:
     return frozenset(zip(words[1:], words[2:])) or frozenset(zip(words, words[1:]))
 
 
+def words_of(text: str) -> list[str]:
+    return WORDS.findall(text.lower())
+
+
 TEMPLATES = {family: [pairs(x) for x in notices] for family, notices in NOTICES.items()}
 
+EVERY_PAIR = frozenset(x for notices in TEMPLATES.values() for notice in notices for x in notice)
+LONGEST = max(len(words_of(x)) for notices in NOTICES.values() for x in notices)
+
+
+def near_a_notice(held: set[tuple[str, str]]) -> bool:
+    """Whether these word 2-grams can confirm any family."""
+    return any(len(held & x) / len(x) >= SIMILAR for notices in TEMPLATES.values() for x in notices)
+
 
 def similarity(paragraph: str, family: str) -> float:
     """The largest part of a notice's word 2-grams that the paragraph has."""
@@ -225,6 +240,55 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"[^\n]+", text) if not m[0].isspace()]
 
 
+def blocks(text: str, lines: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Runs of lines with no blank line between them."""
+    begin = 0
+    for k in range(1, len(lines) + 1):
+        if k == len(lines) or text.count("\n", lines[k - 1][1], lines[k][0]) > 1:
+            yield lines[begin:k]
+            begin = k
+
+
+def joins(text: str, block: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """First and last line of the joins, single lines too, that hold enough of a notice, and each line of which adds to one."""
+    words = [words_of(text[b:e]) for b, e in block]
+    inner = [EVERY_PAIR.intersection(zip(w, w[1:])) for w in words]
+    flat = [(k, w) for k, line in enumerate(words) for w in line]
+    across: dict[int, tuple[str, str]] = {}  # by the line of the second word
+    for (k, a), (j, b) in zip(flat, flat[1:]):
+        if k != j and (a, b) in EVERY_PAIR:
+            across[j] = (a, b)
+    if not near_a_notice({*across.values()}.union(*inner)):
+        return
+    for i in range(len(block)):
+        held, behind = set(inner[i]), 0
+        if held and near_a_notice(held):
+            yield i, i
+        for j in range(i + 1, len(block)):
+            if behind >= LONGEST:
+                break
+            before = len(held)
+            held |= inner[j]
+            if j in across and any(words[i:j]):
+                held.add(across[j])
+            behind += len(words[j])
+            if len(held) > before and near_a_notice(held):
+                yield i, j
+
+
+def notices_in(model: Model, text: str, lines: list[tuple[int, int]]) -> list[tuple[int, int, str, float, float]]:
+    """(begin, end, family, probability, similarity) of what counts, in order."""
+    out = []
+    for block in blocks(text, lines):
+        named = [(i, j, *model.family(text[block[i][0] : block[j][1]])) for i, j in joins(text, block)]
+        taken: set[int] = set()
+        for i, j, family, mass, alike in sorted((x for x in named if x[2] != UNKNOWN), key=lambda x: (-x[4], x[1] - x[0], x[0])):
+            if taken.isdisjoint(range(i, j + 1)):
+                taken.update(range(i, j + 1))
+                out.append((block[i][0], block[j][1], family, mass, alike))
+    return sorted(out)
+
+
 def license_scan(docs: DataFrame, sample: int = NEGATIVES) -> DataFrame:
     """doc_id, n_paragraphs, n_licenses, families (distinct, sorted) and found of each row.
 
@@ -239,8 +303,8 @@ def license_scan(docs: DataFrame, sample: int = NEGATIVES) -> DataFrame:
             for text in part.column("text").to_pylist():
                 spans = paragraphs(text or "")
                 counts.append(len(spans))
-                named = ((b, e, *model.value.family(text[b:e])) for b, e in spans)
-                hits.append([dict(zip(("begin", "end", "family", "probability", "similarity"), x)) for x in named if x[2] != UNKNOWN])
+                named = notices_in(model.value, text or "", spans)
+                hits.append([dict(zip(("begin", "end", "family", "probability", "similarity"), x)) for x in named])
             families = [sorted({x["family"] for x in h}) for h in hits]
             yield pa.record_batch(
                 [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(map(len, hits), pa.int64()), pa.array(families, pa.list_(pa.string())), pa.array(hits, kind)],

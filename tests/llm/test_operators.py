@@ -478,3 +478,20 @@ def test_licenses(spark, nothing):
     assert rows[0]["n_paragraphs"] == 3
     assert licenses.license_scan(odd(spark)).count() == 10
     assert licenses.license_scan(nothing).count() == 0
+
+
+def test_wrapped_licenses(spark):
+    plain = ["The sun rose over the hills.\nA dog slept.", "Permission to leave was granted by the judge.", "He has a license to drive in the state."] * 10
+    bsd = "BSD 3-Clause\n\nCopyright (c) 2020, Ana\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Copies stay."
+    isc = "ISC\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appears."
+    lgpl = "/* This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version. */"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    narrow = "Permission\nto use,\ncopy,\nmodify,\nand/or\ndistribute\nthis\nsoftware\nfor any\npurpose\nwith or\nwithout fee\nis hereby\ngranted"
+    two = "Released under the MIT License.\nLicensed under CC BY-NC 4.0."
+    apart = "Redistribution and use in source and binary forms, with or without\n\n \nmodification, are permitted provided that the following conditions are met:"
+    texts = [bsd, isc, lgpl, gpl, narrow, two, apart]
+    rows = sorted(licenses.license_scan(documents(spark, texts + plain)).collect())
+    assert [r["families"] for r in rows] == [["BSD"], ["ISC"], ["LGPL"], ["GPL"], ["ISC"], ["CC-BY-NC", "MIT"], []] + [[]] * len(plain)
+    assert [r["n_licenses"] for r in rows[:6]] == [1, 1, 1, 1, 1, 2]
+    hit = rows[0]["found"][0]
+    assert bsd[hit["begin"] : hit["end"]].startswith("Redistribution") and bsd[hit["begin"] : hit["end"]].endswith("met:") and hit["similarity"] == 1.0
