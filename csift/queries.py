@@ -181,8 +181,9 @@ SELECT doc_id, CAST(n AS BIGINT) AS line_number, regexp_extract(hit, '(?i)\b(\w*
 
 def script_calls_pages(spark, sf_dir):
     """Calls in the scripts of pages, their literals masked first."""
-    script = F.regexp_extract("html", r"(?s)<script[^>]*>(.*?)</script>", 1)
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all(lexing.mask_literals(script), F.lit(r"\b[A-Za-z_]\w*\([^)]*\)"), F.lit(0))).alias("call"))
+    scripts = F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(scripts).alias("script"))
+    rows = pages.select("page_id", F.explode(F.regexp_extract_all(lexing.mask_literals(F.col("script")), F.lit(r"\b[A-Za-z_]\w*\([^)]*\)"), F.lit(0))).alias("call"))
     return rows.select("page_id", F.regexp_extract("call", r"^(\w+)", 1).alias("callee"), F.regexp_extract("call", r"\((.*)\)$", 1).alias("arguments"))
 
 

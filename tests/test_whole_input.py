@@ -1,7 +1,6 @@
 """Queries over small tables written here, against brute force: nothing of the input is left out."""
 
 import hashlib
-import re
 from collections import Counter
 
 import pytest
@@ -35,3 +34,10 @@ def test_baselines_take_lines_of_every_length(spark, folder):
     found = [tuple(r) for r in entry.queries()["baseline_new"](spark, sf).collect()]
     assert sorted(found) == sorted(new) and {i for i, _, f in new if f == line_fingerprint(f"{longer} end")} == {13}
     assert entry.queries()["baseline_resolved"](spark, sf).first()[0] == sum((Counter(f for *_, f in every) - had).values())
+
+
+def test_calls_of_every_script(spark, folder):
+    pages = [(1, '<script>a(1);</script><p>x(9)</p><script type="m">b(2); c("d(3)")</script>'), (2, "<p>no(0)</p>"), (3, "<script></script><script>\ne(4)\n</script>")]
+    sf = folder("pages", pages, "page_id long, html string")
+    found = [tuple(r) for r in entry.queries()["script_calls_pages"](spark, sf).select("page_id", "callee").collect()]
+    assert sorted(found) == [(1, "a"), (1, "b"), (1, "c"), (3, "e")]
