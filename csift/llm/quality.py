@@ -6,8 +6,8 @@ L1 logistic regression over the rules keeps few of them; and the rules with thei
 Labels, lang, source and doc_id are no input of a score.
 
 Defined results: null and empty text have all statistics 0 and a score like any other; without labels of both kinds
-every score is 1 (nothing is rejected); a doc_id with several labels counts once, by the least; repeated rows score
-alike; an empty table gives an empty result; other columns don't matter.
+every score is 1 (nothing is rejected); a doc_id with several labels counts once, by the least, and one with several
+texts by the least text; repeated rows score alike; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def grow(x: np.ndarray, residual: np.ndarray, bounds: list[np.ndarray], binned:
 def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, shrink: float = SHRINK) -> tuple[list[Rule], float]:
     """Rules with weights that aren't 0, and the intercept."""
     if len(y) == 0 or y.min() == y.max():
-        return [], 50.0 if len(y) == 0 or y.max() else -50.0
+        return [], 50.0
     bounds = _bounds(x)
     binned = np.stack([np.searchsorted(b, c, side="left") for b, c in zip(bounds, x.T)], 1)
     chance, margin, paths = np.random.default_rng(5), np.full(len(y), np.log(y.mean() / (1 - y.mean()))), {}
@@ -152,7 +152,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Dat
     """docs of about `sample` labelled doc_ids at most that aren't held out, chosen by a hash, with _csift_label."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out_column())
     chosen = hash_sample(known, "doc_id", sample).groupBy("doc_id").agg(F.min(label).alias("_csift_label"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_csift_label").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[Rule], float]:
