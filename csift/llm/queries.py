@@ -39,7 +39,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         CAST(('0x' || substr(sha256('{mixing.SEED}:' || doc_id), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM documents),
+         CAST(('0x' || substr(sha256('{mixing.SEED}:' || doc_id), 1, 12)) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
 w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, source_size * 2e0 AS cap FROM s),
 o AS (SELECT *, cap / weight AS fill FROM w),
@@ -49,9 +49,13 @@ l AS (
   FROM o WINDOW b AS (ORDER BY fill, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 r AS (SELECT l.*, (SELECT lvl FROM l WHERE lvl <= fill ORDER BY nth LIMIT 1) AS level FROM l),
 t AS (SELECT source, source_size, least(cap, weight * level) AS target FROM r),
-x AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
+x AS (SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, h
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT source, r.turn, any_value(target) AS target, sum(size * (floor(rate) + CASE WHEN h * (r.turn * {mixing.STEP} + 1) % {mixing.HASHES} / {mixing.HASHES}e0 < rate - floor(rate) THEN 1 ELSE 0 END)) AS got
+      FROM x, range({mixing.SEEDS}) AS r(turn) GROUP BY source, r.turn),
+b AS (SELECT source, turn FROM k QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(got - target), turn) = 1)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN h * (turn * {mixing.STEP} + 1) % {mixing.HASHES} / {mixing.HASHES}e0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source
 """
 
 
