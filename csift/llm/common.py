@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -17,17 +18,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 def durable(df: DataFrame) -> DataFrame:
     """Writes df to the checkpoint folder that all executors share and reads it from there.
 
-    Later reads survive the loss of executors. A folder of our own is set only where the session names none, as in tests.
+    Later reads survive the loss of executors. Spark removes the files with the table if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set; the pipeline removes those of each stage itself.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder."""
+    """The checkpoint folder: spark.checkpoint.dir, or in local mode a folder of our own. On a cluster it must be named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="csift-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -52,6 +56,11 @@ def hash_sample(df: DataFrame, column: str, sample: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(column, F.lit(29)), F.lit(1 << 40)) < int((1 << 40) * sample / count))
 
 
+def text_key(doc_id: str = "doc_id", text: str = "text"):
+    """Tells documents apart: a doc_id together with a digest of its text, so that two texts with one doc_id are two."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.sha2(whole_text(text), 256))
+
+
 def row_identity():
     """Numbers rows; only of use in a table that is made durable right after."""
     return F.monotonically_increasing_id()

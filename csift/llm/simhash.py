@@ -4,20 +4,24 @@ Fingerprints are collapsed to distinct ones first (a group of exact copies is th
 distance <= REACH agree, in at least one of `blocks` equal bit blocks, up to REACH // blocks bits. So each block has a
 tree of its own over the block's Hamming distance, built on the driver from a bounded sample (it only says where
 shards lie; results don't depend on it), and a fingerprint goes to every shard that the ball of that radius around its
-block's code may meet by the triangle bound. With BLOCKS = 4 the radius is 0 and a ball meets one shard; with 1 or 2
-the results are the same, but balls overlap more boundaries and rows are copied more often (measured: 13.5, 8.7 and 4
-rows a fingerprint for 1, 2 and 4). Within a shard the vantage split goes on over all 64 bits with radius REACH, codes
-within reach of a boundary in both parts, and the last parts are compared exactly. A shard beyond PART rows is dealt
-out as pairs of its parts. Shards return stars, not pairs; their components are found in Spark. The sample has about
-SAMPLE fingerprints at most; nothing else reaches the driver.
+block's code may meet by the triangle bound. With BLOCKS = 4 the radius is 0 and a ball meets one shard, so the tree
+only says which codes share a shard; with 1 or 2 the results are the same, but balls overlap more boundaries and rows
+are copied more often (README has figures). Within a shard the vantage split goes on over all 64 bits with radius
+REACH, codes within reach of a boundary in both parts, and the last parts are compared exactly. A shard beyond PART
+rows is dealt out as pairs of its parts. Shards return stars, not pairs; their components are found in Spark. The
+sample has about SAMPLE fingerprints at most; nothing else reaches the driver.
+
+`drop_near_copies` keeps one document of each component, by these links (3-word shingles, REACH bits) or, with a
+similarity, by the exact Jaccard similarity of 5-word shingles: 64 bits can't tell pairs of that similarity from others.
 
 Defined results: null text is empty, no word gives fingerprint zero; component_id ignores null doc_ids unless a
-component has no other; repeated rows share fingerprint and component; an empty table gives an empty result; other
-columns don't matter.
+component has no other; repeated rows share fingerprint and component; two texts with one doc_id are two documents;
+an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from csift.llm.common import durable, hash_sample, slices, whole_text
+from csift.llm.common import durable, hash_sample, slices, text_key
 from csift.llm.components import stars
 from csift.llm.vptree import VantageTree, linked_groups
 
@@ -38,37 +42,59 @@ SAMPLE = 1 << 16
 LEAF = 4096
 PART = 1 << 15
 BITS = 64
+#: Bytes of a text, and shingles of a slice, that are held as words or bits at a time.
+PIECE = 1 << 20
+HELD = 1 << 17
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text, repeats included, a piece of the text at a time; of fewer words, of all of them."""
+    digest, at, carried, whole = xxhash.xxh64_intdigest, 0, [], 0
+    while at < len(text):
+        gap = SPACE.search(text, at + PIECE) if at + PIECE < len(text) else None
+        end = gap.start() if gap else len(text)
+        # bytes: only A-Z change, only ASCII white space separates
+        words = carried + text[at:end].lower().split()
+        at = end
+        if len(words) >= shingle:
+            ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+            joined, begins = b" ".join(words), [0, *ends[:-shingle]]
+            whole += len(begins)
+            yield np.fromiter((digest(joined[i : j - 1], seed) for i, j in zip(begins, ends[shingle - 1 :])), np.uint64, len(begins))
+        carried = words[max(0, len(words) - shingle + 1) :]
+    if carried and not whole:
+        yield np.array([digest(b" ".join(carried), seed)], np.uint64)
 
 
 def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """One unsigned 64-bit fingerprint a text: a bit is set if it is in over half of the shingles' hashes."""
-    out = np.zeros(len(texts), np.uint64)
-    digest, hashes, begin, held = xxhash.xxh64_intdigest, [], [], []
+    set_, total = np.zeros((len(texts), BITS), np.int64), np.zeros(len(texts), np.int64)
+    rows, held, waiting = [], [], 0
+
+    def count() -> None:
+        sizes = [len(x) for x in held]
+        bits = np.unpackbits(np.concatenate(held).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        np.add.at(set_, rows, np.add.reduceat(bits, np.cumsum([0, *sizes[:-1]]), axis=0, dtype=np.int64))
+        np.add.at(total, rows, sizes)
+        rows.clear()
+        held.clear()
+
     for row, text in enumerate(texts):
-        words = text.lower().split()  # bytes: only A-Z change, only ASCII white space separates
-        if not words:
-            continue
-        begin.append(len(hashes))
-        held.append(row)
-        if len(words) <= shingle:
-            hashes.append(digest(b" ".join(words), seed))
-        else:
-            ends = np.cumsum([len(w) + 1 for w in words])
-            whole, ends = b" ".join(words), ends.tolist()
-            hashes += [digest(whole[i:j], seed) for i, j in zip([0, *ends[: -shingle]], [x - 1 for x in ends[shingle - 1 :]])]
-    if not hashes:
-        return out
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    total = np.array([*begin[1:], len(hashes)]) - np.array(begin)
-    # sums per text; chunks keep the widened copy small
-    for k, row in enumerate(held):
-        counts = bits[begin[k] : begin[k] + total[k]].sum(axis=0, dtype=np.int64)
-        out[row] = np.packbits(counts * 2 > total[k], bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, _csift_key (doc_id, or the text's digest where it is null) and fingerprint (a signed long) of each row."""
+        for hashes in shingle_hashes(text, shingle, seed):
+            rows.append(row)
+            held.append(hashes)
+            waiting += len(hashes)
+            if waiting > HELD:
+                count()
+                waiting = 0
+    if rows:
+        count()
+    return np.packbits(set_ * 2 > total[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, key=None) -> DataFrame:
+    """doc_id, _csift_key (of the key column, or null) and fingerprint (a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
@@ -76,14 +102,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             found = pa.array(fingerprints_of(texts, shingle, seed).view(np.int64))
             yield pa.record_batch([part.column("doc_id"), part.column("_csift_key"), found], ["doc_id", "_csift_key", "fingerprint"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), key_column().alias("_csift_key"), F.col("text").cast("string").alias("text"))
+    named = (F.lit(None) if key is None else key).cast("string").alias("_csift_key")
+    rows = docs.select(F.col("doc_id").cast("long"), named, F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, _csift_key string, fingerprint long")
 
 
-def key_column():
-    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(whole_text(), 256)))
-
-
 def block_codes(codes: np.ndarray, block: int, blocks: int) -> np.ndarray:
     width = BITS // blocks
     return (codes >> np.uint64(block * width)) & np.uint64((1 << width) - 1)
@@ -126,9 +149,9 @@ def links(points: DataFrame, reach: int = REACH, blocks: int = BLOCKS, sample: i
     return dealt.repartition(tasks, "block", "leaf", "i", "j").groupBy("block", "leaf", "i", "j").applyInArrow(groups, "a long, b long")
 
 
-def components(docs: DataFrame, **parameters) -> tuple[DataFrame, DataFrame]:
+def components(docs: DataFrame, key=None, **parameters) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, _csift_key, fingerprint), (fingerprint, component_id, _csift_best: key of the row that stays)."""
-    rows = durable(fingerprints(docs))
+    rows = durable(fingerprints(docs, key=key))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_csift_key"))
     points = durable(rows.groupBy("fingerprint").agg(best.alias("best")))
     joined = stars(links(points, **parameters))
@@ -145,13 +168,19 @@ def near_copies(docs: DataFrame, **parameters) -> DataFrame:
     return rows.join(found, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id; all columns.
+def drop_near_copies(docs: DataFrame, similarity: tuple[int, int] | None = None, **parameters) -> DataFrame:
+    """docs with one document of each component, the one with the least doc_id (null only if there is no other); all columns.
 
-    Rows that share a doc_id are one document.
+    similarity: a fraction, such as (4, 5); documents are then linked by the similarity of their 5-word shingles.
+    Of repeated rows (same doc_id and text) one stays.
     """
-    _, found = components(docs, **parameters)
-    staying = durable(found.select(F.col("_csift_best").alias("_csift_key")).distinct())
+    if similarity is None:
+        _, found = components(docs, key=text_key(), **parameters)
+        staying = found.select(F.col("_csift_best").alias("_csift_key")).distinct()
+    else:
+        from csift.llm import similar
+
+        staying = similar.staying(docs, similarity, **parameters)
     first = Window.partitionBy("_csift_key").orderBy("_csift_key")
-    kept = docs.withColumn("_csift_key", key_column()).join(staying, "_csift_key", "left_semi")
+    kept = docs.withColumn("_csift_key", text_key()).join(durable(staying), "_csift_key", "left_semi")
     return kept.withColumn("_csift_nth", F.row_number().over(first)).filter("_csift_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

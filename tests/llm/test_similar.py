@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from csift.llm import similar
+from csift.llm import similar, simhash
 
 
 def word_sets(texts):
@@ -45,6 +47,45 @@ def test_stage_finds_every_pair(spark):
     out = corpus_pipeline.near_deduplication(spark, docs, "")
     wanted = brute_force(ids, texts)
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == wanted and len(wanted) < len(texts)
-    # neither the order of the shingles nor how asked texts are joined matters
-    assert sorted(r["doc_id"] for r in similar.drop_similar(docs, sample=20, most=5).collect()) == wanted
+    # neither the order of the shingles nor the number of rounds matters
+    kept = simhash.drop_near_copies(docs, similarity=(4, 5), sample=20, most=5, small=2, rounds=2)
+    assert sorted(r["doc_id"] for r in kept.collect()) == wanted
     assert corpus_pipeline.near_deduplication(spark, docs.limit(0), "").count() == 0
+
+
+def edited(group, count, edits, chance):
+    """Copies of a text with edits that are each copy's own."""
+    base = [f"g{group}w{i}" for i in range(150)]
+    for k in range(count):
+        copy = list(base)
+        for at in chance.sample(range(len(base)), edits(k)):
+            copy[at] = f"own{group}-{k}-{at}"
+        yield " ".join(copy)
+
+
+def test_large_groups_make_no_squares(spark, monkeypatch):
+    """Links are found from central copies; pairs of a group's members aren't compared one by one."""
+    chance = random.Random(8)
+    texts = [*edited(0, 160, lambda k: chance.choice([0, 1, 2, 3, 4, 5, 6]), chance), *edited(1, 60, lambda k: k % 3, chance)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    counts, possible = [], similar.Comparison.possible
+
+    def counted(self, pairs):
+        out = possible(self, pairs)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar.Comparison, "possible", counted)
+    monkeypatch.setattr(similar, "PART", 7)
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_copies(docs, similarity=(4, 5), small=20).collect())
+    assert kept == brute_force(range(len(texts)), texts)
+    assert sum(counts) < 6 * len(texts)
+
+
+def test_one_doc_id_with_two_texts_is_two_documents(spark):
+    rows = [(1, "one text about a river and a stone"), (1, "another text, of clouds and quiet houses"), (1, "one text about a river and a stone"), (None, "x"), (None, "y"), (None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("point", F.lit(1)).withColumn("root", F.lit(2)).repartition(3)
+    for similarity in (None, (4, 5)):
+        kept = simhash.drop_near_copies(docs, similarity=similarity)
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted({(i or 0, t) for i, t in rows})
