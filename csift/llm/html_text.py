@@ -1,13 +1,20 @@
 """HTML extraction with removal of site templates.
 
-Each page's element subtrees are hashed; Spark counts for each host on how many pages a subtree stands (a page counts
-once), and subtrees on many of a host's pages are its template. A page's main text is what its article (or main
-element, or else body) holds without template subtrees, and without elements whose name or class says that they are
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments. Inside an article, a
-recurring paragraph, heading or inline element is text and stays: sentences recur too.
-
-Of copies of a page on a host one counts, so copies don't make a template, and the counting is a partial aggregate. Template hashes are broadcast while there are at most BROADCAST_TEMPLATES, which is counted;
-beyond, each page gets those it holds by a join on its hashes.
+Each page's element subtrees are hashed in two ways: the whole subtree, and for containers (elements that aren't of
+running text) its slot, in which texts are masked, so that a menu with changing words recurs. Spark counts for each
+host on how many pages a hash stands (a page, and of its copies one, counts once) and how much of their text it holds.
+A hash on many pages that holds little of their text is a template: such subtrees are deleted. A slot on many pages
+that holds much of it is content, and is gone through. So on a host of several pages the counts decide what of a
+page's body is its main text.
+
+Counts can't tell in two places, and there names, classes and roles do (see `named`): for subtrees on too few pages,
+where a page of which nothing recurs is its article, main element or else body; and inside an article, whose parts
+are no template for being of one shape. There subtrees go that recur as a whole, unless they are running text, for
+sentences recur too.
+
+Counting is a partial aggregate by host and hash, so a hot host is spread. Verdicts, 9 bytes a hash, are broadcast
+while there are at most BROADCAST, which is counted; beyond, each page gets those it holds by a join on its hashes,
+in which pages are shuffled once.
 
 Defined results: null html has the empty text; a null or strange url has the empty host (it's then a host of its own);
 repeated pages give the same text each; an empty table gives an empty result; other columns don't matter.
@@ -15,126 +22,171 @@ repeated pages give the same text each; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from csift.llm.common import durable, slices
-from csift.llm.htmltree import Element, blocks, hashed, parse
+from csift.llm.htmltree import FLOW, Element, below, blocks, hashed, parse
 
-#: A template subtree is on this many of a host's distinct pages, and on this part of them.
+#: A template is on this many of a host's distinct pages, and on this part of them, and holds at most this part of their text.
 MIN_PAGES = 5
-MIN_SHARE = 0.2
-BROADCAST_TEMPLATES = 50_000
+MIN_SHARE = 0.1
+MOST_TEXT = 0.3
+BROADCAST = 1 << 21
 
-DROPPED = frozenset("script style noscript template nav aside form iframe object embed svg canvas audio video select button textarea input dialog menu head title footer".split())
+#: Never text.
+SILENT = frozenset("script style noscript template head title iframe object embed svg canvas audio video".split())
+DROPPED = frozenset("nav aside form select button textarea input dialog menu footer".split())
 LABELS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget related recommended share sharing social newsletter subscribe signup login form "
     "comment comments reply replies disqus footer header masthead topbar toolbar pagination skip copyright".split()
 )
 ROLES = frozenset("navigation banner complementary contentinfo search form alert dialog menu menubar".split())
-#: Elements of running text; recurring ones stay if they stand in the article.
-FLOW = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong a span br u s small sub sup code pre blockquote li ul ol dl dt dd table tbody thead tr td th figure figcaption q cite mark time abbr".split())
+UNKNOWN, TEMPLATE, CONTENT = 0, 1, 2
 
 
-def labelled(element: Element) -> bool:
-    words = re.split(r"[^a-z]+", f"{element.attributes.get('class', '')} {element.attributes.get('id', '')}".lower())
+def labelled(x: Element) -> bool:
+    words = re.split(r"[^a-z]+", f"{x.attributes.get('class', '')} {x.attributes.get('id', '')}".lower())
     return not LABELS.isdisjoint(words)
 
 
-def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's main text; templates: digests of subtrees to delete."""
-    root = parse(page)
-    order = hashed(root)
-    chosen = [x for x in order if x.name == "article" and not labelled(x)] or [x for x in order if x.name == "main" or x.attributes.get("role") == "main"]
-    inside_article = bool(chosen)
-    tops = chosen or [x for x in order if x.name == "body"][:1] or [root]
-    nested = {id(y) for x in tops for y in _below(x)}
-    tops = [x for x in tops if id(x) not in nested]
+def named(x: Element) -> bool:
+    """Whether its name, role or labels say that an element isn't of the main text."""
+    return x.name in DROPPED or x.attributes.get("role") in ROLES or "hidden" in x.attributes or labelled(x)
 
-    def skip(x: Element) -> bool:
-        if x.name in DROPPED or x.attributes.get("role") in ROLES or "hidden" in x.attributes or labelled(x):
-            return True
-        if x.name == "header" and not inside_article:
-            return True
-        return x.digest in templates and not (inside_article and x.name in FLOW)
 
-    position = {id(x): i for i, x in enumerate(_document_order(root))}
-    return "\n".join(text for x in sorted(tops, key=lambda x: position[id(x)]) for text in blocks(x, skip))
+def articles(order: list[Element]) -> list[Element]:
+    found = [x for x in order if x.name == "article" and not labelled(x)] or [x for x in order if x.name == "main" or x.attributes.get("role") == "main"]
+    nested = {id(y) for x in found for y in below(x)}
+    return [x for x in found if id(x) not in nested]
 
 
-def _below(x: Element) -> list[Element]:
-    out, todo = [], [c for c in x.children if isinstance(c, Element)]
-    while todo:
-        y = todo.pop()
-        out.append(y)
-        todo += [c for c in y.children if isinstance(c, Element)]
-    return out
+def main_text(page: str, verdicts=None, names: bool = True) -> str:
+    """The page's main text. verdicts: of an array of hashes what the host's counts say of each, nothing if it isn't
+    given; without names the counts alone decide."""
+    order = hashed(parse(page))
+    whole = np.zeros(len(order), np.int8) if verdicts is None else verdicts(np.array([x.digest for x in order], np.int64))
+    slots = np.zeros(len(order), np.int8) if verdicts is None else verdicts(np.array([x.slot for x in order], np.int64))
+    said = {id(x): (w, s) for x, w, s in zip(order, whole.tolist(), slots.tolist())}
+    body = next((x for x in order if x.name == "body"), order[0])
+    found = articles(order)
+    counted = said[id(body)][1] == CONTENT
+    inner = found
+    if not inner and counted:
+        # no article is marked: the innermost containers that hold much of the text are one
+        rich = [x for x in order if said[id(x)][1] == CONTENT and x not in (body, order[0]) and x.name != "html"]
+        inner = [x for x in rich if not any(said[id(y)][1] == CONTENT for y in below(x))]
+    inside = {id(y) for x in inner for y in below(x)}
 
+    def skip(x: Element) -> bool:
+        if x.name in SILENT:
+            return True
+        recurs, slot = said[id(x)]
+        if id(x) in inside:
+            return recurs == TEMPLATE and x.name not in FLOW or names and named(x)
+        if recurs == TEMPLATE or slot == TEMPLATE:
+            return True
+        return slot != CONTENT and names and (named(x) or x.name == "header")
 
-def _document_order(root: Element) -> list[Element]:
-    out, todo = [], [root]
-    while todo:
-        x = todo.pop()
-        out.append(x)
-        todo += [c for c in reversed(x.children) if isinstance(c, Element)]
-    return out
+    tops = [body] if counted or not names else found or [body]
+    return "\n".join(text for x in tops for text in blocks(x, skip))
 
 
 def host_column(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def host_mark(host: str) -> np.int64:
+    """Hashes of a host's pages are mixed with its own."""
+    return np.int64(int.from_bytes(hashlib.blake2b(host.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
+
+
 def page_hashes(pages: DataFrame) -> DataFrame:
-    """_csift_host, _csift_page (digest of the html) and hashes: the distinct subtrees of each distinct page of a host.
+    """_csift_host, _csift_page (digest of the html), chars and found: array of (hash, chars) of each distinct page of a host.
 
-    Pages are hashed where they lie, so that hashes are shuffled to tell copies, not html.
+    Pages are hashed where they lie, so that hashes are shuffled to tell copies, not html. Running text of an article
+    isn't hashed, for it stays whatever the counts are.
     """
 
+    def hashes_of(text: str, mark: np.int64) -> tuple[list[dict], int]:
+        order = hashed(parse(text))
+        inside = {id(y) for x in articles(order) for y in below(x)}
+        held: dict[int, int] = {}
+        for x in order[1:]:
+            if x.name not in FLOW:
+                held[x.slot] = held.get(x.slot, 0) + x.chars
+            if x.name not in FLOW or id(x) not in inside:
+                held[x.digest] = held.get(x.digest, 0) + x.chars
+        body = next((x for x in order if x.name == "body"), order[0])
+        return [{"hash": int(np.int64(k) ^ mark), "chars": n} for k, n in sorted(held.items())], body.chars
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html", 1 << 20):
-            found = [sorted({x.digest - (1 << 64) if x.digest >> 63 else x.digest for x in hashed(parse(text or ""))[1:]}) for text in part.column("html").to_pylist()]
-            yield pa.record_batch([part.column("_csift_host"), part.column("_csift_page"), pa.array(found, pa.list_(pa.int64()))], ["_csift_host", "_csift_page", "hashes"])
+            made = [hashes_of(text or "", host_mark(host)) for host, text in zip(part.column("_csift_host").to_pylist(), part.column("html").to_pylist())]
+            found = pa.array([x for x, _ in made], pa.list_(pa.struct([("hash", pa.int64()), ("chars", pa.int64())])))
+            yield pa.record_batch([part.column("_csift_host"), part.column("_csift_page"), pa.array([n for _, n in made], pa.int64()), found], ["_csift_host", "_csift_page", "chars", "found"])
+
+    rows = pages.select("_csift_host", "_csift_page", "html").mapInArrow(run, "_csift_host string, _csift_page binary, chars long, found array<struct<hash:long,chars:long>>")
+    return rows.groupBy("_csift_host", "_csift_page").agg(F.first("chars").alias("chars"), F.first("found").alias("found"))
+
+
+def verdicts_of(distinct: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most_text: float = MOST_TEXT) -> DataFrame:
+    """(hash, verdict) of hashes on at least min_pages of a host's distinct pages, but for those of which counts say nothing."""
+    # hash null stands for the host itself, so that its number of pages comes with the counts
+    each = distinct.select("_csift_host", F.col("chars").alias("of"), F.explode(F.concat("found", F.array(F.struct(F.lit(None).cast("long").alias("hash"), F.col("chars"))))).alias("x"))
+    counts = each.groupBy("_csift_host", F.col("x.hash").alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.chars").alias("chars"), F.sum("of").alias("of"))
+    counts = counts.filter(F.col("n") >= min_pages)
+    pages = F.max(F.when(F.col("hash").isNull(), F.col("n"))).over(Window.partitionBy("_csift_host"))
+    little = F.col("chars") <= most_text * F.col("of")
+    verdict = F.when(~little, CONTENT).when(F.col("n") >= min_share * F.col("pages"), TEMPLATE)
+    return counts.withColumn("pages", pages).withColumn("verdict", verdict.cast("byte")).filter("hash is not null and verdict is not null").select("hash", "verdict")
+
 
-    rows = pages.select("_csift_host", "_csift_page", "html").mapInArrow(run, "_csift_host string, _csift_page binary, hashes array<long>")
-    return rows.groupBy("_csift_host", "_csift_page").agg(F.first("hashes").alias("hashes"))
+def looked_up(keys: np.ndarray, values: np.ndarray, mark: np.int64):
+    """verdicts for `main_text`; keys are sorted."""
 
+    def of(hashes: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(hashes), np.int8)
+        wanted = hashes ^ mark
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where((keys[at] == wanted) & (hashes != 0), values[at], np.int8(UNKNOWN))
 
-def templates(distinct: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(_csift_host, hash) of subtrees on many of a host's distinct pages."""
-    each = distinct.select("_csift_host", F.explode("hashes").alias("hash"))
-    counts = each.groupBy("_csift_host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    sizes = distinct.groupBy("_csift_host").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(sizes, "_csift_host").filter(F.col("n") >= min_share * F.col("pages")).select("_csift_host", "hash")
+    return of
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most_text: float = MOST_TEXT, broadcast: int = BROADCAST, names: bool = True) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("_csift_host", host_column()).withColumn("_csift_page", F.unhex(F.sha2("html", 256)))
     distinct = durable(page_hashes(rows))
-    found = durable(templates(distinct, min_pages, min_share))
-    if found.count() <= broadcast_templates:
-        per_host = pages.sparkSession.sparkContext.broadcast(
-            {host: frozenset(hashes) for host, hashes in found.groupBy("_csift_host").agg(F.collect_list("hash")).collect()}
-        )
-        rows = rows.withColumn("_csift_held", F.lit(None).cast("array<long>"))
+    found = durable(verdicts_of(distinct, min_pages, min_share, most_text))
+    if found.count() <= broadcast:
+        table = found.groupBy("hash").agg(F.max("verdict").alias("verdict")).toPandas().sort_values("hash")
+        known = pages.sparkSession.sparkContext.broadcast((table["hash"].to_numpy(np.int64), table["verdict"].to_numpy(np.int8)))
+        rows = rows.withColumn("_csift_held", F.lit(None).cast("array<struct<hash:long,verdict:byte>>"))
     else:
-        per_host = None
-        held = distinct.select("_csift_host", "_csift_page", F.explode("hashes").alias("hash")).join(found, ["_csift_host", "hash"])
-        held = durable(held.groupBy("_csift_host", "_csift_page").agg(F.collect_list("hash").alias("_csift_held")))
+        known = None
+        held = distinct.select("_csift_host", "_csift_page", F.explode("found.hash").alias("hash")).join(found, "hash")
+        held = durable(held.groupBy("_csift_host", "_csift_page").agg(F.sort_array(F.collect_list(F.struct("hash", "verdict"))).alias("_csift_held")))
         rows = rows.join(held, ["_csift_host", "_csift_page"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html", 1 << 20):
             texts = []
             for host, text, held in zip(part.column("_csift_host").to_pylist(), part.column("html").to_pylist(), part.column("_csift_held").to_pylist()):
-                known = held or () if per_host is None else per_host.value.get(host, ())
-                texts.append(main_text(text, {x & 0xFFFFFFFFFFFFFFFF for x in known}))
+                if known is not None:
+                    keys, values = known.value
+                else:
+                    keys, values = np.array([x["hash"] for x in held or ()], np.int64), np.array([x["verdict"] for x in held or ()], np.int8)
+                texts.append(main_text(text, looked_up(keys, values, host_mark(host)), names))
             yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(rows.dtypes)["page_id"]
