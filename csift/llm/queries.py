@@ -100,25 +100,31 @@ def _escaped(x: str) -> str:
 
 
 OP6_SQL = f"""
-WITH c AS (
+WITH RECURSIVE c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '{PLANTED}'), (-7, 1, 'assistant', '{PLANTED}')),
-t AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + {chat.MARKS} AS tokens, row_number() OVER w AS place,
-             length({_escaped('role')}) + length({_escaped('text')}) + {len('<s>[INST][/INST]</s>')} AS chars
-      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-b AS (SELECT *, sum(tokens) OVER w - tokens AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
-s AS (SELECT *, floor(before / {chat.BUDGET - chat.HISTORY_TOKENS}) AS span FROM b),
-f AS (SELECT *, CAST(span <> coalesce(lag(span) OVER (PARTITION BY conv_id ORDER BY place), -1) AS INT) AS starts FROM s),
-g AS (SELECT *, max(place) OVER (PARTITION BY conv_id) AS n_turns, sum(starts) OVER (PARTITION BY conv_id) AS n_windows,
-             sum(starts) OVER (PARTITION BY conv_id ORDER BY place) AS own,
-             coalesce(CAST(lead(starts, 1) OVER w = 1 AND lead(before, 1) OVER w - before <= {chat.HISTORY_TOKENS} AS INT), 0)
-             + coalesce(CAST(lead(starts, 2) OVER w = 1 AND lead(before, 2) OVER w - before <= {chat.HISTORY_TOKENS} AS INT), 0) AS again
-      FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY place))
+n AS (SELECT *, CASE WHEN conv_id IS NULL THEN md5(coalesce(CAST(turn AS VARCHAR), '') || '|' || role || '|' || text) END AS row_key,
+             len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + {chat.MARKS} AS tokens,
+             length({_escaped('role')}) + length({_escaped('text')}) + {len('<s>[INST][/INST]</s>')} AS chars FROM c),
+p AS (SELECT *, row_number() OVER w AS place, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) - tokens AS before FROM n WINDOW w AS (PARTITION BY conv_id, row_key ORDER BY turn, role, text)),
+k AS (SELECT *, coalesce(max(CASE WHEN place = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id, row_key), 0) AS kept FROM p),
+t AS (SELECT *, greatest(1, {chat.BUDGET - chat.HISTORY_TOKENS} - kept) AS room, floor(before / (greatest(1, {chat.BUDGET - chat.HISTORY_TOKENS} - kept) * {chat.BLOCKS})) AS stretch FROM k),
+g AS (
+  SELECT conv_id, row_key, place, stretch, tokens AS used, 1 AS win FROM t WHERE place = 1
+  UNION ALL
+  SELECT t.conv_id, t.row_key, t.place, t.stretch, CASE WHEN t.stretch <> g.stretch OR g.used + t.tokens > t.room THEN t.tokens ELSE g.used + t.tokens END,
+         g.win + CASE WHEN t.stretch <> g.stretch OR g.used + t.tokens > t.room THEN 1 ELSE 0 END
+  FROM g JOIN t ON t.conv_id IS NOT DISTINCT FROM g.conv_id AND t.row_key IS NOT DISTINCT FROM g.row_key AND t.place = g.place + 1),
+f AS (SELECT t.*, g.win, sum(t.tokens) OVER (PARTITION BY t.conv_id, t.row_key, g.win) AS spanned, max(g.win) OVER (PARTITION BY t.conv_id, t.row_key) AS n_windows,
+             count(*) OVER (PARTITION BY t.conv_id, t.row_key) AS n_turns
+      FROM t JOIN g ON t.conv_id IS NOT DISTINCT FROM g.conv_id AND t.row_key IS NOT DISTINCT FROM g.row_key AND t.place = g.place),
+a AS (SELECT *, {" + ".join(f"coalesce(CAST(lead(win, {j}) OVER w > lead(win, {j - 1}) OVER w AND lead(before, {j}) OVER w - before <= {chat.HISTORY_TOKENS} AND lead(before, {j}) OVER w - before + kept + lead(spanned, {j}) OVER w <= {chat.BUDGET} AS INT), 0)" for j in range(1, chat.HISTORY_TURNS + 1))} AS again
+      FROM f WINDOW w AS (PARTITION BY conv_id, row_key ORDER BY place))
 SELECT conv_id, max(n_turns) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '')) AS loss_sha256,
-       CAST(sum(chars * (1 + CASE WHEN place = 1 AND role = 'system' THEN n_windows - own ELSE again END)) AS BIGINT) AS formatted_chars
-FROM g GROUP BY conv_id
+       CAST(sum(chars * (1 + CASE WHEN place = 1 AND role = 'system' THEN n_windows - win ELSE again END)) AS BIGINT) AS formatted_chars
+FROM a GROUP BY conv_id, row_key
 """
 
 
