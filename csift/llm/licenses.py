@@ -6,9 +6,10 @@ first line, as many words as the longest notice. Of joins and single lines that
 a notice counts, of equally near ones the one of the fewest lines, then the first. A multinomial logistic regression over word 1- and 2-grams, with an L1 term,
 tells licence families and "unknown" apart. It is trained here on notices of the families below, with words dropped
 and foreign words around them, against sentences that only mention such words and a bounded sample (NEGATIVES) of the
-corpus's own lines. Its probabilities are calibrated by a temperature on notices kept aside; a paragraph whose
-calibrated probability is under LIKELY is unknown. A predicted family counts only if one of its notices shares at
-least SIMILAR of its word 2-grams with the paragraph.
+corpus's own lines (of at most LINE characters). Its probabilities are calibrated by a temperature on notices that the
+model hasn't seen; a paragraph whose calibrated probability is under LIKELY is unknown. A predicted family counts only
+if one of its notices shares at least SIMILAR of its word 2-grams with the paragraph, which must also have half of the
+words that tell this notice from other families', and if no other family's notice shares more.
 
 Defined results: null and empty text have no paragraph and no licence; repeated rows are scanned alike; an empty table
 gives an empty result (the model is then trained without lines of a corpus); other columns don't matter.
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from csift.llm.common import hash_sample, slices
 from csift.llm.linear import Rows, fit_softmax, softmax
 
+#: Lines of the corpus that the model is trained on at most, and the characters of the longest of them.
 NEGATIVES = 400
+LINE = 2000
 LIKELY = 0.5
 SIMILAR = 0.6
 VARIANTS = 24
@@ -148,7 +151,11 @@ def words_of(text: str) -> list[str]:
 
 
 TEMPLATES = {family: [pairs(x) for x in notices] for family, notices in NOTICES.items()}
-
+#: Words of a notice that no other family's notices have: half of them must stand in what it confirms.
+TELLING = {
+    family: [frozenset(words_of(x)) - {w for other, more in NOTICES.items() if other != family for y in more for w in words_of(y)} for x in notices]
+    for family, notices in NOTICES.items()
+}
 EVERY_PAIR = frozenset(x for notices in TEMPLATES.values() for notice in notices for x in notice)
 LONGEST = max(len(words_of(x)) for notices in NOTICES.values() for x in notices)
 
@@ -158,10 +165,13 @@ def near_a_notice(held: set[tuple[str, str]]) -> bool:
     return any(len(held & x) / len(x) >= SIMILAR for notices in TEMPLATES.values() for x in notices)
 
 
-def similarity(paragraph: str, family: str) -> float:
-    """The largest part of a notice's word 2-grams that the paragraph has."""
-    held = pairs(paragraph)
-    return max(len(held & x) / len(x) for x in TEMPLATES[family])
+def similarities(paragraph: str) -> dict[str, float]:
+    """For each family the largest part of a notice's word 2-grams that the paragraph has, of notices whose telling words it has."""
+    held, found = pairs(paragraph), frozenset(words_of(paragraph))
+    return {
+        family: max(len(held & x) / len(x) if 2 * len(found & telling) >= len(telling) else 0.0 for x, telling in zip(notices, TELLING[family]))
+        for family, notices in TEMPLATES.items()
+    }
 
 
 @dataclass(frozen=True)
@@ -186,53 +196,74 @@ class Model:
         name = self.families[best]
         if name == UNKNOWN or mass[best] < LIKELY:
             return UNKNOWN, float(mass[self.families.index(UNKNOWN)]), 0.0
-        alike = similarity(paragraph, name)
-        return (name, float(mass[best]), alike) if alike >= SIMILAR else (UNKNOWN, float(mass[best]), alike)
+        alike = similarities(paragraph)
+        confirmed = SIMILAR <= alike[name] == max(alike.values())
+        return (name if confirmed else UNKNOWN, float(mass[best]), alike[name])
 
 
-def train(lines: list[str], seed: int = 3) -> Model:
-    """lines: of the corpus; those that resemble a notice are left out."""
-    chance = np.random.default_rng(seed)
-    families = (UNKNOWN, *NOTICES)
-    plain = sorted({x for x in lines if max(similarity(x, f) for f in NOTICES) < 0.4}) or MENTIONS
-    foreign = [w for x in plain[:50] for w in x.split()[:40]]
-    examples, classes = [], []
-
-    def varied(text: str) -> str:
+class Examples:
+    """Notices with words dropped and foreign words around them, and texts that are none."""
+
+    def __init__(self, lines: list[str], seed: int):
+        self.chance = np.random.default_rng(seed)
+        self.plain = sorted({x for x in lines if max(similarities(x).values()) < 0.4}) or MENTIONS
+        self.foreign = [w for x in self.plain for w in x.split()]
+
+    def varied(self, text: str) -> str:
+        chance, foreign = self.chance, self.foreign
         words = [w for w in text.split() if chance.random() > 0.06]
         around = [foreign[i] for i in chance.integers(0, len(foreign), chance.integers(0, 9))] if chance.random() < 0.5 else []
         half = int(chance.integers(0, len(around) + 1))
         return " ".join([*around[:half], *words, *around[half:]])
 
-    for family, notices in NOTICES.items():
-        for notice in notices:
-            examples += [notice, *(varied(notice) for _ in range(VARIANTS - 1))]
-            classes += [families.index(family)] * VARIANTS
-    others = [*MENTIONS, *plain, *(varied(x) for x in MENTIONS for _ in range(6))]
-    examples += others
-    classes += [0] * len(others)
-    found, y = [grams(x) for x in examples], np.array(classes)
+    def made(self, notices: dict[str, list[str]], others: list[str]) -> tuple[list[set[str]], np.ndarray]:
+        """Terms and classes; the classes are unknown, then those of NOTICES."""
+        found, classes = [], []
+        for k, family in enumerate(NOTICES, 1):
+            for notice in notices.get(family, ()):
+                found += [grams(notice), *(grams(self.varied(notice)) for _ in range(VARIANTS - 1))]
+                classes += [k] * VARIANTS
+        for text in others:
+            found += [grams(text), *(grams(self.varied(text)) for _ in range(6 if text in MENTIONS else 0))]
+        return found, np.array(classes + [0] * (len(found) - len(classes)))
+
+
+def fitted(found: list[set[str]], classes: np.ndarray) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     counts: dict[str, int] = {}
     for terms in found:
         for t in terms:
             counts[t] = counts.get(t, 0) + 1
-    aside = chance.random(len(y)) < 0.2
     index = {t: i for i, t in enumerate(sorted(t for t, n in counts.items() if n >= 4))}
-    weights, intercepts = fit_softmax(Rows.of([sorted(t) for t, a in zip(found, aside) if not a], index), y[~aside], len(families), SHRINK)
+    weights, intercepts = fit_softmax(Rows.of([sorted(t) for t in found], index), classes, len(NOTICES) + 1, SHRINK)
     kept = np.abs(weights).max(1) > 1e-4
     index = {t: i for i, t in enumerate(t for t, i in sorted(index.items(), key=lambda x: x[1]) if kept[i])}
-    weights = weights[kept]
-    margins = Rows.of([sorted(t) for t, a in zip(found, aside) if a], index).times(weights) + intercepts
-    losses = {t: -np.log(np.maximum(softmax(margins / t)[np.arange(len(margins)), y[aside]], 1e-12)).mean() for t in np.geomspace(0.2, 5, 33)} if aside.any() else {1.0: 0.0}
-    return Model(families, index, weights, intercepts, float(min(losses, key=losses.get)))
+    return index, weights[kept], intercepts
 
 
-def sample_lines(docs: DataFrame, sample: int = NEGATIVES) -> list[str]:
-    """The line of each of `sample` documents, chosen by a hash, that a hash of the document points to."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+def train(lines: list[str], seed: int = 3) -> Model:
+    """lines: of the corpus; those that resemble a notice are left out.
+
+    The temperature is the one at which a model that hasn't seen a family's last notices, nor half of the others'
+    texts, is most likely right about them; the model itself learns from all.
+    """
+    examples = Examples(lines, seed)
+    others = [*MENTIONS, *examples.plain]
+    seen = {f: x[: -max(1, len(x) // 3)] for f, x in NOTICES.items()}
+    unseen = {f: x[len(seen[f]) :] for f, x in NOTICES.items()}
+    index, weights, intercepts = fitted(*examples.made(seen, others[::2]))
+    found, classes = examples.made(unseen, others[1::2])
+    margins = Rows.of([sorted(t) for t in found], index).times(weights) + intercepts
+    losses = {t: -np.log(np.maximum(softmax(margins / t)[np.arange(len(classes)), classes], 1e-12)).mean() for t in np.geomspace(0.2, 5, 33)}
+    index, weights, intercepts = fitted(*examples.made(NOTICES, others))
+    return Model((UNKNOWN, *NOTICES), index, weights, intercepts, float(min(losses, key=losses.get)))
+
+
+def sample_lines(docs: DataFrame, sample: int = NEGATIVES, longest: int = LINE) -> list[str]:
+    """Of `sample` documents, chosen by a hash, the line that a hash of the document points to, of lines of at most `longest` characters."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: (F.trim(x) != "") & (F.length(x) <= longest))
     chosen = hash_sample(docs.select("doc_id", "text"), "doc_id", sample).filter(F.length(F.trim("text")) > 0).withColumn("_h", F.xxhash64("text"))
     line = F.get(lines, F.pmod(F.col("_h"), F.greatest(F.size(lines), F.lit(1))).cast("int"))
-    return [x[0] for x in chosen.select(F.substring(line, 1, 2000)).distinct().collect() if x[0]]
+    return [x[0] for x in chosen.select(line).distinct().collect() if x[0]]
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
