@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("target", nargs="?", default=".")
     scan.add_argument("--config", "-c")
     scan.add_argument("--output", "-o")
-    scan.add_argument("--format", "-f", choices=sorted(reports.RENDER))
+    scan.add_argument("--format", "-f", choices=sorted(reports.PIECES))
     scan.add_argument("--quiet", "-q", action="store_true")
     scan.add_argument("--ignore-file")
     scan.add_argument("--ignore-pattern", action="append", default=[])
@@ -44,10 +44,22 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def session():
+def session(quiet: bool = False):
+    """Spark shows the progress of long stages where someone looks."""
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("csift").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    shown = not quiet and sys.stderr.isatty()
+    return SparkSession.builder.appName("csift").config("spark.ui.showConsoleProgress", str(shown).lower()).getOrCreate()
+
+
+def write(scan, form: str, head: dict, path: str | None) -> None:
+    """A report to a file or to the terminal, piece by piece."""
+    if path is None:
+        for piece in reports.pieces(scan, form, head):
+            print(piece, end="")
+        return
+    with open(path, "w", encoding="utf-8") as file:
+        file.writelines(reports.pieces(scan, form, head))
 
 
 def run_scan(args, spark=None) -> int:
@@ -57,30 +69,24 @@ def run_scan(args, spark=None) -> int:
         for text in project.warnings:
             complain(f"warning: {text}")
         config = ScanConfig.of(project, mode=args.engine, severity=args.severity)
-        scan = scan_path(spark or session(), args.target, config, project, args.ignore_file, args.ignore_pattern, args.jobs)
-        whole = reports.as_dict(scan)
+        scan = scan_path(spark or session(args.quiet), args.target, config, project, args.ignore_file, args.ignore_pattern, args.jobs)
+        head = reports.overview(scan)
         if args.update_baseline:
-            with open(args.update_baseline, "w", encoding="utf-8") as file:
-                file.write(reports.to_json(whole))
+            write(scan, "json", head, args.update_baseline)
         if args.baseline:
             scan, warning = scan.against(args.baseline)
             if warning:
                 complain(f"warning: {warning}")
-            whole = reports.as_dict(scan)
-        text = reports.RENDER[reports.chosen_format(args.format, project.default_format, args.output)](whole)
-        if args.output:
-            with open(args.output, "w", encoding="utf-8") as file:
-                file.write(text)
-        else:
-            print(text, end="")
+            head = reports.overview(scan)
+        write(scan, reports.chosen_format(args.format, project.default_format, args.output), head, args.output)
+        if not args.quiet:
+            for e in scan.errors.orderBy("file_path").toLocalIterator():
+                complain(f"error: {e['file_path']}: {e['error_type']}: {e['message']}")
     except (OSError, BadConfig, BadBaseline, ValueError) as error:
         complain(f"error: {error}")
         return 1
-    if not args.quiet:
-        for e in whole["scan_errors"]:
-            complain(f"error: {e['file_path']}: {e['error_type']}: {e['message']}")
     fail_on = "high" if args.fail_on_high else args.fail_on or project.fail_on
-    return reports.exit_code(whole, fail_on, args.fail_on_error, args.warn_on_fallback or project.warn_on_fallback)
+    return reports.exit_code(head, fail_on, args.fail_on_error, args.warn_on_fallback or project.warn_on_fallback)
 
 
 def run_rules(args) -> int:

@@ -8,8 +8,8 @@ from __future__ import annotations
 import re
 
 from csift.frontend import fallback, flow
-from csift.frontend.syntax import Node, Type, parse, show
-from csift.frontend.tokens import Preprocessor, Token, Unreadable, tokens
+from csift.frontend.syntax import Node, Type, parse, readable_block, show
+from csift.frontend.tokens import Preprocessor, Token, TooLong, Unreadable, tokens
 
 #: Type names that are unsigned, and words of functions that decide on access.
 UNSIGNED = (
@@ -19,7 +19,7 @@ SIGNED = "int short long char ssize_t int8_t int16_t int32_t int64_t intptr_t pt
 DECIDING = "auth verify check_password validate_token boot_secure crypto admin login permission".split()
 KEYWORDS = ("if", "else", "for", "while", "do")
 WORD = re.compile(r"[A-Za-z_]\w*")
-PREPROCESSED, PLAIN, PATTERNS = "pcpp+pycparser", "directive-stripped", "regex-fallback"
+PREPROCESSED, PLAIN, PATTERNS = "macros-expanded", "directives-left-out", "patterns"
 
 
 def is_unsigned(kind: str, typedefs: set[str] | frozenset[str]) -> bool:
@@ -67,6 +67,7 @@ class FileFacts:
         self.edges: list[dict] = []
         self.facts: list[dict] = []
         self.lines = clean.split("\n")
+        self.reason: str | None = None
 
     def row(self) -> dict:
         tier, units = PREPROCESSED, None
@@ -76,6 +77,8 @@ class FileFacts:
                 source = read()
                 units, found = parse(source)
                 break
+            except TooLong as error:
+                self.reason = str(error)
             except (Unreadable, RecursionError):
                 continue
         else:
@@ -89,14 +92,14 @@ class FileFacts:
             self.globals = [self.variable(x) for x in units if x.kind == "declare" and not x.extra["type"].is_function]
             for number, node in enumerate(x for x in units if x.kind == "function"):
                 self.function(number, node)
-        status, confidence = ("fallback-parser", "FALLBACK") if tier == PATTERNS else ("pycparser-success", "FULL")
+        status, confidence = ("fallback-parser", "FALLBACK") if tier == PATTERNS else ("parsed", "FULL")
         return {
-            "status": status, "parse_tier": tier, "confidence": confidence, "unsigned_typedefs": self.typedefs, "functions": self.functions, "globals": self.globals,
+            "status": status, "reason": self.reason, "parse_tier": tier, "confidence": confidence, "unsigned_typedefs": self.typedefs, "functions": self.functions, "globals": self.globals,
             "switches": switches(self.clean), "controls": control_statements(self.clean), "hits": self.hits, "nodes": self.nodes, "edges": self.edges, "facts": self.facts,
         }
 
     def hit(self, rule: int, line: int, *parameters, column: int = 1) -> None:
-        row = {"rule": rule, "line": line, "column": column, "parameters": [str(p) for p in parameters]}
+        row = {"rule": rule, "line": line, "column": column, "parameters": [str(p) for p in parameters], "context": None, "pass": 1}
         if row not in self.hits:
             self.hits.append(row)
 
@@ -140,7 +143,7 @@ class FileFacts:
         self.functions.append(row)
         self.paths(number, node, row, variables)
         self.returned_addresses(node, listed)
-        self.text_rules(row)
+        self.arithmetic(body, row)
 
     def body_text(self, node: Node) -> str:
         lines = self.lines[node.extra["brace_line"] - 1 : node.last]
@@ -343,12 +346,12 @@ class FileFacts:
 
         visit(node.parts[0])
 
-    # 006 and 033 look at the text of the body's lines
-    def text_rules(self, row: dict) -> None:
+    # 006 and 033
+    def arithmetic(self, body: Node, row: dict) -> None:
         from csift.frontend import arithmetic
 
-        arithmetic.overflow(self, row)
-        arithmetic.signedness(self, row)
+        arithmetic.overflow(self, body)
+        arithmetic.signedness(self, body, row["types"])
 
     # by patterns
     def by_patterns(self) -> None:
@@ -386,8 +389,15 @@ class FileFacts:
                 "types": {**{g["name"]: g["type"] for g in self.globals}, **{v["name"]: v["type"] for v in variables.values()}, **{p["name"]: p["type"] for p in parameters if p["name"]}},
             }
             self.functions.append(row)
-            self.pattern_rules(row, inside, first, variables)
-            self.text_rules(row)
+            for v in variables.values():
+                if not v["is_pointer"] and not v["is_volatile"] and not v["has_initializer"] and not v["is_array"]:
+                    self.hit(23, v["line"], v["name"])
+            try:
+                body = readable_block(tokens(without_directives(self.clean[f["brace"] : f["end"] + 1]), first))
+            except Unreadable:
+                continue
+            self.rough_rules(row, Steps(body, flow.ALLOCATORS | flow.LEAK_ALLOCATORS | self.extra, self.deallocators))
+            self.arithmetic(body, row)
 
     def pattern_variable(self, v: dict) -> dict:
         kind = v["type"] + " *" * v["stars"] + (f"[{v['dimension']}]" if v["array"] else "")
@@ -397,54 +407,116 @@ class FileFacts:
             "array_size": (v["dimension"] or "").strip() or None, "line": v["line"], "assigned": [], "is_static": "static" in v["type"].split(),
         }
 
-    def pattern_rules(self, row: dict, inside: str, first: int, variables: dict[str, dict]) -> None:
-        """The flow rules' rougher forms: look a few lines ahead at no lesser depth."""
-        lines = inside.split("\n")
-        depth, depths = 0, []
-        for line in lines:
-            depth += line.count("{") - line.count("}")
-            depths.append(depth)
-        makers = "|".join(map(re.escape, sorted(flow.ALLOCATORS | self.extra, key=len, reverse=True)))
-        leakers = "|".join(map(re.escape, sorted(flow.LEAK_ALLOCATORS | self.extra, key=len, reverse=True)))
-        freers = "|".join(map(re.escape, sorted(self.deallocators, key=len, reverse=True)))
-
-        def ahead(k: int, most: int):
-            for j in range(k + 1, min(len(lines), k + 1 + most)):
-                if depths[j] < depths[k]:
-                    return
-                yield j
-
-        for k, line in enumerate(lines):
-            made = re.search(rf"\b(\w+)\s*=\s*(?:\([^)]*\)\s*)?(?:{makers})\s*\(", line)
-            if made:
-                tests = rf"\bif\s*\([^)]*?\b{re.escape(made[1])}\s*(?:==|!=)\s*(?:NULL|0)\b|\bif\s*\(\s*!?\s*{re.escape(made[1])}\s*[)&|]|\bassert\s*\([^)]*?\b{re.escape(made[1])}\b"
-                if not any(re.search(tests, lines[j]) for j in ahead(k, 7)):
-                    self.hit(3, first + k, made[1], column=made.start() + 1)
-            made = re.search(rf"\b(\w+)\s*=\s*(?:\([^)]*\)\s*)?(?:{leakers})\s*\(", line)
-            if made:
-                name = re.escape(made[1])
-                if not any(re.search(rf"\b(?:{freers})\s*\(\s*{name}\s*\)|\breturn\b[^;]*\b{name}\b|(?:\*\s*\w+|->\s*\w+)\s*=\s*{name}\b", lines[j]) for j in ahead(k, len(lines))):
-                    self.hit(36, first + k, made[1], first + k, column=made.start() + 1)
-            for freed in re.finditer(rf"\b(?:{freers})\s*\(\s*(\w+)\s*\)", line):
-                name = re.escape(freed[1])
-                for j in ahead(k, 200):
-                    if re.search(rf"\b{name}\s*=(?!=)", lines[j]):
+    def rough_rules(self, row: dict, steps: Steps) -> None:
+        """The flow rules where a body is only partly read: what stands behind a step, as long as no scope around it ends."""
+        for step in steps.all:
+            for name in sorted(step.event.allocated):
+                later = list(steps.behind(step))
+                if step.calls & (flow.ALLOCATORS | self.extra) and not any(name in x.tested or name in x.event.asserted for x in later if x.line <= step.line + 7):
+                    self.hit(3, step.line, name)
+                kept = any(name in x.event.freed or x.event.kind == "return" and name in x.event.reads or name in x.stored for x in later)
+                if not kept:
+                    self.hit(36, step.line, name, step.line)
+            for name in sorted(step.event.freed):
+                for x in steps.behind(step, 200):
+                    if name in x.event.writes:
+                        break
+                    if name in x.event.freed:
+                        self.hit(27, x.line, name)
                         break
-                    if re.search(rf"\b(?:{freers})\s*\(\s*{name}\s*\)", lines[j]):
-                        self.hit(27, first + j, freed[1])
+                    if name in x.event.derefs or name in x.passed:
+                        self.hit(22, x.line, name, step.line)
                         break
-                    if re.search(rf"\*\s*{name}\b|\b{name}\s*(?:->|\[)|[(,]\s*{name}\s*[,)]", lines[j]):
-                        self.hit(22, first + j, freed[1], first + k)
+            # where a name is null: set so, or tested for it
+            for name, after in [*((n, steps.behind(step)) for n in sorted(step.event.null_writes)), *((n, steps.inside(step)) for n in sorted(step.null_inside))]:
+                for x in after:
+                    if name in x.event.writes or x is not step and name in x.tested:
+                        break
+                    if name in x.event.derefs:
+                        self.hit(4, x.line, "null", name)
                         break
         for p in row["params"]:
             if p["is_pointer"] and p["name"]:
-                name = re.escape(p["name"])
-                used = next((k for k, line in enumerate(lines) if re.search(rf"(?<![\w)\]]\s)\*\s*{name}\b|\b{name}\s*(?:->|\[)", line)), None)
-                if used is not None and not any(re.search(rf"\b(?:if|assert)\s*\([^)]*\b{name}\b", line) for line in lines[: max(6, used)][: used + 1]):
-                    self.hit(4, first + used, "parameter", p["name"], row["name"])
-        for v in variables.values():
-            if not v["is_pointer"] and not v["is_volatile"] and not v["has_initializer"] and not v["is_array"]:
-                self.hit(23, v["line"], v["name"])
+                used = next((x for x in steps.all if p["name"] in x.event.derefs), None)
+                first = steps.all[0].line if steps.all else 0
+                tests = (x for x in steps.all if p["name"] in x.mentioned and (x.line < first + 6 or used is not None and x.at < used.at))
+                if used is not None and next(tests, None) is None:
+                    self.hit(4, used.line, "parameter", p["name"], row["name"])
+
+
+class Step:
+    """A statement or a condition of a body, read as an event of a graph, with the depth it stands at."""
+
+    def __init__(self, at: int, depth: int, event: flow.Event, condition: Node | None = None):
+        self.at, self.depth, self.event, self.line = at, depth, event, event.line
+        tree = condition if condition is not None else event.tree
+        held = flow.calls(tree)
+        self.calls = {flow.callee(x) for x in held}
+        self.passed = {a.text for x in held for a in x.parts[1:] if a.kind == "name"} - event.freed
+        self.mentioned = flow.names(condition) if condition is not None else set(event.asserted)
+        self.tested = set().union(*flow.null_tests(condition)) if condition is not None else set()
+        self.null_inside = flow.surely_null(condition)[0] if condition is not None else set()
+        target = flow.bare(event.tree.parts[0]) if condition is None and event.tree is not None and event.tree.kind == "assign" else None
+        self.stored = flow.names(event.tree.parts[1]) if target is not None and target.kind != "name" else set()
+
+
+class Steps:
+    """A body's steps in source order."""
+
+    def __init__(self, body: Node, allocators: frozenset, deallocators: frozenset):
+        self.all: list[Step] = []
+        self.allocators, self.deallocators = allocators, deallocators
+        for x in body.parts:
+            self._visit(x, 0)
+
+    def _plain(self, x: Node, depth: int) -> None:
+        event = flow.Event(len(self.all), x.kind, x.line, x)
+        flow.describe(event, x, self.allocators, self.deallocators)
+        self.all.append(Step(event.id, depth, event))
+
+    def _test(self, line: int, condition: Node | None, depth: int) -> None:
+        if condition is not None:
+            self.all.append(Step(len(self.all), depth, flow.Event(len(self.all), "test", line, None), condition))
+
+    def _visit(self, x: Node | None, depth: int) -> None:
+        if x is None or x.kind in ("empty", "break", "continue", "goto"):
+            return
+        if x.kind == "block":
+            for part in x.parts:
+                self._visit(part, depth + 1)
+        elif x.kind in ("if", "while", "switch"):
+            self._test(x.line, x.parts[0], depth)
+            for part in x.parts[1:]:
+                self._visit(part, depth + (part is not None and part.kind != "block"))
+        elif x.kind == "do":
+            self._visit(x.parts[0], depth)
+            self._test(x.line, x.parts[1], depth)
+        elif x.kind == "for":
+            *starts, condition, step, inner = x.parts
+            for part in starts:
+                self._plain(part, depth)
+            self._test(x.line, condition, depth)
+            self._visit(inner, depth + (inner is not None and inner.kind != "block"))
+            if step is not None:
+                self._plain(step, depth + 1)
+        elif x.kind in ("case", "default", "label"):
+            self._visit(x.parts[-1], depth)
+        else:
+            self._plain(x, depth)
+
+    def behind(self, step: Step, lines: int = 1 << 30):
+        """Later steps, until the scope that the step stands in ends."""
+        for x in self.all[step.at + 1 :]:
+            if x.depth < step.depth or x.line > step.line + lines:
+                return
+            yield x
+
+    def inside(self, test: Step):
+        """The steps that a condition governs."""
+        for x in self.all[test.at + 1 :]:
+            if x.depth <= test.depth:
+                return
+            yield x
 
 
 def live(graph: flow.Graph) -> list[flow.Event]:

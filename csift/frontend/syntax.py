@@ -130,7 +130,10 @@ def _within(node: Node) -> str:
 
 
 class Parser:
-    def __init__(self, source: list[Token]):
+    """recover: statements of blocks that can't be read are left out, and blocks may stay open."""
+
+    def __init__(self, source: list[Token], recover: bool = False):
+        self.recover = recover
         self.source = [t for t in source if t.kind != "line"]
         self.end = Token("end", "", self.source[-1].line if self.source else 1, 1)
         self.at = 0
@@ -429,13 +432,30 @@ class Parser:
         items: list[Node] = []
         while not self.got("}"):
             if self.peek().kind == "end":
+                if self.recover:
+                    break
                 raise Unreadable("block without end")
-            items += self.item()
+            items += self._readable_item() if self.recover else self.item()
         self.types.pop()
         out = Node("block", token.line, items)
         out.last = self.peek(-1).line
         return out
 
+    def _readable_item(self) -> list[Node]:
+        """The next item, or none where it can't be read: then what follows its semicolon or block goes on."""
+        begin, scopes = self.at, len(self.types)
+        try:
+            return self.item()
+        except Unreadable:
+            del self.types[scopes:]
+            self.at, depth = begin, 0
+            while self.peek().kind != "end" and (depth or self.peek().text != "}"):
+                text = self.take().text
+                depth += (text == "{") - (text == "}")
+                if depth == 0 and text in (";", "}"):
+                    break
+            return []
+
     def item(self) -> list[Node]:
         if self.peek().kind == "word" and self.peek(1).text == ":" and self.peek().text not in ("default", "case"):
             return [self.statement()]
@@ -683,3 +703,11 @@ def parse(source: list[Token]) -> tuple[list[Node], list[tuple[str, Type]]]:
         return parser.unit(), parser.typedefs
     except RecursionError as error:
         raise Unreadable("nested too deeply") from error
+
+
+def readable_block(source: list[Token]) -> Node:
+    """The block that tokens begin with, without the statements that can't be read."""
+    try:
+        return Parser(source, recover=True).block()
+    except RecursionError as error:
+        raise Unreadable("nested too deeply") from error

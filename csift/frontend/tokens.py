@@ -45,6 +45,14 @@ def tokens(text: str, line: int = 1) -> list[Token]:
     return out
 
 
+class TooLong(Unreadable):
+    """A macro's expansion passes the limit; the reason is reported with the file."""
+
+
+#: Tokens that macros may make of a stretch of text between directives; beyond, the file is read without macros.
+MOST_TOKENS = 200_000
+
+
 class Macro(NamedTuple):
     parameters: tuple[str, ...] | None
     variadic: bool
@@ -54,7 +62,8 @@ class Macro(NamedTuple):
 class Preprocessor:
     """Conditionals, object-like and function-like macros; includes are left out."""
 
-    def __init__(self):
+    def __init__(self, most_tokens: int = MOST_TOKENS):
+        self.most_tokens = most_tokens
         self.macros: dict[str, Macro] = {}
 
     def run(self, text: str) -> list[Token]:
@@ -112,7 +121,7 @@ class Preprocessor:
             self.macros[name.text] = Macro(parameters, variadic, tuple(body))
 
     def expand(self, line: list[Token], hidden: frozenset[str] = frozenset(), budget: list[int] | None = None) -> list[Token]:
-        budget = budget if budget is not None else [200_000]
+        budget = budget if budget is not None else [self.most_tokens]
         out, at = [], 0
         while at < len(line):
             token = line[at]
@@ -128,7 +137,7 @@ class Preprocessor:
                 body = self._filled(macro, arguments, hidden, budget)
             budget[0] -= len(body) + 1
             if budget[0] < 0:
-                raise Unreadable("macros grow too long")
+                raise TooLong(f"line {token.line}: macros, {token.text} the last, make more than {self.most_tokens} tokens")
             body = [Token(t.kind, t.text, token.line, token.column) for t in _pasted(body)]
             out += self.expand(body, hidden | {token.text}, budget)
         return out
@@ -166,31 +175,85 @@ class Preprocessor:
             else:
                 plain.append(line[at])
                 at += 1
-        words = []
-        for t in self.expand(plain):
-            if t.kind == "word":
-                words.append("0")
-            elif t.kind == "number":
-                try:
-                    digits = t.text.rstrip("uUlL")
-                    words.append(str(int(digits, 8) if re.fullmatch(r"0[0-7]+", digits) else int(digits, 0)))
-                except ValueError:
-                    return 0
-            elif t.text in ("&&", "||", "!"):
-                words.append({"&&": " and ", "||": " or ", "!": " not "}[t.text])
-            elif t.text in ("(", ")", "==", "!=", "<", ">", "<=", ">=", "+", "-", "*", "%", "&", "|", "^", "~", "<<", ">>"):
-                words.append(t.text)
-            elif t.text == "/":
-                words.append("//")
-            else:
-                return 0
         try:
-            text = "".join(words)
-            if len(text) > 2000 or "**" in text or re.search(r"<<\d{3,}", text):
-                return 0
-            return int(eval(text, {"__builtins__": {}}))  # only digits, operators and parentheses
-        except Exception:
+            return Condition(self.expand(plain)).value()
+        except (ValueError, ZeroDivisionError, RecursionError):
+            return 0
+
+
+#: Strength of binary operators in a condition.
+STRENGTH = {"||": 1, "&&": 2, "|": 3, "^": 4, "&": 5, "==": 6, "!=": 6, "<": 7, ">": 7, "<=": 7, ">=": 7, "<<": 8, ">>": 8, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10}
+WIDTH = 64
+
+
+def _quotient(a: int, b: int) -> int:
+    return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+
+
+OPERATIONS = {
+    "||": lambda a, b: int(bool(a or b)), "&&": lambda a, b: int(bool(a and b)), "|": lambda a, b: a | b, "^": lambda a, b: a ^ b, "&": lambda a, b: a & b,
+    "==": lambda a, b: int(a == b), "!=": lambda a, b: int(a != b), "<": lambda a, b: int(a < b), ">": lambda a, b: int(a > b), "<=": lambda a, b: int(a <= b), ">=": lambda a, b: int(a >= b),
+    "<<": lambda a, b: a << b if 0 <= b < WIDTH else 0, ">>": lambda a, b: a >> b if 0 <= b < WIDTH else 0, "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b,
+    "/": _quotient, "%": lambda a, b: a - _quotient(a, b) * b,
+}
+
+
+class Condition:
+    """The value of a constant expression; names count as 0."""
+
+    def __init__(self, line: list[Token]):
+        self.line, self.at = line, 0
+
+    def value(self) -> int:
+        out = self._choice()
+        if self.at < len(self.line):
+            raise ValueError(self._text())
+        return out
+
+    def _text(self) -> str:
+        return self.line[self.at].text if self.at < len(self.line) else ""
+
+    def _choice(self) -> int:
+        test = self._binary(1)
+        if self._text() != "?":
+            return test
+        self.at += 1
+        yes = self._choice()
+        if self._text() != ":":
+            raise ValueError(self._text())
+        self.at += 1
+        no = self._choice()
+        return yes if test else no
+
+    def _binary(self, least: int) -> int:
+        left = self._unary()
+        while STRENGTH.get(self._text(), 0) >= least:
+            op = self._text()
+            self.at += 1
+            right = self._binary(STRENGTH[op] + 1)
+            left = OPERATIONS[op](left, right)
+        return left
+
+    def _unary(self) -> int:
+        if self.at >= len(self.line):
+            raise ValueError("a value is missing")
+        token = self.line[self.at]
+        self.at += 1
+        if token.text == "(":
+            out = self._choice()
+            if self._text() != ")":
+                raise ValueError(self._text())
+            self.at += 1
+            return out
+        if token.text in ("!", "~", "-", "+"):
+            value = self._unary()
+            return {"!": int(not value), "~": ~value, "-": -value, "+": value}[token.text]
+        if token.kind == "word":
             return 0
+        if token.kind != "number":
+            raise ValueError(token.text)
+        digits = token.text.rstrip("uUlL")
+        return int(digits, 8) if re.fullmatch(r"0[0-7]+", digits) else int(digits, 0)
 
 
 def _arguments(line: list[Token], at: int) -> tuple[list[list[Token]], int]:

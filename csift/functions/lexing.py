@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 TOKEN = r"""(?s)/\*(?:.*?\*/|.*\z)|//[^\n]*|"(?:[^"\\]++|\\.)*+(?:"|\\?\z)|'(?:[^'\\]++|\\.)*+(?:'|\\?\z)|[^/"']++|/"""
 LITERAL = r"""(?s)"(?:[^"\\]++|\\.)*+(?:"|\\?\z)|'(?:[^'\\]++|\\.)*+(?:'|\\?\z)|[^"']++"""
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+#: ECMA-48: a control sequence has parameter bytes 30-3F, intermediate bytes 20-2F and a final byte 40-7E; another escape has one byte 40-5F.
+CONTROL_SEQUENCE = r"\x1b\[[\x30-\x3f]*[\x20-\x2f]*[\x40-\x7e]|\x1b[\x40-\x5f]"
 IDENTIFIER = r"\b[a-zA-Z_]\w*\b"
 
 
@@ -103,7 +105,7 @@ def fingerprint(rule_id: Column, path: Column, snippet: Column) -> Column:
 
 def terminal_text(text: Column) -> Column:
     """Without escape sequences, line ends and control characters."""
-    x = F.regexp_replace(text, "\x1b(?:[@-Z\\\\-_]|\\[[0-?]*[ -/]*[@-~])", "")
+    x = F.regexp_replace(text, CONTROL_SEQUENCE, "")
     return F.regexp_replace(F.regexp_replace(x, "\r\n|\r|\n", " "), "[\x00-\x1f\x7f]", "")
 
 

@@ -13,20 +13,22 @@ class BadBaseline(ValueError):
 
 
 def read_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, int | None]:
-    """(fingerprint, count) of an earlier JSON report, and how many rules it applied if it says so."""
+    """(fingerprint, count) of an earlier JSON report, and how many rules it applied if it says so.
+
+    Spark reads the report; the driver gets what it says of itself only.
+    """
+    applied = "struct<rules_applied_count:int>"
+    report = spark.read.schema(f"issues array<struct<fingerprint:string>>, summary {applied}, meta {applied}, _corrupt_record string")
     try:
-        text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+        rows = report.option("multiLine", True).json(path)
+        row = rows.select(F.col("_corrupt_record").isNotNull().alias("broken"), F.col("issues").isNull().alias("empty"), F.coalesce("summary.rules_applied_count", "meta.rules_applied_count").alias("rules")).first()
     except Exception as error:
         raise BadBaseline(f"cannot read baseline {path}") from error
-    schema = "issues array<struct<fingerprint:string>>, summary struct<rules_applied_count:int>, meta struct<rules_applied_count:int>, _corrupt_record string"
-    row = spark.range(1).select(F.from_json(F.lit(text), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("x")).select("x.*").first()
-    if row["_corrupt_record"] is not None or not text.strip():
+    if row is None or row["broken"]:
         raise BadBaseline(f"baseline {path} is not JSON")
-    if row["issues"] is None:
+    if row["empty"]:
         raise BadBaseline(f"baseline {path} has no issues")
-    rules = (row["summary"] and row["summary"]["rules_applied_count"]) or (row["meta"] and row["meta"]["rules_applied_count"])
-    issues = spark.read.json(path, multiLine=True, schema="issues array<struct<fingerprint:string>>").select(F.explode("issues.fingerprint").alias("fingerprint"))
-    return fingerprint_counts(issues), rules
+    return fingerprint_counts(rows.select(F.explode("issues.fingerprint").alias("fingerprint"))), row["rules"]
 
 
 def fingerprint_counts(found: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,9 +11,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from csift import schema
+from csift.frontend.lexical import RULES, Rules, masked
 from csift.functions.lexing import normalized_newlines, strip_comments
+from csift.rules.catalog import BANNED
 
-EMPTY = {"unsigned_typedefs": [], "functions": [], "globals": [], "switches": [], "controls": [], "hits": [], "nodes": [], "edges": [], "facts": []}
+EMPTY = {"reason": None, "unsigned_typedefs": [], "functions": [], "globals": [], "switches": [], "controls": [], "hits": [], "nodes": [], "edges": [], "facts": []}
 
 
 def lexed(files: DataFrame) -> DataFrame:
@@ -21,19 +23,32 @@ def lexed(files: DataFrame) -> DataFrame:
     return files.select("path", normalized_newlines(F.col("content")).alias("content")).withColumn("clean", strip_comments(F.col("content")))
 
 
-def parsed(files: DataFrame, with_facts: bool = True, allocators=(), reallocators=(), deallocators=()) -> DataFrame:
+def parsed(
+    files: DataFrame, with_facts: bool = True, allocators=(), reallocators=(), deallocators=(), numbers=None, banned: dict[str, tuple[str, str]] | None = None,
+    functions: tuple[tuple[int, Callable[[str, str], str | None]], ...] = (),
+) -> DataFrame:
     """path, content, clean, parse and error of each file; a file whose analysis fails has an error and no facts.
 
-    Without facts only tokens are looked at, and nothing is parsed.
-    """
+    Without facts only tokens are looked at, and nothing is parsed. numbers: rules whose line forms are looked for (all
+    if it isn't given), with the names that banned adds; functions: (number, function of a line and its masked form).
+    """
     target = to_arrow_schema(StructType.fromDDL(schema.PARSED))
+    wanted = sorted(RULES if numbers is None else RULES.keys() & set(numbers))
+    table = {**BANNED, **(banned or {})}
 
     def analysed(content: str, clean: str) -> dict:
         from csift.frontend.extract import FileFacts, control_statements
 
-        if not with_facts:
-            return {**EMPTY, "status": "regex", "parse_tier": "regex-fallback", "confidence": "LIMITED", "controls": control_statements(clean)}
-        return FileFacts(content, clean, allocators, reallocators, deallocators).row()
+        if with_facts:
+            found = FileFacts(content, clean, allocators, reallocators, deallocators).row()
+        else:
+            found = {**EMPTY, "status": "regex", "parse_tier": "tokens", "confidence": "LIMITED", "controls": control_statements(clean)}
+        by_line = [{**h, "pass": 0} for h in Rules(clean, table, tuple(reallocators)).hits(wanted)]
+        for number, function in functions:
+            for n, line in enumerate(clean.split("\n"), 1):
+                if line.strip() and (message := function(line, masked(line))) is not None:
+                    by_line.append({"rule": number, "line": n, "column": 1, "parameters": [str(message)], "context": None, "pass": 0})
+        return {**found, "hits": by_line + found["hits"]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,6 +68,23 @@ def parsed(files: DataFrame, with_facts: bool = True, allocators=(), reallocator
     return lexed(files).mapInArrow(run, schema.PARSED)
 
 
+def reach(parses: DataFrame) -> DataFrame:
+    """(path, fn_idx, src, dst): which node can follow which, by paths of any length, found where the file's row lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from csift.frontend.flow import reached
+
+        for batch in batches:
+            for path, edges in zip(batch.column("path").to_pylist(), batch.column("edges").to_pylist()):
+                of: dict[int, list[tuple[int, int]]] = {}
+                for e in edges or ():
+                    of.setdefault(e["fn_idx"], []).append((e["src"], e["dst"]))
+                rows = [(path, f, a, b) for f in sorted(of) for a, b in reached(of[f])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["path", "fn_idx", "src", "dst"])
+
+    return parses.select("path", "parse.edges").mapInArrow(run, "path string, fn_idx int, src int, dst int")
+
+
 def relation(parses: DataFrame, name: str) -> DataFrame:
     """A relation of facts: functions, params, variables, globals, calls, cfg_nodes, cfg_edges, node_facts, controls, switches."""
     of_file = {"globals": "globals", "cfg_nodes": "nodes", "cfg_edges": "edges", "node_facts": "facts", "controls": "controls", "switches": "switches"}

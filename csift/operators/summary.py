@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from csift.functions.lexing import split_lines
 
-STATUSES = ("pycparser-success", "fallback-parser", "regex", "parse-failed")
+STATUSES = ("parsed", "fallback-parser", "regex", "parse-failed")
 
 
 def severity_counts() -> list[Column]:
@@ -53,7 +53,7 @@ def overall_status(counts: dict[str, int]) -> tuple[str, str]:
         return "none", analysis
     if not good:
         return "parse-failed", analysis
-    names = {"pycparser-success": "pycparser", "fallback-parser": "fallback-parser", "regex": "regex"}
+    names = {"parsed": "parser", "fallback-parser": "fallback-parser", "regex": "regex"}
     return ("hybrid" if len(good) > 1 else names[good[0]]), analysis
 
 

@@ -1,126 +1,203 @@
-"""Reports of a scan: JSON, SARIF, Markdown and text. Findings come in report order, one after the other."""
+"""Reports of a scan: JSON, SARIF, Markdown and text.
+
+Rows become text in Spark, in report order; the driver passes them on one by one and keeps only sums, so a report may
+be larger than its memory. `write_lines` leaves one JSON text a finding in a folder, without the driver.
+"""
 
 from __future__ import annotations
 
 import json
 import re
 import time
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from csift import __version__
+from csift.functions.lexing import CONTROL_SEQUENCE
 from csift.operators import summary
+from csift.operators.findings import in_report_order
 from csift.plans.scan import Scan
-from csift.rules import catalog
 from csift.schema import FINDING_COLUMNS
 
 SCHEMA_VERSION = "1"
 LEVELS = {"High": "error", "Medium": "warning", "Low": "note", "Info": "note"}
+ERROR_COLUMNS = ("file_path", "error_type", "message")
 
 
-def as_dict(scan: Scan) -> dict:
-    """The JSON report's keys in order."""
-    issues = [{k: v for k, v in r.asDict().items() if k != "confidence" or v is not None} for r in scan.ordered().select(*FINDING_COLUMNS).toLocalIterator()]
-    files = [r.asDict() for r in scan.summaries.orderBy("file_path").collect()]
-    errors = [r.asDict() for r in scan.errors.orderBy("file_path", "error_type", "message").collect()]
-    statuses = {s: 0 for s in summary.STATUSES}
-    for f in files:
-        statuses[f["parser"]] = statuses.get(f["parser"], 0) + 1
+# rows
+def json_of(*columns: str) -> Column:
+    """A row as a JSON text, nulls too."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def level_column() -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair]), F.col("impact")), F.lit("note"))
+
+
+def sarif_result(index: list[str] | None = None) -> Column:
+    """A finding as a SARIF result; index: rule ids in the order of the tool's rules."""
+    at = F.array_position(F.array(*map(F.lit, index)), F.col("rule_id")) - 1 if index else F.lit(None).cast("long")
+    region = F.struct(
+        F.greatest(F.lit(1), "line_number").alias("startLine"), F.greatest(F.lit(1), "column_number").alias("startColumn"), F.struct(F.col("code_snippet").alias("text")).alias("snippet")
+    )
+    place = F.struct(F.struct(F.replace("file_path", F.lit("\\"), F.lit("/")).alias("uri")).alias("artifactLocation"), region.alias("region"))
+    return F.to_json(
+        F.struct(
+            F.col("rule_id").alias("ruleId"), at.alias("ruleIndex"), level_column().alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
+            F.array(F.struct(place.alias("physicalLocation"))).alias("locations"), F.struct(F.col("fingerprint").alias("primaryLocationLineHash")).alias("partialFingerprints"),
+        )
+    )
+
+
+def write_lines(found: DataFrame, folder: str, row: Column | None = None) -> None:
+    """One JSON text a finding, in report order over the folder's files."""
+    in_report_order(found).select((json_of(*FINDING_COLUMNS) if row is None else row).alias("value")).write.mode("overwrite").text(folder)
+
+
+# whole reports
+def overview(scan: Scan) -> dict:
+    """What a report says before its findings: sums only."""
+    files = scan.summaries.agg(
+        F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("status") == "failed", 1)).alias("failed"), F.coalesce(F.sum("lines_of_code"), F.lit(0)).alias("lines")
+    ).first()
+    statuses = {s: 0 for s in summary.STATUSES} | {r["parser"]: r["count"] for r in scan.summaries.groupBy("parser").count().orderBy("parser").collect()}
     parser, analysis = summary.overall_status(statuses)
-    by = {s: sum(i["impact"] == s for i in issues) for s in catalog.SEVERITIES}
-    failed = [f["file_path"] for f in files if f["status"] == "failed"]
+    by = {r["impact"]: r["count"] for r in scan.findings.groupBy("impact").count().collect()}
+    issues = sum(by.values())
     sums = {
-        "files_discovered": scan.discovered if scan.discovered is not None else len(files), "files_analyzed": len(files) - len(failed), "files_ignored": len(scan.ignored), "files_failed": len(failed),
-        "lines_of_code": sum(f["lines_of_code"] or 0 for f in files), "issues_count": len(issues), "high_count": by["High"], "medium_count": by["Medium"], "low_count": by["Low"], "rules_applied_count": scan.rules,
+        "files_discovered": scan.discovered if scan.discovered is not None else files["files"], "files_analyzed": files["files"] - files["failed"], "files_ignored": len(scan.ignored), "files_failed": files["failed"],
+        "lines_of_code": files["lines"], "issues_count": issues, "high_count": by.get("High", 0), "medium_count": by.get("Medium", 0), "low_count": by.get("Low", 0), "rules_applied_count": scan.rules,
         "scan_duration_seconds": round(time.time() - scan.started, 4),
     }
     if scan.baseline_path is not None:
-        sums["baseline"] = {"path": scan.baseline_path, "new": len(issues), "resolved": scan.resolved}
+        sums["baseline"] = {"path": scan.baseline_path, "new": issues, "resolved": scan.resolved}
     return {
         "schema_version": SCHEMA_VERSION,
         "meta": {"tool": "csift", "version": __version__, "target": scan.target, "timestamp": scan.timestamp, "engine": scan.config.mode, "rules_applied_count": scan.rules},
-        "analysis": {"status": analysis, "parser": parser, "status_counts": statuses},
-        "summary": sums, "issues": issues, "file_summaries": files, "scan_errors": errors, "ignored_paths": sorted(scan.ignored), "failed_paths": sorted(failed),
+        "analysis": {"status": analysis, "parser": parser, "status_counts": statuses}, "summary": sums,
     }
 
 
-def to_json(report: dict, pretty: bool = True) -> str:
-    return json.dumps(report, indent=2 if pretty else None, ensure_ascii=False, default=str)
+def _values(rows: DataFrame) -> Iterator:
+    return (r[0] for r in rows.toLocalIterator())
 
 
-def to_sarif(report: dict) -> str:
-    first: dict[str, dict] = {}
-    for issue in report["issues"]:
-        first.setdefault(issue["rule_id"], issue)
-    index = {name: i for i, name in enumerate(first)}
-    results = [
-        {
-            "ruleId": i["rule_id"], "ruleIndex": index[i["rule_id"]], "level": LEVELS.get(i["impact"], "note"), "message": {"text": i["message"]},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": i["file_path"].replace("\\", "/")}, "region": {"startLine": max(1, i["line_number"]), "startColumn": max(1, i["column_number"]), "snippet": {"text": i["code_snippet"]}}}}],
-            "partialFingerprints": {"primaryLocationLineHash": i["fingerprint"]},
-        }
-        for i in report["issues"]
-    ]
-    rules = [{"id": n, "name": i["rule_name"], "shortDescription": {"text": i["rule_name"]}, "help": {"text": i["remediation"]}, "defaultConfiguration": {"level": LEVELS.get(i["impact"], "note")}, "properties": {"cwe": i["cwe_id"]}} for n, i in first.items()]
-    notes = [{"level": "error", "message": {"text": f"{e['error_type']}: {e['message']}"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": e["file_path"]}}}]} for e in report["scan_errors"]]
-    run = {"tool": {"driver": {"name": "csift", "version": __version__, "rules": rules}}, "invocations": [{"executionSuccessful": not report["failed_paths"], "toolExecutionNotifications": notes}], "results": results}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False)
+def _list(texts: Iterator[str]) -> Iterator[str]:
+    """JSON texts as an array, one a line."""
+    some = False
+    for text in texts:
+        yield (",\n    " if some else "[\n    ") + text
+        some = True
+    yield "\n  ]" if some else "[]"
+
+
+def json_pieces(scan: Scan, head: dict) -> Iterator[str]:
+    """The JSON report's keys in order."""
+    yield "{\n" + "".join(f"  {json.dumps(k)}: {json.dumps(v, ensure_ascii=False, default=str)},\n" for k, v in head.items())
+    files = scan.summaries.orderBy("file_path")
+    parts = {
+        "issues": _values(scan.ordered().select(json_of(*FINDING_COLUMNS))),
+        "file_summaries": _values(files.select(json_of(*files.columns))),
+        "scan_errors": _values(scan.errors.orderBy(*ERROR_COLUMNS).select(json_of(*ERROR_COLUMNS))),
+        "ignored_paths": (json.dumps(x, ensure_ascii=False) for x in sorted(scan.ignored)),
+        "failed_paths": (json.dumps(x, ensure_ascii=False) for x in _values(files.filter("status = 'failed'").select("file_path"))),
+    }
+    for k, (name, texts) in enumerate(parts.items()):
+        yield f"{',' if k else ''}{chr(10) if k else ''}  {json.dumps(name)}: "
+        yield from _list(texts)
+    yield "\n}\n"
+
+
+def sarif_pieces(scan: Scan, head: dict) -> Iterator[str]:
+    kinds = scan.findings.groupBy("rule_id").agg(*[F.min(c).alias(c) for c in ("rule_name", "remediation", "cwe_id")], F.min(level_column()).alias("level")).orderBy("rule_id").collect()
+    rules = [{"id": r["rule_id"], "name": r["rule_name"], "shortDescription": {"text": r["rule_name"]}, "help": {"text": r["remediation"]}, "defaultConfiguration": {"level": r["level"]}, "properties": {"cwe": r["cwe_id"]}} for r in kinds]
+    driver = {"driver": {"name": "csift", "version": __version__, "rules": rules}}
+    note = F.struct(
+        F.lit("error").alias("level"), F.struct(F.concat_ws(": ", "error_type", "message").alias("text")).alias("message"),
+        F.array(F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))).alias("locations"),
+    )
+    yield '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{\n'
+    yield f'  "tool": {json.dumps(driver, ensure_ascii=False)},\n  "invocations": [{{"executionSuccessful": {json.dumps(not head["summary"]["files_failed"])}, "toolExecutionNotifications": '
+    yield from _list(_values(scan.errors.orderBy(*ERROR_COLUMNS).select(F.to_json(note))))
+    yield '}],\n  "results": '
+    yield from _list(_values(scan.ordered().select(sarif_result([r["rule_id"] for r in kinds]))))
+    yield "\n}]}\n"
 
 
 def _cell(text) -> str:
     return re.sub(r"\r\n|\r|\n", " ", str(text)).replace("|", "\\|").replace("`", "'")
 
 
-def to_markdown(report: dict) -> str:
-    sums = report["summary"]
-    out = [f"# Audit of `{_cell(report['meta']['target'])}`", "", "| files | lines | findings | high | medium | low |", "|---|---|---|---|---|---|"]
-    out.append("| " + " | ".join(str(sums[k]) for k in ("files_analyzed", "lines_of_code", "issues_count", "high_count", "medium_count", "low_count")) + " |")
+def markdown_pieces(scan: Scan, head: dict) -> Iterator[str]:
+    sums = head["summary"]
+    yield f"# Audit of `{_cell(head['meta']['target'])}`\n\n| files | lines | findings | high | medium | low |\n|---|---|---|---|---|---|\n"
+    yield "| " + " | ".join(str(sums[k]) for k in ("files_analyzed", "lines_of_code", "issues_count", "high_count", "medium_count", "low_count")) + " |\n"
     if "baseline" in sums:
-        out += ["", f"Baseline: {sums['baseline']['new']} new, {sums['baseline']['resolved']} resolved."]
-    out += ["", f"Analysis: {report['analysis']['status']}, parser: {report['analysis']['parser']}.", "", "## Findings", ""]
-    if report["issues"]:
-        out += ["| rule | severity | place | message | fix |", "|---|---|---|---|---|"]
-    for i in report["issues"]:
+        yield f"\nBaseline: {sums['baseline']['new']} new, {sums['baseline']['resolved']} resolved.\n"
+    yield f"\nAnalysis: {head['analysis']['status']}, parser: {head['analysis']['parser']}.\n\n## Findings\n\n"
+    yield "| rule | severity | place | message | fix |\n|---|---|---|---|---|\n" if sums["issues_count"] else "None.\n"
+    for i in scan.ordered().toLocalIterator():
         fix = i["auto_fix_replacement"] or i["suggested_fix_replacement"] or i["remediation"]
-        out.append(f"| {i['rule_id']} | {i['impact']} | `{_cell(i['file_path'])}:{i['line_number']}` | {_cell(i['message'])} | {_cell(fix)} |")
-    if not report["issues"]:
-        out.append("None.")
-    if report["scan_errors"]:
-        out += ["", "## Errors", "", *(f"- `{_cell(e['file_path'])}`: {_cell(e['error_type'])}: {_cell(e['message'])}" for e in report["scan_errors"])]
-    return "\n".join(out) + "\n"
+        yield f"| {i['rule_id']} | {i['impact']} | `{_cell(i['file_path'])}:{i['line_number']}` | {_cell(i['message'])} | {_cell(fix)} |\n"
+    for k, e in enumerate(scan.errors.orderBy(*ERROR_COLUMNS).toLocalIterator()):
+        yield ("" if k else "\n## Errors\n\n") + f"- `{_cell(e['file_path'])}`: {_cell(e['error_type'])}: {_cell(e['message'])}\n"
 
 
 def plain(text) -> str:
     """For a terminal: no escape sequences, line ends or control characters."""
-    text = re.sub(r"\x1b(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])", "", str(text))
+    text = re.sub(CONTROL_SEQUENCE, "", str(text))
     return re.sub(r"[\x00-\x1f\x7f]", "", re.sub(r"\r\n|\r|\n", " ", text))
 
 
-def to_text(report: dict) -> str:
-    sums = report["summary"]
-    out = [f"{plain(i['file_path'])}:{i['line_number']}:{i['column_number']}: {i['impact']}: {plain(i['message'])} [{i['rule_id']}]\n    {plain(i['code_snippet'])}" for i in report["issues"]]
-    out += [f"error: {plain(e['file_path'])}: {plain(e['error_type'])}: {plain(e['message'])}" for e in report["scan_errors"]]
-    out.append(f"{sums['files_analyzed']} files, {sums['lines_of_code']} lines: {sums['issues_count']} findings ({sums['high_count']} high, {sums['medium_count']} medium, {sums['low_count']} low)")
+def text_pieces(scan: Scan, head: dict) -> Iterator[str]:
+    sums = head["summary"]
+    for i in scan.ordered().toLocalIterator():
+        yield f"{plain(i['file_path'])}:{i['line_number']}:{i['column_number']}: {i['impact']}: {plain(i['message'])} [{i['rule_id']}]\n    {plain(i['code_snippet'])}\n"
+    for e in scan.errors.orderBy(*ERROR_COLUMNS).toLocalIterator():
+        yield f"error: {plain(e['file_path'])}: {plain(e['error_type'])}: {plain(e['message'])}\n"
+    yield f"{sums['files_analyzed']} files, {sums['lines_of_code']} lines: {sums['issues_count']} findings ({sums['high_count']} high, {sums['medium_count']} medium, {sums['low_count']} low)\n"
     if "baseline" in sums:
-        out.append(f"baseline: {sums['baseline']['new']} new, {sums['baseline']['resolved']} resolved")
-    return "\n".join(out) + "\n"
+        yield f"baseline: {sums['baseline']['new']} new, {sums['baseline']['resolved']} resolved\n"
 
 
-RENDER = {"json": to_json, "sarif": to_sarif, "markdown": to_markdown, "text": to_text}
+PIECES = {"json": json_pieces, "sarif": sarif_pieces, "markdown": markdown_pieces, "text": text_pieces}
 BY_EXTENSION = {".json": "json", ".sarif": "sarif", ".md": "markdown", ".markdown": "markdown", ".txt": "text"}
 
 
+def pieces(scan: Scan, form: str, head: dict | None = None) -> Iterator[str]:
+    """A report as texts to be written one after the other."""
+    return PIECES[form](scan, overview(scan) if head is None else head)
+
+
+def render(scan: Scan, form: str) -> str:
+    """A whole report in memory."""
+    return "".join(pieces(scan, form))
+
+
+def as_dict(scan: Scan) -> dict:
+    """The JSON report, read back."""
+    return json.loads(render(scan, "json"))
+
+
+def to_json(report: dict, pretty: bool = True) -> str:
+    return json.dumps(report, indent=2 if pretty else None, ensure_ascii=False, default=str)
+
+
 def chosen_format(flag: str | None, configured: str | None, output: str | None) -> str:
     """A flag, else the settings, else the output's extension, else text."""
     suffix = re.search(r"\.\w+$", output or "")
     return flag or configured or BY_EXTENSION.get(suffix[0].lower() if suffix else "", "text")
 
 
-def exit_code(report: dict, fail_on: str | None = None, fail_on_error: bool = False, warn_on_fallback: bool = False) -> int:
+def exit_code(head: dict, fail_on: str | None = None, fail_on_error: bool = False, warn_on_fallback: bool = False) -> int:
     """0 if all is well: no failed file and no file parsed by patterns where that counts, no finding at the level or above."""
-    if fail_on_error and report["failed_paths"]:
+    sums = head["summary"]
+    if fail_on_error and sums["files_failed"]:
         return 1
-    if warn_on_fallback and report["analysis"]["status_counts"].get("fallback-parser"):
+    if warn_on_fallback and head["analysis"]["status_counts"].get("fallback-parser"):
         return 1
-    sums = report["summary"]
     counted = {"high": ("high_count",), "medium": ("high_count", "medium_count"), "low": ("high_count", "medium_count", "low_count")}
     counted["all"] = counted["low"]
     return int(any(sums[c] for c in counted.get(fail_on or "none", ())))

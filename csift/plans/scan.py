@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from csift.operators import baseline as baselines
 from csift.operators import summary
-from csift.operators.findings import AST, HYBRID, REGEX, at_least, findings, in_report_order, with_hits
+from csift.operators.findings import AST, HYBRID, REGEX, at_least, findings, in_report_order, needs_facts, with_hits
 from csift.operators.parse import parsed
 from csift.rules import catalog
-from csift.rules.custom import CustomRule, hits_of
+from csift.rules.custom import NUMBERS, CustomRule
 from csift.sources.config import Config
-from csift.sources.files import from_text, read_tree, walk
+from csift.sources.files import from_lake, from_text, read_tree, relative, walk
 from csift.sources.ignore import IgnoreRules
 
 
@@ -79,6 +79,11 @@ class Scan:
     def ordered(self) -> DataFrame:
         return in_report_order(self.findings)
 
+    def unpersist(self) -> None:
+        """Gives up what the scan keeps for its reports."""
+        self.findings.unpersist()
+        self.parses.unpersist()
+
     def against(self, path: str) -> tuple[Scan, str | None]:
         """The scan with new findings only, and a warning if the baseline applied other rules. Summaries stay whole."""
         spark = self.findings.sparkSession
@@ -93,14 +98,16 @@ def scan_files(files: DataFrame, config: ScanConfig = ScanConfig(), target: str
     """files: path and content, and read_error where a file could not be read."""
     unread = files.filter("read_error is not null") if "read_error" in files.columns else None
     readable = files.filter("read_error is null") if unread is not None else files
-    facts = config.mode != REGEX
-    parses = parsed(readable, facts, config.allocators, config.reallocators, config.deallocators).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = with_hits(parses, config.numbers, config.mode, config.banned, config.reallocators)
-    found = findings(rows, config.prefix, config.overrides, config.suppress, config.keyword, config.numbers)
-    if custom:
-        found = found.unionByName(hits_of(parses, custom, config))
+    facts = needs_facts(config.numbers, config.mode) or config.mode != REGEX and any(r.query for r in custom)
+    functions = tuple((NUMBERS + k, r.scan_line) for k, r in enumerate(custom) if r.scan_line is not None)
+    numbers = config.numbers if config.mode != AST else ()
+    parses = parsed(readable, facts, config.allocators, config.reallocators, config.deallocators, numbers, config.banned, functions).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = with_hits(parses, config.numbers, config.mode, config.reallocators, custom)
+    found = findings(rows, config.prefix, config.overrides, config.suppress, config.keyword, config.numbers, custom)
     found = at_least(found, config.severity).persist(StorageLevel.MEMORY_AND_DISK)
     errors = parses.filter("error is not null").select(F.col("path").alias("file_path"), "error.error_type", "error.message")
+    # read by a weaker tier, for a stated reason
+    errors = errors.unionByName(parses.filter("parse.reason is not null").select(F.col("path").alias("file_path"), F.lit("MacroLimit").alias("error_type"), F.col("parse.reason").alias("message")))
     sums = summary.file_summaries(parses, found)
     if unread is not None:
         errors = errors.unionByName(unread.select(F.col("path").alias("file_path"), F.lit("OSError").alias("error_type"), F.col("read_error").alias("message")))
@@ -114,9 +121,19 @@ def scan_text(spark: SparkSession, text: str, path: str = "source.c", config: Sc
 
 
 def scan_path(spark: SparkSession, target: str, config: ScanConfig = ScanConfig(), project: Config | None = None, ignore_file: str | None = None, patterns=(), partitions: int | None = None, custom: tuple[CustomRule, ...] = ()) -> Scan:
-    """A folder or a file. Ignore rules: defaults, patterns, the project's excludes, the folder's ignore file, a given one."""
+    """A folder or a file. Ignore rules: defaults, patterns, the project's excludes, the folder's ignore file, a given one.
+
+    A folder of a store (scheme://...) is listed and read by Spark; its ignored paths aren't told.
+    """
     if partitions is not None and partitions < 0:
         raise ValueError("partitions must not be negative")
+    if "://" in target:
+        rules = IgnoreRules([*patterns, *(project.excludes if project else [])])
+        if ignore_file:
+            rules.add_file(ignore_file)
+        files = from_lake(spark, target)
+        files = files.withColumn("path", relative(F.col("path"), target)).filter(~rules.column(F.col("path")))
+        return scan_files(files.repartition(partitions) if partitions else files, config, target, custom)
     base = target if os.path.isdir(target) else os.path.dirname(os.path.abspath(target))
     rules = IgnoreRules([*patterns, *(project.excludes_from(base) if project else [])])
     rules.add_file(os.path.join(base, ".csiftignore"))

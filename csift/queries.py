@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from csift.corpus import ALL_CASES, CASES, corpus, corpus_sql, sources_of, sql_text
 from csift.functions import classify, lexing
 from csift.operators import baseline, summary
-from csift.operators.findings import at_least, findings, first_wins, suppressed, with_hits
-from csift.operators.parse import lexed, parsed, relation
+from csift.operators.findings import at_least, findings, first_wins, needs_facts, suppressed, with_hits
+from csift.operators.parse import lexed, parsed, reach, relation
+from csift.plans import report
 from csift.rules import catalog
+from csift.schema import FINDING, FINDING_COLUMNS
 from csift.sources.ignore import IgnoreRules
 
 FOUND = ("file_path", "rule_id", "line_number", "impact", "message")
@@ -31,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rule_query(number: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = corpus(table(spark, sf_dir, "part"), sources_of(number))
-        return findings(with_hits(parsed(files), [number]), numbers=[number]).select(*FOUND)
+        return findings(with_hits(parsed(files, needs_facts([number]), numbers=[number]), [number]), numbers=[number]).select(*FOUND)
 
     run.__doc__ = f"Findings of rule {number} in its corpus."
     return run
@@ -74,9 +76,10 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(table(spark, sf_dir, "part"), MIXED_SOURCES)
 
 
-def mixed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line rules only, so nothing is parsed."""
-    return with_hits(parsed(mixed_files(spark, sf_dir), with_facts=False).persist(StorageLevel.MEMORY_AND_DISK), MIXED, "regex")
+def mixed_hits(spark: SparkSession, sf_dir: str, twice: bool = False) -> DataFrame:
+    """Line rules only, so nothing is parsed; kept where it is read twice."""
+    parses = parsed(mixed_files(spark, sf_dir), with_facts=False, numbers=MIXED)
+    return with_hits(parses.persist(StorageLevel.MEMORY_AND_DISK) if twice else parses, MIXED, "regex")
 
 
 def mixed_findings(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
@@ -174,7 +177,7 @@ def secret_scan_documents(spark, sf_dir):
 
 SECRET_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-m AS (SELECT *, regexp_extract(line, '(?i)\b(\w*token)\s*=\s*"([0-9a-f]{40})"', 0) AS hit FROM l)
+m AS (SELECT *, regexp_extract(line, '(?i)\b(\w*token)\s*=\s*"([0-9a-f]{40})"', 0) AS hit FROM l WHERE length(line) < 60)
 SELECT doc_id, CAST(n AS BIGINT) AS line_number, regexp_extract(hit, '(?i)\b(\w*token)\s*=', 1) AS name, substr(sha256('CSIFT-024|' || doc_id || '|' || regexp_replace(trim(hit), '\s+', ' ', 'g')), 1, 16) AS fingerprint FROM m WHERE hit <> ''
 """
 
@@ -249,7 +252,7 @@ FROM l WHERE trim(line) <> '' GROUP BY 1
 # sums
 def file_summary(spark, sf_dir):
     """Counts by severity of every file, clean ones too."""
-    rows = mixed_hits(spark, sf_dir)
+    rows = mixed_hits(spark, sf_dir, twice=True)
     return summary.file_summaries(rows, findings(rows, numbers=MIXED)).select("file_path", "lines_of_code", *[F.col(c).cast("long").alias(c) for c in ("issues_count", "high_count", "medium_count", "low_count")], "status", "parser", "confidence")
 
 
@@ -263,7 +266,7 @@ FROM c LEFT JOIN f ON c.path = f.file_path GROUP BY path, content
 
 def severity_totals(spark, sf_dir):
     """One row over all files."""
-    rows = mixed_hits(spark, sf_dir)
+    rows = mixed_hits(spark, sf_dir, twice=True)
     return summary.totals(summary.file_summaries(rows, findings(rows, numbers=MIXED)))
 
 
@@ -330,8 +333,8 @@ def status_histogram(spark, sf_dir):
 
 
 STATUS_SQL = """
-WITH n AS (SELECT CASE WHEN p_partkey % 3 = 1 THEN 'fallback-parser' ELSE 'pycparser-success' END AS status FROM part),
-e AS (SELECT * FROM (VALUES ('pycparser-success'), ('fallback-parser'), ('regex'), ('parse-failed')) AS t(status))
+WITH n AS (SELECT CASE WHEN p_partkey % 3 = 1 THEN 'fallback-parser' ELSE 'parsed' END AS status FROM part),
+e AS (SELECT * FROM (VALUES ('parsed'), ('fallback-parser'), ('regex'), ('parse-failed')) AS t(status))
 SELECT e.status, count(n.status) AS files FROM e LEFT JOIN n ON e.status = n.status GROUP BY e.status
 """
 
@@ -347,7 +350,7 @@ def _line_findings(spark, sf_dir) -> DataFrame:
 
 LINE_FINDINGS_SQL = r"""
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-f AS (SELECT doc_id, n, substr(sha256('CSIFT-000|d|' || regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), 1, 16) AS fingerprint FROM l WHERE length(line) < 60)
+f AS (SELECT doc_id, n, substr(sha256('CSIFT-000|d|' || regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), 1, 16) AS fingerprint FROM l)
 """
 
 
@@ -441,32 +444,34 @@ FROM part JOIN (VALUES (0, 0, 'malloc', 2, 'n', 'q'), (0, 1, 'free', 7, 'q', NUL
 
 
 def node_facts(spark, sf_dir):
-    """What is known of q before each node that names it, in the corpus's first template."""
+    """What is known of each variable before each node that names it."""
     parses = _facts(spark, sf_dir)
     nodes, facts = relation(parses, "cfg_nodes"), relation(parses, "node_facts")
-    joined = facts.filter("var = 'q'").join(nodes.select("path", "fn_idx", "node_id", "line", "kind"), ["path", "fn_idx", "node_id"])
-    return joined.select("path", "line", "kind", "nullness", "init", "alloc")
-
-
-NODE_SQL = """
-SELECT 'src/f' || p_partkey || '.c' AS path, CAST(v.line AS INT) AS line, v.kind, v.nullness, v.init, v.alloc
-FROM part JOIN (VALUES (2, 'allocation', 'UNKNOWN', 'INITIALIZED', 'NOT_ALLOCATED'), (3, 'if_cond', 'MAYBE_NULL', 'INITIALIZED', 'ALLOCATED'), (6, 'assignment', 'NON_NULL', 'INITIALIZED', 'ALLOCATED'),
-                       (7, 'free', 'NON_NULL', 'INITIALIZED', 'ALLOCATED')) AS v(line, kind, nullness, init, alloc) ON p_partkey % 2 = 0
+    joined = facts.join(nodes.select("path", "fn_idx", "node_id", "line", "kind"), ["path", "fn_idx", "node_id"])
+    return joined.select("path", "line", "kind", F.col("var").alias("name"), "nullness", "init", "alloc")
+
+
+#: (template, line, kind, name, nullness, init, alloc) before each node.
+NODE_FACTS = [
+    (0, 2, "allocation", "malloc", "UNKNOWN", "UNINITIALIZED", "NOT_ALLOCATED"), (0, 2, "allocation", "n", "UNKNOWN", "INITIALIZED", "NOT_ALLOCATED"), (0, 2, "allocation", "q", "UNKNOWN", "INITIALIZED", "NOT_ALLOCATED"),
+    (0, 3, "if_cond", "NULL", "UNKNOWN", "UNINITIALIZED", "NOT_ALLOCATED"), (0, 3, "if_cond", "q", "MAYBE_NULL", "INITIALIZED", "ALLOCATED"), (0, 6, "assignment", "p", "UNKNOWN", "INITIALIZED", "NOT_ALLOCATED"),
+    (0, 6, "assignment", "q", "NON_NULL", "INITIALIZED", "ALLOCATED"), (0, 7, "free", "q", "NON_NULL", "INITIALIZED", "ALLOCATED"), (1, 3, "decl", "a", "UNKNOWN", "INITIALIZED", "NOT_ALLOCATED"),
+    (1, 3, "decl", "a", "UNKNOWN", "INITIALIZED", "NOT_ALLOCATED"), (1, 3, "decl", "b", "UNKNOWN", "INITIALIZED", "NOT_ALLOCATED"), (1, 4, "return", "a", "UNKNOWN", "INITIALIZED", "NOT_ALLOCATED"),
+    (1, 4, "return", "b", "UNKNOWN", "INITIALIZED", "NOT_ALLOCATED"), (1, 4, "return", "h", "UNKNOWN", "UNINITIALIZED", "NOT_ALLOCATED"), (1, 4, "return", "k", "UNKNOWN", "UNINITIALIZED", "NOT_ALLOCATED"),
+]
+NODE_SQL = f"""
+SELECT 'src/f' || p_partkey || '.c' AS path, CAST(v.line AS INT) AS line, v.kind, v.name, v.nullness, v.init, v.alloc
+FROM part JOIN (VALUES {", ".join(map(str, NODE_FACTS))}) AS v(w, line, kind, name, nullness, init, alloc) ON p_partkey % 2 = v.w
 """
 
 
 def reachability(spark, sf_dir):
-    """Pairs of lines of which the second can follow the first: up to six edges, joined step by step."""
+    """Pairs of lines of which the second can follow the first, by paths of any length."""
     parses = _facts(spark, sf_dir)
     nodes = relation(parses, "cfg_nodes").select("path", "fn_idx", "node_id", "line")
-    edges = relation(parses, "cfg_edges").select("path", "fn_idx", "src", "dst").distinct()
-    reach = edges
-    for _ in range(3):
-        far = reach.alias("a").join(reach.alias("b"), [F.col("a.path") == F.col("b.path"), F.col("a.fn_idx") == F.col("b.fn_idx"), F.col("a.dst") == F.col("b.src")])
-        reach = reach.union(far.select("a.path", "a.fn_idx", "a.src", "b.dst")).distinct()
     begin, end = nodes.withColumnsRenamed({"node_id": "src", "line": "from_line"}), nodes.withColumnsRenamed({"node_id": "dst", "line": "to_line"})
     keys = ["path", "fn_idx"]
-    return reach.join(begin, [*keys, "src"]).join(end, [*keys, "dst"]).select("path", "from_line", "to_line")
+    return reach(parses).join(begin, [*keys, "src"]).join(end, [*keys, "dst"]).select("path", "from_line", "to_line")
 
 
 REACH_SQL = """
@@ -534,16 +539,47 @@ def full_scan(spark, sf_dir):
 
 
 def json_report(spark, sf_dir):
-    """The mixed corpus's findings as JSON, one row a finding, in report order within files."""
-    found = mixed_findings(spark, sf_dir)
-    return found.select("file_path", "line_number", F.to_json(F.struct(*found.columns)).alias("json"))
+    """The mixed corpus's findings as the JSON report writes them, one text a finding, read back."""
+    texts = mixed_findings(spark, sf_dir).select(report.json_of(*FINDING_COLUMNS).alias("json"))
+    return texts.select(F.from_json("json", FINDING).alias("x")).select(*[f"x.{c}" for c in (*FOUND, "column_number", "code_snippet", "fingerprint")])
+
+
+SARIF = (
+    "ruleId string, level string, message struct<text:string>, partialFingerprints struct<primaryLocationLineHash:string>, "
+    "locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int,snippet:struct<text:string>>>>>"
+)
 
 
 def sarif_results(spark, sf_dir):
-    """The mixed corpus's findings as SARIF results."""
-    found = mixed_findings(spark, sf_dir)
-    level = F.when(F.col("impact") == "High", "error").when(F.col("impact") == "Medium", "warning").otherwise("note")
-    return found.select(F.col("rule_id").alias("ruleId"), level.alias("level"), "message", F.col("file_path").alias("uri"), F.greatest("line_number", F.lit(1)).alias("startLine"), F.greatest("column_number", F.lit(1)).alias("startColumn"))
+    """The mixed corpus's findings as the SARIF report writes its results, read back."""
+    texts = mixed_findings(spark, sf_dir).select(report.sarif_result().alias("json"))
+    place = F.get("x.locations", F.lit(0))["physicalLocation"]
+    return texts.select(F.from_json("json", SARIF).alias("x")).select(
+        "x.ruleId", "x.level", F.col("x.message.text").alias("message"), place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("startLine"),
+        place["region"]["startColumn"].alias("startColumn"), place["region"]["snippet"]["text"].alias("snippet"), F.col("x.partialFingerprints.primaryLocationLineHash").alias("hash"),
+    )
+
+
+def _placed_sql() -> str:
+    """What mixed_sql has, with each finding's snippet, column and fingerprint, from the templates' lines."""
+    cases = [(n, source, hits) for n in MIXED for source, hits in CASES[n]]
+    cases.append((1, MIXED_SOURCES[-1], [(6, ("call", "gets")), (7, ("call", "gets"))]))
+    parts = []
+    for at, (n, source, hits) in enumerate(cases):
+        for line, p in hits:
+            word = {1: p[1] if n == 1 else "", 12: p[0] if p else "", 18: "goto", 24: "char", 26: p[0] if p else ""}[n]
+            raw = sql_text(source.split("\n")[line - 1])
+            parts.append(
+                f"SELECT 'src/f' || p_partkey || '.c' AS file_path, '{catalog.rule_id(n)}' AS rule_id, CAST({line} AS INT) AS line_number, '{severity_of(n, p)}' AS impact, {sql_text(message_text(n, p))} AS message, "
+                f"CAST(strpos({raw}, {sql_text(word)}) AS INT) AS column_number, trim({raw}) AS code_snippet FROM part WHERE p_partkey % {len(MIXED_SOURCES)} = {at}"
+            )
+    return f"SELECT *, substr(sha256(rule_id || '|' || file_path || '|' || regexp_replace(code_snippet, '\\s+', ' ', 'g')), 1, 16) AS fingerprint FROM ({' UNION ALL '.join(parts)})"
+
+
+SARIF_SQL = f"""
+SELECT rule_id AS "ruleId", CASE impact WHEN 'High' THEN 'error' WHEN 'Medium' THEN 'warning' ELSE 'note' END AS level, message, file_path AS uri, line_number AS "startLine", column_number AS "startColumn",
+       code_snippet AS snippet, fingerprint AS hash FROM ({_placed_sql()})
+"""
 
 
 PLAIN = {
@@ -578,8 +614,8 @@ PLAIN = {
     "sensitive_words": (sensitive_words, _words_sql()),
     "precision_recall": (precision_recall, PRECISION_SQL),
     "full_scan": (full_scan, None),
-    "json_report": (json_report, None),
-    "sarif_results": (sarif_results, None),
+    "json_report": (json_report, _placed_sql()),
+    "sarif_results": (sarif_results, SARIF_SQL),
 }
 
 

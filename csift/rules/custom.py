@@ -9,14 +9,18 @@ from pyspark.cloudpickle import dumps
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from csift.functions.lexing import fingerprint
-from csift.schema import FINDING_COLUMNS
+from csift.rules.lines import each, hit
+
+#: A scan's own rules are numbered from here on, in order.
+NUMBERS = 1000
 
 
 @dataclass(frozen=True)
 class CustomRule:
     """One of: condition(line, masked) -> Column, evaluated natively; scan_line(line, masked) -> message or None, in
-    Python; query(parses) -> DataFrame of (path, line, column, message)."""
+    Python; query(parses) -> DataFrame of (path, line, column, message).
+
+    Findings of these rules are suppressed, overridden and made distinct like any others."""
 
     rule_id: str
     name: str
@@ -52,34 +56,22 @@ def registered(rule_id: str) -> CustomRule:
     return _registered[rule_id]
 
 
-def hits_of(parses: DataFrame, rules: tuple[CustomRule, ...], config) -> DataFrame:
-    from csift.operators.findings import numbered_lines
-    from csift.functions.lexing import split_lines
+def hits_of(rows: DataFrame, lines: Column, rules: tuple[CustomRule, ...]) -> tuple[DataFrame, list[Column]]:
+    """(rows, hits): of conditions, where a file's row lies, and of queries, by one join of what they find, a row a file.
 
-    out = None
-    lines = parses.filter("error is null").select("path", F.explode(numbered_lines(F.col("clean"))).alias("x")).select("path", F.col("x.n").alias("line"), "x.line", "x.masked").toDF("path", "line", "text", "masked").filter("trim(text) <> ''")
-    for rule in rules:
+    Hits of functions are found with the file's other ones, so that a function that fails fails its file alone.
+    """
+    parts = []
+    for k, rule in enumerate(rules):
+        if rule.condition is not None:
+            found = lambda x, k=k, rule=rule: F.when(rule.condition(x["line"], x["masked"]), hit(NUMBERS + k, x["n"], F.lit(1), rule.message or rule.name))
+            parts.append(each(lines, found))
+    queries = None
+    for k, rule in enumerate(rules):
         if rule.query is not None:
-            found = rule.query(parses).select("path", "line", "column", "message")
-        elif rule.condition is not None:
-            found = lines.filter(rule.condition(F.col("text"), F.col("masked"))).select("path", "line", F.lit(1).alias("column"), F.lit(rule.message or rule.name).alias("message"))
-        else:
-            function = rule.scan_line
-
-            @F.pandas_udf("string")
-            def told(text, masked):
-                import pandas as pd
-
-                return pd.Series([function(a, b) for a, b in zip(text, masked)], dtype="object")  # noqa: B023
-
-            found = lines.withColumn("message", told("text", "masked")).filter("message is not null").select("path", "line", F.lit(1).alias("column"), "message")
-        raw = parses.select("path", split_lines(F.col("content")).alias("_raw"), F.col("parse.confidence").alias("confidence"))
-        found = found.distinct().join(raw, "path").select(
-            F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.lit(config.overrides.get(rule.rule_id, rule.impact)).alias("impact"), F.col("path").alias("file_path"),
-            F.col("line").cast("int").alias("line_number"), F.col("column").cast("int").alias("column_number"), F.trim(F.coalesce(F.get("_raw", F.col("line") - 1), F.lit(""))).alias("code_snippet"), "message",
-            F.lit(rule.remediation).alias("remediation"), F.lit(rule.cwe_id).alias("cwe_id"), F.lit("AST" if rule.query else "Regex").alias("engine"), F.lit("manual_review").alias("fix_type"),
-            F.lit(None).cast("string").alias("auto_fix_replacement"), F.lit(None).cast("string").alias("suggested_fix_replacement"), "confidence",
-        )
-        found = found.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("file_path"), F.col("code_snippet"))).select(*FINDING_COLUMNS)
-        out = found if out is None else out.unionByName(found)
-    return out
+            found = rule.query(rows).select("path", hit(NUMBERS + k, F.col("line"), F.col("column"), F.col("message"), engine="AST").alias("hit"))
+            queries = found if queries is None else queries.unionByName(found)
+    if queries is not None:
+        rows = rows.join(queries.groupBy("path").agg(F.collect_list("hit").alias("_queried")), "path", "left")
+        parts.append(F.col("_queried"))
+    return rows, parts

@@ -12,9 +12,9 @@ FUNCTION = (
     f"casts:array<struct<line:int,type:string,is_pointer:boolean,is_function_pointer:boolean,names:array<string>>>,sizeofs:array<struct<line:int,name:string>>,types:map<string,string>>"
 )
 PARSE = (
-    f"struct<status:string,parse_tier:string,confidence:string,unsigned_typedefs:array<string>,functions:array<{FUNCTION}>,globals:array<{VARIABLE}>,"
+    f"struct<status:string,reason:string,parse_tier:string,confidence:string,unsigned_typedefs:array<string>,functions:array<{FUNCTION}>,globals:array<{VARIABLE}>,"
     f"switches:array<struct<line:int,column:int,has_default:boolean>>,controls:array<struct<keyword:string,line:int,column:int,has_brace:boolean>>,"
-    f"hits:array<struct<rule:int,line:int,column:int,parameters:array<string>>>,"
+    f"hits:array<struct<rule:int,line:int,column:int,parameters:array<string>,context:array<string>,pass:int>>,"
     f"nodes:array<struct<fn_idx:int,node_id:int,kind:string,line:int,expr:string,{_SETS.replace(', ', ',')}>>,"
     f"edges:array<struct<fn_idx:int,src:int,dst:int,nonnull:array<string>,null:array<string>>>,"
     f"facts:array<struct<fn_idx:int,node_id:int,var:string,nullness:string,init:string,alloc:string>>>"

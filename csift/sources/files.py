@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from csift.sources.ignore import IgnoreRules
@@ -80,3 +81,10 @@ def from_lake(spark: SparkSession, location: str) -> DataFrame:
     """Files that Spark reads itself, from any store it knows; names that begin with _ or . are left out by its readers."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cChH]").load(location)
     return read.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def relative(path: Column, location: str) -> Column:
+    """Paths as they stand under a location; stores write it with one slash or three after the scheme."""
+    plain = lambda x: F.regexp_replace(x, r"^([A-Za-z][A-Za-z0-9+.-]*:)/*", "$1/")
+    base = re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*:)/*", r"\1/", location.rstrip("/")) + "/"
+    return F.when(plain(path).startswith(base), F.substr(plain(path), F.lit(len(base) + 1))).otherwise(path)

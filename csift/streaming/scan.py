@@ -21,6 +21,6 @@ def scan_stream(files: DataFrame, output: str, checkpoint: str, config: ScanConf
     def batch(part: DataFrame, number: int) -> None:
         scan = scan_files(part, config)
         scan.findings.write.mode("overwrite").parquet(f"{output}/batch={number}")
-        scan.parses.unpersist()
+        scan.unpersist()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,9 +7,11 @@ import pytest
 from csift.corpus import CASES
 from csift.frontend.extract import FileFacts, control_statements, switches, unsigned_typedefs
 from csift.frontend.fallback import split_arguments
-from csift.frontend.flow import Graph, leaks, unsafe_allocation_use, uses_after_free
+from csift.frontend.flow import Graph, leaks, reached, unsafe_allocation_use, uses_after_free
+from csift.frontend.lexical import RULES, Rules, Source, masked
 from csift.frontend.syntax import parse, show
-from csift.frontend.tokens import Preprocessor, tokens
+from csift.frontend.tokens import Preprocessor, TooLong, tokens
+from csift.rules.catalog import BANNED
 from csift.rules.facts import FROM_PATHS
 
 
@@ -68,15 +70,15 @@ def test_expressions_print(text, printed):
 
 def test_unknown_types_are_taken_as_types():
     row = FileFacts("", "handle_t *f(ctx_t *c) {\n  item_t *i = next(c);\n  item_t j;\n  i * j;\n  return (handle_t *) i;\n}\n").row()
-    assert row["status"] == "pycparser-success"
+    assert row["status"] == "parsed"
     assert [v["name"] for v in row["functions"][0]["variables"]] == ["i", "j"]
 
 
 def test_tiers():
-    assert FileFacts("", "int f(void) { return 1; }").row()["parse_tier"] == "pcpp+pycparser"
-    assert FileFacts("", "#define BROKEN(\nint f(void) { return 1; }").row()["parse_tier"] == "directive-stripped"
+    assert FileFacts("", "int f(void) { return 1; }").row()["parse_tier"] == "macros-expanded"
+    assert FileFacts("", "#define BROKEN(\nint f(void) { return 1; }").row()["parse_tier"] == "directives-left-out"
     row = FileFacts("", "int f(int a) {\n  char *p = malloc(a);\n  return a +;\n}\n").row()
-    assert (row["parse_tier"], row["confidence"]) == ("regex-fallback", "FALLBACK")
+    assert (row["parse_tier"], row["confidence"]) == ("patterns", "FALLBACK")
     assert [f["name"] for f in row["functions"]] == ["f"]
     assert {h["rule"] for h in row["hits"]} >= {3}
 
@@ -174,4 +176,80 @@ def test_path_rules_on_the_corpus(rule):
 def test_strange_texts():
     for text in ("", "\n", "}", "{{{", "int", "\"", "'", "#", "#define", "/", "int f(", "if (x", "\x00", "é", "switch (", "a" * 50_000, "(" * 3000):
         row = FileFacts(text, text).row()
-        assert row["status"] in ("pycparser-success", "fallback-parser")
+        assert row["status"] in ("parsed", "fallback-parser")
+
+
+@pytest.mark.parametrize(
+    "condition, value",
+    [
+        ("1 + 2 * 3 == 7", 1), ("(1 + 2) * 3", 9), ("-7 / 2", -3), ("-7 % 2", -1), ("1 / 0", 0), ("0x10 >> 2 | 1", 5), ("~0 & 6 ^ 2", 4), ("!defined(A) && defined B || 0", 0), ("2 > 1 ? 5 : 6", 5),
+        ("0 ? 5 : 1 ? 7 : 8", 7), ("010 + 1u", 9), ("1 << 70", 0), ("unknown", 0), ("1 +", 0), ("(1", 0), ("f(1)", 0), (" + ".join(["1"] * 5000), 5000), ("(" * 9000 + "1", 0),
+    ],
+)
+def test_conditions(condition, value):
+    assert Preprocessor().value([t for t in tokens(condition) if t.kind != "line"]) == value
+
+
+def test_macro_limit():
+    with pytest.raises(TooLong):
+        Preprocessor(most_tokens=5).run("#define A x x x\n#define B A A A\nB")
+    row = FileFacts("", "#define A0 x x x x x x x x x x\n" + "".join(f"#define A{k} {f'A{k - 1} ' * 10}\n" for k in range(1, 7)) + "int f(int *p) { A6; return *p; }").row()
+    assert row["parse_tier"] == "directives-left-out" and "200000" in row["reason"]
+
+
+def lexical_hits(rule, text):
+    return [(h["line"], *h["parameters"][: 2 if h["parameters"][:1] == ["call"] else None]) for h in Rules(text, BANNED).hits([rule])]
+
+
+@pytest.mark.parametrize(
+    "rule, text, wanted",
+    [
+        (1, '#define N 32\nvoid f(char buf[9]) {\n char a[N], *p;\n p = a;\n strcpy(p, "x" "y\\n");\n strcpy(buf, "toolongforthis");\n}', [(5, "bounded", "strcpy", "3", "p", "32"), (6, "call", "strcpy")]),
+        (1, 'char g[40];\nvoid f(void){ strcpy(g, "ab"); }\nvoid h(void){ char g[3]; strcpy(g, "ab"); }', [(2, "bounded", "strcpy", "2", "g", "40"), (3, "call", "strcpy")]),
+        (1, "#define S strcpy(a, b)\nchar *strcpy(char *, const char *);\nvoid f(void) { s = strcpy\n (a, b); return gets(x); }", [(3, "call", "strcpy"), (4, "call", "gets")]),
+        (2, 'f(){ printf(f(x, ")")); printf("%d", x); fprintf(e, m); fprintf(e, "m"); vprintf(L"x"); }', [(1, "printf", 'f(x, ")")'), (1, "fprintf", "m")]),
+        (6, "f(){ malloc(n * sizeof(int)); x = INT_MAX + y; if (n < SIZE_MAX) {\n malloc(n + 1);}}", [(1, "allocation", "n", "*", "sizeof(int)"), (1, "largest", "INT_MAX", "+", "y")]),
+        (7, "int f(void) {\n int t[4];\n int *p = &t[1];\n p[3] = 1;\n p[2] = 1; t[4]; s.t[9];\n return t[3];}", [(4, "constant", "3", "p", "3"), (5, "constant", "4", "t", "4")]),
+        (21, "int *p;\nreturn *p;\ntypedef int *u;\nstruct s *t;\nchar **q;", [(1, "p"), (4, "t"), (5, "q")]),
+        (30, 'f(){ system("ls" " -l"); system(cmd); int system(const char *c); x = popen(\n  cmd, "r"); }', [(1, "system"), (1, "popen")]),
+        (32, "f(){ *p = realloc(*p, 3); x->d[i] = (char *) realloc(x->d[i], n);\n q = realloc(p, 3); char *z =\n realloc(z, 4); }", [(1, "realloc", "*p"), (1, "realloc", "x->d[i]"), (3, "realloc", "z")]),
+        (33, "f(){ for (size_t i = n; i >= 0; --i) {}\n size_t m;\n for (int i = m; i >= 0; i -= 1) {}\n for (int k = 9; k >= 0; k--) {} }", [(1, "endless", "i"), (3, "bound", "i", "m")]),
+        (35, "f(){ if (stat(path, &s) == 0) {\n fd = open(path, 0);\n }\n if (access((char *) p, 4)) { }\n  p = q;\n  open(p, 3);\n}", [(2, "stat", "1", "path", "open")]),
+        (37, "f(){ strncpy(s->n, a, 3);\n s->n[2] = 0;\n strncpy(&b[1], a, 3);\n b[9] = '\\0'; strncpy(c, d, 1); }", [(4, "strncpy")]),
+    ],
+)
+def test_token_rules(rule, text, wanted):
+    assert lexical_hits(rule, text) == wanted
+
+
+def test_token_rules_on_strange_texts():
+    for text in ("", "}", "{{{", "\"", "'", "#", "f(", "strcpy(", "strcpy(a,", "for(", "x[", "p = realloc(", "access(", "goto", "memset(a,0,b)", "srand(", "a[1]", "scanf()", "- 1 <<", "int x", "(" * 3000, ")" * 3000, "EVP_ecb(", "char"):
+        Rules(text, BANNED).hits(sorted(RULES))
+    assert masked('a = "b\\"c" + \'\\n\'; u8"x" "open') == 'a = "x\\xx" + \'\\x\'; u8"x" "xxxx'
+    source = Source("f(a, (b, c), d[1, 2], \"x,y\");")
+    assert [source.shown(p) for p in source.arguments(0)] == ["a", "(b, c)", "d[1, 2]", '"x,y"']
+
+
+BROKEN = "int f(int *a, int *b) {\n  if (b) {\n    *b = 1;\n  }\n  int *q = NULL;\n  x = = 3;\n  *q = 2;\n  if (!q) {\n    q[1] = 0;\n  }\n  return *a;\n}\n"
+
+
+def test_rough_rules_where_a_body_is_only_partly_read():
+    row = FileFacts("", BROKEN).row()
+    assert row["parse_tier"] == "patterns"
+    assert {(h["rule"], h["line"], *h["parameters"]) for h in row["hits"] if h["rule"] == 4} == {(4, 7, "null", "q"), (4, 9, "null", "q"), (4, 11, "parameter", "a", "f")}
+    text = "void f(int n) {\n  char *p = malloc(n);\n  x = = 1;\n  free(p);\n  use(p);\n  char *r = strdup(s);\n  free(k);\n  free(k);\n  if (n * 2 < INT_MAX) {\n    r = malloc(n * 2);\n    if (!r) return;\n  }\n}\n"
+    found = {(h["rule"], h["line"]) for h in FileFacts("", text).row()["hits"]}
+    assert {(3, 2), (22, 5), (27, 8), (36, 6)} <= found and not {(36, 2), (6, 10), (3, 10)} & found
+
+
+def test_arithmetic_on_trees():
+    text = "void f(unsigned u, int s, size_t z) {\n  int top = 0x7fffffff;\n  top += s;\n  if (s < 100) {\n top = top + s; }\n  if (u > -1) { }\n  while (sizeof(s) > s) { s++; }\n  for (s = z; 0 <= s; s = s - 1) { }\n  char *p = malloc((s + 1) * 2);\n}\n"
+    found = [(h["rule"], h["line"], *h["parameters"]) for h in FileFacts("", text).row()["hits"] if h["rule"] in (6, 33)]
+    assert (6, 3, "largest", "top", "+=", "s") in found and (33, 6, "negative", "u", "-1") in found and (33, 7, "mixed", "s", "sizeof(s)") in found and (33, 8, "bound", "s", "z") in found
+    assert not any(h[1] == 5 for h in found)
+
+
+def test_paths_of_any_length():
+    chain = [(k, k + 1) for k in range(40)]
+    assert len(reached(chain)) == 40 * 41 // 2 and (0, 40) in reached(chain)
+    assert set(reached([(1, 2), (2, 1)])) == {(1, 1), (1, 2), (2, 1), (2, 2)}

@@ -130,12 +130,12 @@ def test_summaries(spark):
     rows = {r["file_path"]: r for r in scan.summaries.collect()}
     assert (rows["a.c"]["high_count"], rows["b.c"]["issues_count"], rows["b.c"]["lines_of_code"]) == (2, 0, 2)
     assert summary.totals(scan.summaries).first()["issues_count"] == 2
-    assert {r["status"]: r["files"] for r in summary.status_histogram(scan.summaries).collect()} == {"pycparser-success": 2, "fallback-parser": 0, "regex": 0, "parse-failed": 0}
+    assert {r["status"]: r["files"] for r in summary.status_histogram(scan.summaries).collect()} == {"parsed": 2, "fallback-parser": 0, "regex": 0, "parse-failed": 0}
 
 
 @pytest.mark.parametrize(
     "counts, wanted",
-    [({}, ("none", "success")), ({"pycparser-success": 2}, ("pycparser", "success")), ({"pycparser-success": 1, "regex": 1}, ("hybrid", "success")), ({"parse-failed": 1}, ("parse-failed", "failed")), ({"parse-failed": 1, "regex": 2}, ("regex", "partial_success"))],
+    [({}, ("none", "success")), ({"parsed": 2}, ("parser", "success")), ({"parsed": 1, "regex": 1}, ("hybrid", "success")), ({"parse-failed": 1}, ("parse-failed", "failed")), ({"parse-failed": 1, "regex": 2}, ("regex", "partial_success"))],
 )
 def test_overall_status(counts, wanted):
     assert summary.overall_status(counts) == wanted
@@ -156,6 +156,54 @@ def test_custom_rules(spark):
         CustomRule("X-5", "lock", scan_line=__import__("threading").Lock().acquire)
 
 
+def test_custom_rules_are_rules_like_others(spark):
+    """Suppressed, overridden, made distinct; a function that fails fails its file alone."""
+    native = CustomRule("X-1", "todo", message="a todo", condition=lambda line, masked: line.contains("todo"))
+    python = CustomRule("X-2", "long", scan_line=lambda line, masked: "too long" if len(line) > 40 else None)
+    query = CustomRule("X-3", "names", query=lambda parses: parses.select("path", F.explode(F.array(F.lit(1), F.lit(1), F.lit(2))).alias("line"), F.lit(1).alias("column"), F.lit("seen").alias("message")))
+    text = "int todo; // csift-ignore: X-1\nint todo;\nint a_name_that_is_longer_than_forty_characters; // csift-ignore: X-2\nchar *s = \"todo and a long text that is longer\";\n"
+    files = spark.createDataFrame([("a.c", text)], "path string, content string")
+    scan = scan_files(files, ScanConfig(numbers=(18,), overrides={"X-1": "High"}), custom=(native, python, query))
+    found = sorted((r["rule_id"], r["line_number"], r["impact"]) for r in scan.findings.collect())
+    assert found == [("X-1", 2, "High"), ("X-1", 4, "High"), ("X-2", 4, "Medium"), ("X-3", 1, "Medium"), ("X-3", 2, "Medium")]
+    assert all(len(r["fingerprint"]) == 16 and r["code_snippet"] for r in scan.findings.collect())
+    failing = CustomRule("X-4", "fails", scan_line=lambda line, masked: line.index("int") and None)
+    files = spark.createDataFrame([("a.c", "int a;\n"), ("b.c", "char b;\n")], "path string, content string")
+    scan = scan_files(files, ScanConfig(numbers=()), custom=(failing,))
+    assert [(r["file_path"], r["error_type"]) for r in scan.errors.collect()] == [("b.c", "ValueError")]
+
+
+def test_nothing_is_parsed_where_no_rule_needs_it(spark):
+    files = spark.createDataFrame([("a.c", BAD)], "path string, content string")
+    assert scan_files(files, ScanConfig(numbers=(1, 13, 18))).summaries.first()["parser"] == "regex"
+    assert scan_files(files, ScanConfig(numbers=(1, 4))).summaries.first()["parser"] == "parsed"
+
+
+def test_macro_limit_is_reported(spark):
+    text = "#define A0 x x x x x x x x\n" + "".join(f"#define A{k} A{k - 1} A{k - 1} A{k - 1} A{k - 1} A{k - 1} A{k - 1} A{k - 1} A{k - 1}\n" for k in range(1, 8)) + "int f(void) { return A7; }\n"
+    scan = scan_files(spark.createDataFrame([("a.c", text), ("b.c", "int a;\n")], "path string, content string"), ScanConfig(numbers=(4,)))
+    errors = scan.errors.collect()
+    assert [(r["file_path"], r["error_type"]) for r in errors] == [("a.c", "MacroLimit")] and "200000" in errors[0]["message"]
+    assert {r["status"] for r in scan.summaries.collect()} == {"success"}
+
+
+def test_reports_are_streamed(spark, tree, tmp_path):
+    scan = scan_path(spark, str(tree), ScanConfig(numbers=(1, 4)))
+    texts = list(reports.pieces(scan, "json"))
+    assert len(texts) > 8 and json.loads("".join(texts))["issues"] == reports.as_dict(scan)["issues"]
+    reports.write_lines(scan.findings, str(tmp_path / "lines"))
+    assert [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "lines")).collect()] == reports.as_dict(scan)["issues"]
+    sarif = json.loads(reports.render(scan, "sarif"))["runs"][0]
+    assert all(sarif["tool"]["driver"]["rules"][x["ruleIndex"]]["id"] == x["ruleId"] for x in sarif["results"])
+    empty = scan_text(spark, "int a;\n", "a.c", ScanConfig(numbers=(1,)))
+    assert json.loads(reports.render(empty, "sarif"))["runs"][0]["results"] == [] and "None." in reports.render(empty, "markdown")
+
+
+def test_folder_of_a_store(spark, tree):
+    scan = scan_path(spark, f"file://{tree}", ScanConfig(numbers=(1,)), patterns=["vendor/", "_x.c"])
+    assert sorted(r["file_path"] for r in scan.summaries.collect()) == ["lib/old.c", "src/H.H", "src/crlf.c"]
+
+
 def test_config_round_trip():
     config = ScanConfig(numbers=(1, 2), banned={"f": ("a", "b")}, allocators=("my_alloc",))
     assert ScanConfig.from_dict(json.loads(json.dumps(config.to_dict()))) == config
@@ -264,10 +312,10 @@ def test_reports(spark, tree):
     assert json.loads(reports.to_json(report, pretty=False))["summary"]["high_count"] == len(report["issues"]) == 4
     places = [(i["file_path"], i["line_number"]) for i in report["issues"]]
     assert places == sorted(places)
-    sarif = json.loads(reports.to_sarif(report))
+    sarif = json.loads(reports.render(scan, "sarif"))
     assert sarif["version"] == "2.1.0" and len(sarif["runs"][0]["results"]) == 4 and {r["id"] for r in sarif["runs"][0]["tool"]["driver"]["rules"]} == {"CSIFT-001", "CSIFT-004"}
-    assert "| CSIFT-001 | High |" in reports.to_markdown(report)
-    assert "src/_x.c:2:3: High" in reports.to_text(report)
+    assert "| CSIFT-001 | High |" in reports.render(scan, "markdown")
+    assert "src/_x.c:2:3: High" in reports.render(scan, "text")
 
 
 @pytest.mark.parametrize("flag, configured, output, wanted", [("json", "sarif", "a.md", "json"), (None, "sarif", "a.md", "sarif"), (None, None, "a.md", "markdown"), (None, None, "a.sarif", "sarif"), (None, None, None, "text")])
