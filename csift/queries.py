@@ -177,7 +177,7 @@ def secret_scan_documents(spark, sf_dir):
 
 SECRET_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-m AS (SELECT *, regexp_extract(line, '(?i)\b(\w*token)\s*=\s*"([0-9a-f]{40})"', 0) AS hit FROM l WHERE length(line) < 60)
+m AS (SELECT *, regexp_extract(line, '(?i)\b(\w*token)\s*=\s*"([0-9a-f]{40})"', 0) AS hit FROM l)
 SELECT doc_id, CAST(n AS BIGINT) AS line_number, regexp_extract(hit, '(?i)\b(\w*token)\s*=', 1) AS name, substr(sha256('CSIFT-024|' || doc_id || '|' || regexp_replace(trim(hit), '\s+', ' ', 'g')), 1, 16) AS fingerprint FROM m WHERE hit <> ''
 """
 
@@ -191,7 +191,8 @@ def script_calls_pages(spark, sf_dir):
 
 
 SCRIPT_SQL = r"""
-WITH s AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1), '"[^"]*"', '""', 'g') AS js FROM pages),
+WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS script FROM pages),
+s AS (SELECT page_id, regexp_replace(script, '"[^"]*"', '""', 'g') AS js FROM e),
 c AS (SELECT page_id, unnest(regexp_extract_all(js, '\b[A-Za-z_]\w*\([^)]*\)')) AS call FROM s)
 SELECT page_id, regexp_extract(call, '^(\w+)', 1) AS callee, regexp_extract(call, '\((.*)\)$', 1) AS arguments FROM c
 """
