@@ -27,6 +27,7 @@ BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tab
 ENDS_P = BLOCK - {"br", "button", "option", "optgroup", "caption", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot"}
 P_BARRIER = ("table", "td", "th", "li", "button", "article", "section", "div", "blockquote")
 
+LETTER = re.compile("/?[a-zA-Z]")
 MARK = re.compile("[\"'>]")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
@@ -77,12 +78,16 @@ class _Stack:
         self.elements.append(element)
 
     def innermost(self, names: tuple[str, ...]) -> int:
-        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+        deepest = 0
+        for name in names:
+            if (held := self.depths.get(name)) and held[-1] > deepest:
+                deepest = held[-1]
+        return deepest
 
     def end(self, names: tuple[str, ...], barrier: tuple[str, ...] = ()) -> None:
         """Ends the innermost element of one of the names, unless a barrier stands further in."""
         depth = self.innermost(names)
-        if depth > self.innermost(barrier):
+        if depth and depth > self.innermost(barrier):
             for element in self.elements[depth:]:
                 self.depths[element.name].pop()
             del self.elements[depth:]
@@ -109,7 +114,7 @@ def parse(text: str) -> Element:
             else:
                 after = text.find(">", at) + 1 if at < last else -1
             token = None
-        elif re.match("/?[a-zA-Z]", head):
+        elif LETTER.match(head):
             after = ends.after(at + 1)
             token = text[at:after]
         else:
@@ -174,7 +179,7 @@ def hashed(element: Element) -> list[Element]:
                 shape.add(b"")
             elif x.name in RAW:
                 inside.append(c.encode("utf-8", "replace"))
-        names = [x.name, *(x.attributes.get(k, "") for k in ("class", "id", "role"))]
+        names = [x.name, *(x.attributes.get(k, "") for k in ("class", "id", "role"))] if x.attributes else [x.name, "", "", ""]
         x.digest = _digest(*(n.encode("utf-8", "replace") for n in names), *inside)
         if x.name in FLOW:
             shapes[id(x)] = frozenset(shape)

@@ -442,6 +442,17 @@ def test_near_copies(spark):
     assert [r["component_id"] for r in rows] == classes(codes)
 
 
+def test_fingerprints_of_long_texts(monkeypatch):
+    """A long text is read a piece at a time, and its bits are counted a part at a time."""
+    chance = random.Random(15)
+    texts = [" ".join(f"w{chance.randint(0, 50)}" for _ in range(n)) + end for n in (0, 1, 2, 3, 50, 900) for end in ("", "  \n")]
+    wanted = [print_of(t) for t in texts]
+    for piece, held in ((7, 10), (64, 100), (1 << 20, 1 << 17)):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        monkeypatch.setattr(simhash, "HELD", held)
+        assert simhash.fingerprints_of([t.encode() for t in texts]).tolist() == wanted
+
+
 @pytest.mark.parametrize("blocks", [1, 2, 4])
 def test_links_find_every_component(spark, blocks):
     chance = np.random.default_rng(7)
