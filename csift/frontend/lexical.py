@@ -99,7 +99,10 @@ class Source:
             if t.kind == "word":
                 self.by_name.setdefault(t.text, []).append(k)
         self.lines = [t.line for t in self.tokens]
+        self.statements = self._statements()
         self._arrays: dict[str, list[tuple[int, Range]]] | None = None
+        self._assigned: dict[str, list[int]] | None = None
+        self._defined: dict[str, int] | None = None
 
     def _partners(self) -> dict[int, int]:
         """Places of brackets and of those that close them, both ways; what stays open has none."""
@@ -162,18 +165,23 @@ class Source:
                 return self.bodies[at + 1]
         return None
 
+    def _statements(self) -> list[int]:
+        """For each place where its statement begins: behind the last ; or brace, but for those in brackets that are closed before it."""
+        out, begin, opened = [], 0, []
+        for k, t in enumerate(self.tokens):
+            if t.kind == "punct" and t.text in ")]" and k in self.partner:
+                while opened and opened[-1][0] >= self.partner[k]:
+                    begin = opened.pop()[1]
+            out.append(begin)
+            if t.kind == "punct" and t.text in "([" and k in self.partner:
+                opened.append((k, begin))
+            elif t.kind == "punct" and t.text in ";{}":
+                begin = k + 1
+        return out
+
     def statement(self, k: int) -> int:
         """Where the statement begins that a place stands in."""
-        k -= 1
-        while k >= 0:
-            text = self.text(k)
-            if self.kind(k) == "punct":
-                if text in ")]" and k in self.partner:
-                    k = self.partner[k]
-                elif text in ";{}":
-                    break
-            k -= 1
-        return k + 1
+        return self.statements[k] if k < len(self.statements) else 0
 
     def arguments(self, name: int) -> list[Range]:
         """Of the call whose name stands at a place: ranges of tokens. An open call ends with its statement."""
@@ -200,9 +208,11 @@ class Source:
                 yield k, self.text(k)
 
     def declares(self, k: int) -> bool:
-        """Whether a name before a parenthesis is declared or defined there: only a type stands before it."""
-        before = self.tokens[self.statement(k) : k]
-        return any(t.kind == "word" for t in before) and all(t.text == "*" or t.kind == "word" and t.text not in KEYWORDS for t in before)
+        """Whether a name before a parenthesis is declared or defined there: only a type stands between it and its statement's begin."""
+        first = k
+        while first > 0 and (self.text(first - 1) == "*" or self.kind(first - 1) == "word" and self.text(first - 1) not in KEYWORDS):
+            first -= 1
+        return first <= self.statement(k) and any(t.kind == "word" for t in self.tokens[first:k])
 
     def is_literal(self, part: Range) -> bool:
         return part[0] < part[1] and all(t.kind == "string" for t in self.tokens[part[0] : part[1]])
@@ -274,23 +284,37 @@ class Source:
         token = self.tokens[part[0]]
         if token.kind != "word":
             return number_of(token)
-        for d in self.directives:
-            if len(d) > 3 and d[1].text == "define" and d[2].text == token.text and number_of(d[3]) is not None:
-                return number_of(d[3])
-        for k in self.by_name.get(token.text, ()):
-            if self.text(k + 1) == "=" and self.kind(k + 2) == "number" and "const" in self.texts((self.statement(k), k)):
+        if self._defined is None:
+            self._defined = {}
+            for d in self.directives:
+                if len(d) > 3 and d[1].text == "define" and (value := number_of(d[3])) is not None:
+                    self._defined.setdefault(d[2].text, value)
+        if token.text in self._defined:
+            return self._defined[token.text]
+        for k in self.assigned.get(token.text, ()):
+            if self.kind(k + 2) == "number" and "const" in self.texts((self.statement(k), k)):
                 return number_of(self.tokens[k + 2])
         return None
 
+    @property
+    def assigned(self) -> dict[str, list[int]]:
+        """Places of names that something is assigned to, members apart."""
+        if self._assigned is None:
+            self._assigned = {}
+            for k, t in enumerate(self.tokens):
+                if t.kind == "word" and self.text(k + 1) == "=" and self.text(k - 1) not in (".", "->"):
+                    self._assigned.setdefault(t.text, []).append(k)
+        return self._assigned
+
     def declared(self, name: str, k: int, body: Range | None) -> Range | None:
         """The dimension of the array of a name that is declared nearest above a place, in the same body (or in none)."""
         return next((part for at, part in reversed(self.arrays.get(name, ())) if at < k and self.body_of(at) == body), None)
 
     def alias(self, name: str, k: int) -> tuple[str, int] | None:
         """(array, offset) that a name is set to nearest above a place in its body: a, &a, &a[n], a + n or n + a."""
-        body = self.body_of(k)
-        for at in reversed(self.by_name.get(name, ())):
-            if at < k and self.body_of(at) == body and self.text(at + 1) == "=" and self.text(at - 1) not in (".", "->"):
+        body, places = self.body_of(k), self.assigned.get(name, [])
+        for at in reversed(places[: bisect_right(places, k)]):
+            if self.body_of(at) == body:
                 end = next((e for e in range(at + 2, len(self.tokens)) if self.text(e) in (";", "{", "}")), len(self.tokens))
                 a, b = self.bare((at + 2, end))
                 if self.text(a) == "&":
@@ -440,7 +464,7 @@ class Rules:
                 continue
             name, line = s.text(given[0][0]), s.lines[k]
             after = range(*s.on_lines(line + 1, line + 3))
-            ends = any(s.text(j) == "return" or s.text(j) == "}" and s.lines.count(s.lines[j]) == 1 for j in after)
+            ends = any(s.text(j) == "return" or s.text(j) == "}" and s.on_lines(s.lines[j], s.lines[j]) == (j, j + 1) for j in after)
             if ends and any(w in name.lower() for w in WIPED):
                 yield self.hit(k, name, s.shown(given[2]))
 
@@ -539,7 +563,7 @@ class Rules:
     # 028
     def random_numbers(self) -> Iterator[dict]:
         s = self.source
-        for k, name in s.calls(DRAWS):
+        for k, name in s.calls(DRAWS, once=True):
             if not s.arguments(k):
                 near = s.on_lines(s.lines[k] - 3, s.lines[k])
                 yield self.hit(k, name, context=[w for w in s.words(near) if w != name])
@@ -559,8 +583,8 @@ class Rules:
     # 031
     def weak_cryptography(self) -> Iterator[dict]:
         s = self.source
-        for k, name in s.calls([w for w in s.by_name if weak(w) is not None]):
-            near = s.words(s.on_lines(s.lines[k] - 3, s.lines[k]))
+        for k, name in s.calls([w for w in s.by_name if weak(w) is not None], once=True):
+            near = () if weak(name) else s.words(s.on_lines(s.lines[k] - 3, s.lines[k]))
             yield self.hit(k, name, context=None if weak(name) else [w for w in near if weak(w) is None])
 
     # 032

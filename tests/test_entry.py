@@ -23,7 +23,7 @@ def test_flagship(spark):
 
 
 @here
-@pytest.mark.parametrize("name", ["lines_loc", "comment_extract", "suppressions", "baseline_resolved", "ignore_filter", "severity_totals", "rule_catalog"])
+@pytest.mark.parametrize("name", ["lines_loc", "comment_extract", "suppressions", "baseline_new", "baseline_resolved", "script_calls_pages", "ignore_filter", "severity_totals", "rule_catalog", "node_facts", "reachability", "json_report", "sarif_results"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 

@@ -230,6 +230,19 @@ def test_token_rules_on_strange_texts():
     assert [source.shown(p) for p in source.arguments(0)] == ["a", "(b, c)", "d[1, 2]", '"x,y"']
 
 
+def test_token_rules_take_linear_time():
+    import time
+
+    many = 8000
+    for text in (
+        "void f(void) {\n int t[4];\n" + " t[3] = 1; p[2] = 0;\n" * many + "}", "int t[] = {" + "gets(x), a[1], " * many + "};", "void f(void) {\n" + ' strcpy(d, "abc");\n' * many + "}",
+        "f(" * many, "#define A 1\n" * many + "char b[A];\n" + "void f(void) {\n" + ' strcpy(b, "abc");\n' * many + "}", "void f(void) {\n" + " memset(key, 0, n);\n}" * many,
+    ):
+        begin = time.process_time()
+        Rules(text, BANNED).hits(sorted(RULES))
+        assert time.process_time() - begin < 12, text[:60]
+
+
 BROKEN = "int f(int *a, int *b) {\n  if (b) {\n    *b = 1;\n  }\n  int *q = NULL;\n  x = = 3;\n  *q = 2;\n  if (!q) {\n    q[1] = 0;\n  }\n  return *a;\n}\n"
 
 
