@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csift.llm import bpe, chat, exact_dedup, html_text, licenses, media, mixing, quality, simhash, toxicity
+from csift.llm import bpe, chat, exact_dedup, html_text, licenses, media, mixing, quality, simhash, toxicity, trie
 from csift.llm.common import table
 
 
@@ -84,6 +84,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of a text of ASCII characters: eight steps of the shift register a character.
+CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({}, ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)))"""
+OP13_SQL = f"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, coalesce(text, '') AS text, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % {trie.EVERY} AS base, {CRC32_SQL.format("CAST(conv_id AS VARCHAR)")} % {trie.HEADS} AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT c.conv_id, 0 AS part, o.place, o.text, o.said FROM c JOIN o ON o.conv_id = c.base AND o.place <= c.h
+      UNION ALL SELECT c.conv_id, 1, o.place, o.text, o.said FROM c JOIN o ON o.conv_id = c.conv_id AND o.place > c.h),
+p AS (SELECT conv_id, text, said, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM r),
+t AS (SELECT conv_id, 0 AS depth, '' AS node, '' AS parent, 0 AS bytes FROM c
+      UNION ALL SELECT p.conv_id, p.depth, sha256(t.node || sha256(p.said)), t.node, octet_length(encode(p.text)) FROM t JOIN p ON p.conv_id = t.conv_id AND p.depth = t.depth + 1),
+n AS (SELECT depth, node, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) * (count(*) - 1) AS saved FROM t GROUP BY depth, node),
+k AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+b AS (SELECT DISTINCT a.depth, a.node, d.depth AS under, d.node AS below FROM t AS a JOIN t AS d ON a.conv_id = d.conv_id AND d.depth >= a.depth),
+s AS (SELECT b.depth, b.node, sum(n.saved) AS saved_tokens, count(CASE WHEN k.n_children IS NULL THEN 1 END) AS n_leaves
+      FROM b JOIN n ON n.depth = b.under AND n.node = b.below LEFT JOIN k ON k.depth = b.under AND k.node = b.below GROUP BY ALL),
+l AS (SELECT conv_id, max(depth) AS depth FROM t GROUP BY conv_id),
+e AS (SELECT t.depth, t.node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM t JOIN l USING (conv_id, depth) GROUP BY ALL)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM n JOIN s USING (depth, node) LEFT JOIN k USING (depth, node) LEFT JOIN e USING (depth, node) LEFT JOIN n AS q ON n.depth > 0 AND q.depth = n.depth - 1 AND q.node = n.parent
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -140,9 +170,10 @@ def queries() -> dict:
         "op8_bpe": op8_bpe,
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
+        "op13_conversation_trie": op13_conversation_trie,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_chat": OP6_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_chat": OP6_SQL, "op13_conversation_trie": OP13_SQL}
