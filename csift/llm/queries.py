@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csift.llm import bpe, chat, exact_dedup, html_text, licenses, media, mixing, quality, simhash, toxicity, trie
+from csift.llm import bpe, chat, divergence, exact_dedup, html_text, licenses, media, mixing, quality, simhash, toxicity, trie
 from csift.llm.common import table
 
 
@@ -84,6 +84,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{divergence.UPPER}', '{divergence.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_count FROM w GROUP BY ALL HAVING count(DISTINCT row) >= {divergence.DOCUMENTS}),
+v AS (SELECT lang, count(*) AS kept, sum(lang_count) AS lang_total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.lang_count, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+      FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT f.*, 1 + {divergence.WHOLE}::HUGEINT * (n + {divergence.ADDED}) // (total + {divergence.ADDED} * kept) AS p,
+             1 + {divergence.WHOLE}::HUGEINT * (lang_count + {divergence.ADDED}) // (lang_total + {divergence.ADDED} * kept) AS q FROM f JOIN v USING (lang)),
+a AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(a.value, 0) AS BIGINT) AS value
+      FROM g JOIN g AS h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN a ON a.lang = g.lang AND a.source = g.source AND a.item = h.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r QUALIFY part = 'pair' OR rank <= {divergence.RANKS}
+"""
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -170,10 +194,11 @@ def queries() -> dict:
         "op8_bpe": op8_bpe,
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
+        "op11_source_divergence": op11_source_divergence,
         "op13_conversation_trie": op13_conversation_trie,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_chat": OP6_SQL, "op13_conversation_trie": OP13_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_chat": OP6_SQL, "op11_source_divergence": OP11_SQL, "op13_conversation_trie": OP13_SQL}
