@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csift.llm import bpe, chat, divergence, exact_dedup, html_text, licenses, media, mixing, quality, simhash, toxicity, trie
+from csift.llm import bpe, chat, contamination, divergence, exact_dedup, html_text, licenses, media, mixing, quality, simhash, toxicity, trie
 from csift.llm.common import table
 
 
@@ -108,6 +108,36 @@ SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value
 """
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _words_sql(column: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({column}, ''), '{divergence.UPPER}', '{divergence.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_words_sql("text")} AS words FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_words_sql("text")} AS words FROM benchmark),
+w AS (SELECT DISTINCT item, unnest(CASE WHEN len(words) <= {contamination.WINDOW} THEN [words] ELSE [words[k:k + {contamination.WINDOW - 1}] FOR k IN range(1, len(words) - {contamination.WINDOW - 2})] END) AS phrase FROM i WHERE len(words) > 0),
+m AS (SELECT DISTINCT len(phrase) AS n FROM w),
+g AS (SELECT row, k, n, words[k:k + n - 1] AS phrase FROM (SELECT row, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM d, m)),
+h AS (SELECT DISTINCT g.row, g.k, g.n, w.item FROM g JOIN w ON g.phrase = w.phrase),
+n AS (SELECT row, count(DISTINCT pos) AS n_hit FROM (SELECT row, unnest(range(k, k + n)) AS pos FROM h) GROUP BY row),
+a AS (SELECT row, item FROM h GROUP BY ALL),
+t AS (SELECT row, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM d),
+f AS (SELECT term, count(*) AS n FROM t GROUP BY term),
+p AS (SELECT phrase, term, row_number() OVER (PARTITION BY phrase ORDER BY coalesce(f.n, 0), term) AS nth FROM (SELECT DISTINCT phrase, unnest(phrase) AS term FROM w) LEFT JOIN f USING (term)),
+o AS (SELECT x.phrase, x.term AS first, y.term AS second FROM p AS x LEFT JOIN p AS y ON y.phrase = x.phrase AND y.nth = 2 WHERE x.nth = 1),
+c AS (SELECT t.row, o.phrase FROM o JOIN t ON t.term = o.first WHERE o.second IS NULL
+      UNION ALL SELECT t.row, o.phrase FROM o JOIN t ON t.term = o.first JOIN t AS u ON u.term = o.second AND u.row = t.row AND abs(u.pos - t.pos) <= {contamination.NEAR}),
+e AS (SELECT row, count(DISTINCT item) AS n_near FROM (SELECT row, phrase FROM c GROUP BY ALL) JOIN w USING (phrase) GROUP BY row),
+s AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM a GROUP BY row)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(s.n_items, 0) AS n_items, sha256(coalesce(s.items, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated, coalesce(e.n_near, 0) AS n_near
+FROM d LEFT JOIN n USING (row) LEFT JOIN s USING (row) LEFT JOIN e USING (row)
+"""
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -195,10 +225,11 @@ def queries() -> dict:
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
         "op11_source_divergence": op11_source_divergence,
+        "op12_decontamination": op12_decontamination,
         "op13_conversation_trie": op13_conversation_trie,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_chat": OP6_SQL, "op11_source_divergence": OP11_SQL, "op13_conversation_trie": OP13_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_chat": OP6_SQL, "op11_source_divergence": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_conversation_trie": OP13_SQL}
