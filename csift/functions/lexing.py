@@ -114,16 +114,10 @@ def markdown_cell(text: Column) -> Column:
     return F.replace(F.replace(x, F.lit("|"), F.lit("\\|")), F.lit("`"), F.lit("'"))
 
 
-def brace_depths(lines: Column) -> Column:
-    """Net depth of braces after each line."""
-    change = lambda x: F.length(F.regexp_replace(x, r"[^{]", "")) - F.length(F.regexp_replace(x, r"[^}]", ""))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("all"))
-
-    def step(state: Column, x: Column) -> Column:
-        depth = state["depth"] + change(x)
-        return F.struct(depth.alias("depth"), F.concat(state["all"], F.array(depth)).alias("all"))
-
-    return F.aggregate(lines, start, step, lambda s: s["all"])
+def brace_change(line: Column) -> Column:
+    """By how much a line changes the depth of braces."""
+    count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+    return (count("{") - count("}")).cast("long")
 
 
 def inside_literal(line: Column, index: Column) -> Column:

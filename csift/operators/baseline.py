@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from csift.operators.findings import REPORT_ORDER
+from csift.operators.prefix import ranked
 
 
 class BadBaseline(ValueError):
@@ -37,10 +38,13 @@ def fingerprint_counts(found: DataFrame) -> DataFrame:
 
 
 def new_findings(found: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Multiset difference: in report order, a fingerprint's first findings use up the baseline's count, the others are new."""
+    """Multiset difference: in report order, a fingerprint's first findings use up the baseline's count, the others are new.
+
+    Ranks are made over pieces, so a fingerprint that most findings have is many tasks.
+    """
     counts = baseline.select("fingerprint", F.col("count").alias("_had"))
-    same = Window.partitionBy("fingerprint").orderBy(*REPORT_ORDER)
-    return found.withColumn("_nth", F.row_number().over(same)).join(counts, "fingerprint", "left").filter(F.col("_nth") > F.coalesce("_had", F.lit(0))).select(*found.columns)
+    nth = ranked(found, ["fingerprint"], [F.col(c) for c in REPORT_ORDER], "_nth", values=counts)
+    return nth.filter(F.col("_nth") > F.coalesce("_had", F.lit(0))).select(*found.columns)
 
 
 def resolved_count(found: DataFrame, baseline: DataFrame) -> DataFrame:

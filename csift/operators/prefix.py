@@ -14,6 +14,8 @@ Null keys are keys. Rows that tie in `ranked` get ranks in any order. Names that
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,18 +34,18 @@ def _same(rows: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def _offsets(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
-    """For each piece that isn't its group's first: what the group's earlier pieces sum to."""
-    totals = rows.groupBy(*[F.col(f"`{k}`").alias(f"_csift_key{i}") for i, k in enumerate(keys)], F.col("_csift_piece").alias("_csift_at")).agg(*[F.sum(f"`{v}`").alias(f"_csift_sum{j}") for j, v in enumerate(sums.values())], F.lit(1).alias("_csift_one"))
+    """A row for each piece of each group: what the group's earlier pieces sum to, null in its first."""
+    totals = rows.groupBy(*[F.col(f"`{k}`").alias(f"_csift_key{i}") for i, k in enumerate(keys)], F.col("_csift_piece").alias("_csift_at")).agg(*[F.sum(f"`{v}`").alias(f"_csift_sum{j}") for j, v in enumerate(sums.values())])
     earlier = Window.partitionBy(*[f"_csift_key{i}" for i in range(len(keys))]).orderBy("_csift_at").rowsBetween(Window.unboundedPreceding, -1)
-    summed = totals.withColumns({f"_csift_before{j}": F.coalesce(F.sum(f"_csift_sum{j}").over(earlier), F.lit(0)) for j in range(len(sums))}).withColumn("_csift_one", F.sum("_csift_one").over(earlier))
-    return summed.filter("_csift_one is not null").drop("_csift_one", *[f"_csift_sum{j}" for j in range(len(sums))])
+    summed = totals.withColumns({f"_csift_before{j}": F.sum(f"_csift_sum{j}").over(earlier) for j in range(len(sums))} | {"_csift_later": F.count(F.lit(1)).over(earlier) > 0})
+    return summed.drop(*[f"_csift_sum{j}" for j in range(len(sums))])
 
 
-def _summed(rows: DataFrame, keys: Sequence[str], order: Sequence, sums: Mapping[str, str], offsets: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _summed(rows: DataFrame, keys: Sequence[str], order: Sequence, sums: Mapping[str, str], offsets: DataFrame, columns: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
     within = Window.partitionBy(*[f"`{k}`" for k in keys], "_csift_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({f"_csift_local{j}": F.sum(f"`{v}`").over(within) for j, v in enumerate(sums.values())})
     joined = local.join(offsets, _same(local, offsets, keys), "left")
-    return joined.select(*[local[f"`{c}`"] for c in columns], *[(F.col(f"_csift_local{j}") + F.coalesce(F.col(f"_csift_before{j}"), F.lit(0))).alias(name) for j, name in enumerate(sums)])
+    return joined.select(*[local[f"`{c}`"] for c in columns], *[(F.col(f"_csift_local{j}") + F.coalesce(F.col(f"_csift_before{j}"), F.lit(0))).alias(name) for j, name in enumerate(sums)], *[offsets[f"`{c}`"] for c in more])
 
 
 def running(df: DataFrame, keys: Sequence[str], position: str, sums: Mapping[str, str], piece: int = PIECE) -> DataFrame:
@@ -52,18 +54,33 @@ def running(df: DataFrame, keys: Sequence[str], position: str, sums: Mapping[str
     Positions are distinct within a group and nearly dense; df is read twice.
     """
     rows = df.withColumn("_csift_piece", F.floor(F.col(f"`{position}`") / piece))
-    return _summed(rows, keys, [F.col(f"`{position}`")], sums, _offsets(rows, keys, sums), df.columns)
+    return _summed(rows, keys, [F.col(f"`{position}`")], sums, _offsets(rows, keys, sums).filter("_csift_later"), df.columns)
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "nth", parts: int | None = None) -> DataFrame:
-    """df with each row's rank in its group, from 1. df is sorted by range once and kept in the checkpoint folder.
+def in_range_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts: int | None = None) -> tuple[DataFrame, list[Column]]:
+    """df sorted by range over keys and order, kept, with _csift_piece, the part that a row lies in; and the whole order.
 
-    Rows that tie are told apart by a number of their own, so that many equal ones are dealt out as well.
+    Rows that tie are told apart by a number of their own, so that many equal ones are dealt out as well. Of the groups
+    in a part only the first can have begun in another.
     """
-    by = [*[F.col(f"`{k}`") for k in keys], *order, F.col("_csift_row")]
     rows = df.withColumn("_csift_row", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange(*([parts] if parts else []), *by).withColumn("_csift_piece", F.spark_partition_id()).withColumn("_csift_one", F.lit(1).cast("long"))
-    rows, sums = durable(rows), {name: "_csift_one"}
-    # Not more rows than parts, for of a part's groups only the first has earlier pieces.
-    offsets = F.broadcast(_offsets(rows, keys, sums))
-    return _summed(rows, keys, [*order, F.col("_csift_row")], sums, offsets, df.columns)
+    by = [*[F.col(f"`{k}`") for k in keys], *order, F.col("_csift_row")]
+    return durable(rows.repartitionByRange(*([parts] if parts else []), *by).withColumn("_csift_piece", F.spark_partition_id())), [*order, F.col("_csift_row")]
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "nth", parts: int | None = None, values: DataFrame | None = None) -> DataFrame:
+    """df with each row's rank in its group, from 1. df is sorted by range once and kept in the checkpoint folder.
+
+    `values` has a row a group at most; its other columns are added, null where a group has none. They are joined with the
+    groups' pieces and go to rows from there, so that a hot group's rows are many keys of that join.
+    """
+    rows, order = in_range_pieces(df, keys, order, parts)
+    rows, sums = rows.withColumn("_csift_one", F.lit(1).cast("long")), {name: "_csift_one"}
+    offsets = _offsets(rows, keys, sums)
+    if values is None:
+        # Not more rows than parts, for of a part's groups only the first has earlier pieces.
+        return _summed(rows, keys, order, sums, F.broadcast(offsets.filter("_csift_later")), df.columns)
+    more = [c for c in values.columns if c not in keys]
+    given = values.withColumnsRenamed({k: f"_csift_given{i}" for i, k in enumerate(keys)})
+    same = reduce(and_, [F.col(f"_csift_key{i}").eqNullSafe(F.col(f"_csift_given{i}")) for i in range(len(keys))])
+    return _summed(rows, keys, order, sums, offsets.join(given, same, "left").drop(*[f"_csift_given{i}" for i in range(len(keys))]), df.columns, more)

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from csift.corpus import ALL_CASES, CASES, corpus, corpus_sql, sources_of, sql_text
 from csift.functions import classify, lexing
-from csift.operators import baseline, summary
+from csift.operators import baseline, chunks, summary
+from csift.operators.asof import nearest_before
+from csift.operators.band import band_join
 from csift.operators.findings import at_least, findings, first_wins, needs_facts, suppressed, with_hits
+from csift.operators.lines import ARRAY, FILLED, brace_depths, line_rows, room_of_buffers
 from csift.operators.parse import lexed, parsed, reach, relation
 from csift.plans import report
 from csift.rules import catalog
@@ -166,6 +169,117 @@ SELECT path, CAST(line AS BIGINT) AS line, tok AS text FROM n WHERE starts_with(
 """
 
 
+def _claused(text: str = "text"):
+    """A text whose sentences' last parts are comments: from a comma to the full stop, and from a colon to the line's end."""
+    out = F.coalesce(F.col(text), F.lit(""))
+    for old, new in (", ", " /* "), (". ", " */ "), (": ", " // "):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+CLAUSED_SQL = "SELECT doc_id, replace(replace(replace(coalesce(text, ''), ', ', ' /* '), '. ', ' */ '), ': ', ' // ') AS content FROM documents"
+
+
+def lex_in_pieces(spark, sf_dir):
+    """Documents with clauses made comments, lexed piece by piece: stripped pieces, and comments with their lines."""
+    files = table(spark, sf_dir, "documents").select("doc_id", _claused().alias("content"))
+    pieces = chunks.lex(files, ["doc_id"], "content")
+    clean = chunks.strip_comments(pieces, ["doc_id"]).select("doc_id", F.lit("clean").alias("part"), F.col("piece").alias("place"), F.col("clean").alias("text"))
+    return clean.unionByName(chunks.comments(pieces, ["doc_id"]).select("doc_id", F.lit("comment").alias("part"), F.col("line").alias("place"), "text"))
+
+
+PIECES_SQL = f"""
+WITH c AS ({CLAUSED_SQL}), t AS (SELECT doc_id, unnest({_tokens_sql()}) AS tok, generate_subscripts({_tokens_sql()}, 1) AS i FROM c),
+n AS (SELECT *, 1 + coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM t),
+s AS (SELECT doc_id, string_agg(CASE WHEN starts_with(tok, '//') OR starts_with(tok, '/*') THEN regexp_replace(tok, '[^\\n]', ' ', 'g') ELSE tok END, '' ORDER BY i) AS clean FROM t GROUP BY doc_id),
+w AS (SELECT c.doc_id, coalesce(s.clean, '') AS clean FROM c LEFT JOIN s ON c.doc_id IS NOT DISTINCT FROM s.doc_id),
+p AS (SELECT doc_id, clean, unnest(range(greatest(1, CAST(ceil(length(clean) / {chunks.SIZE}e0) AS BIGINT)))) AS piece FROM w)
+SELECT doc_id, 'clean' AS part, piece AS place, substr(clean, piece * {chunks.SIZE} + 1, {chunks.SIZE}) AS text FROM p
+UNION ALL SELECT doc_id, 'comment', CAST(line AS BIGINT), tok FROM n WHERE starts_with(tok, '//') OR starts_with(tok, '/*')
+"""
+
+
+def _braced(line: str = "text"):
+    """A text whose commas open braces and whose full stops close them."""
+    out = F.coalesce(F.col(line), F.lit(""))
+    return F.replace(F.replace(out, F.lit(","), F.lit("{")), F.lit("."), F.lit("}"))
+
+
+def running_depth(spark, sf_dir):
+    """Net depth after each line of each document, commas opening and full stops closing."""
+    lines = line_rows(table(spark, sf_dir, "documents").select("doc_id", _braced().alias("content")), ["doc_id"], "content")
+    return brace_depths(lines, ["doc_id"]).select("doc_id", "line_number", "depth")
+
+
+DOCUMENT_LINES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]') AS parts FROM documents),
+u AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_number, len(parts) AS total FROM d),
+l AS (SELECT doc_id, line, line_number FROM u WHERE NOT (line_number = total AND line = ''))
+"""
+DEPTH_SQL = f"""
+{DOCUMENT_LINES_SQL}
+SELECT doc_id, line_number, CAST(sum(len(line) - len(replace(line, ',', '')) - len(line) + len(replace(line, '.', ''))) OVER (PARTITION BY doc_id ORDER BY line_number) AS BIGINT) AS depth FROM l
+"""
+
+
+def buffer_room(spark, sf_dir):
+    """Buffers that calls of the corpus fill, each with the nearest declaration above."""
+    files = lexed(corpus(table(spark, sf_dir, "part"), sources_of(1) + sources_of(37) + BUFFERS))
+    return room_of_buffers(line_rows(files, ["path"], "clean"), ["path"])
+
+
+BUFFERS = [
+    "void f_@K(char *s) {\n  char b[@N];\n  strcpy(b, s); // char b[1]\n  char b[7]; strcat(b, s);\n  memcpy(c, b, 3);\n}\nint c[4];\nvoid g_@K(void) { gets(c); gets(b); }\n",
+]
+ROOM_SQL = f"""
+WITH s AS (SELECT path, string_split(clean, chr(10)) AS ls FROM ({STRIP_SQL.replace(corpus_sql(LEX_SOURCES), corpus_sql(sources_of(1) + sources_of(37) + BUFFERS))})),
+l AS (SELECT path, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) AS BIGINT) AS line_number FROM s),
+a AS (SELECT path, line_number, unnest(regexp_extract_all(line, '{ARRAY}', 1)) AS name, CAST(unnest(regexp_extract_all(line, '{ARRAY}', 2)) AS DECIMAL(38, 0)) AS room FROM l),
+f AS (SELECT path, line_number, unnest(regexp_extract_all(line, '{FILLED}', 1)) AS callee, unnest(regexp_extract_all(line, '{FILLED}', 2)) AS name FROM l)
+SELECT f.path, f.name, f.line_number, f.callee, a.line_number AS declared, a.room FROM f ASOF LEFT JOIN a ON f.path = a.path AND f.name = a.name AND f.line_number >= a.line_number
+"""
+
+
+def _line_words(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Lines of documents by their first and by their last words, each with its source and its place in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    lines = line_rows(docs, ["doc_id", "source"], "text").withColumn("at", F.col("doc_id") * (1 << 24) + F.col("line_number"))
+    heads = lines.select("source", F.regexp_extract("line", r"^(\w+)", 1).alias("name"), "at").filter("name <> ''")
+    tails = lines.select("source", F.regexp_extract("line", r"(\w+)\W*$", 1).alias("name"), "at").filter("name <> ''")
+    return heads, tails
+
+
+def nearest_declaration(spark, sf_dir):
+    """For each line, by its last word: the nearest line before in its source that begins with that word."""
+    heads, tails = _line_words(spark, sf_dir)
+    return nearest_before(tails, heads.withColumn("declared", F.col("at")), ["source", "name"], "at", ["declared"], same_place=False)
+
+
+WORDS_SQL = rf"""
+{DOCUMENT_LINES_SQL.replace("SELECT doc_id, regexp_split", "SELECT doc_id, coalesce(source, '') AS source, regexp_split").replace("SELECT doc_id, unnest", "SELECT doc_id, source, unnest").replace("SELECT doc_id, line,", "SELECT source, doc_id * 16777216 + line_number AS at_line, line,")},
+h AS (SELECT source, regexp_extract(line, '^([A-Za-z0-9_]+)', 1) AS name, at_line FROM l WHERE regexp_matches(line, '^[A-Za-z0-9_]')),
+t AS (SELECT source, regexp_extract(line, '([A-Za-z0-9_]+)[^A-Za-z0-9_]*$', 1) AS name, at_line FROM l WHERE regexp_matches(line, '[A-Za-z0-9_]'))
+"""
+NEAREST_SQL = f"""
+{WORDS_SQL}
+SELECT t.source, t.name, t.at_line AS "at", h.at_line AS declared FROM t ASOF LEFT JOIN h ON t.source = h.source AND t.name = h.name AND t.at_line > h.at_line
+"""
+#: Lines that a check and its use may be apart.
+APART = 20
+
+
+def check_then_use(spark, sf_dir):
+    """Pairs of lines of a source, up to APART lines apart, the first of which begins with the word that ends the second."""
+    heads, tails = _line_words(spark, sf_dir)
+    return band_join(heads.withColumnRenamed("at", "checked"), tails.withColumnRenamed("at", "used"), ["source", "name"], "checked", "used", APART)
+
+
+BAND_SQL = f"""
+{WORDS_SQL}
+SELECT t.source, t.name, h.at_line AS checked, t.at_line AS used FROM h JOIN t ON t.source = h.source AND t.name = h.name AND t.at_line BETWEEN h.at_line AND h.at_line + {APART}
+"""
+
+
 def secret_scan_documents(spark, sf_dir):
     """Lines of documents that give something named like a secret a literal of 40 hex digits."""
     docs = table(spark, sf_dir, "documents").filter(F.lower("text").contains("token"))
@@ -588,6 +702,11 @@ PLAIN = {
     "strip_comments": (strip_comments, STRIP_SQL),
     "mask_literals": (mask_literals, MASK_SQL),
     "comment_extract": (comment_extract, COMMENT_SQL),
+    "lex_in_pieces": (lex_in_pieces, PIECES_SQL),
+    "running_depth": (running_depth, DEPTH_SQL),
+    "buffer_room": (buffer_room, ROOM_SQL),
+    "nearest_declaration": (nearest_declaration, NEAREST_SQL),
+    "check_then_use": (check_then_use, BAND_SQL),
     "secret_scan_documents": (secret_scan_documents, SECRET_SQL),
     "script_calls_pages": (script_calls_pages, SCRIPT_SQL),
     "suppressions": (suppressions, SUPPRESSIONS_SQL),

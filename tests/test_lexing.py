@@ -101,9 +101,9 @@ def test_terminal_and_markdown(spark):
     assert apply(spark, ["a|b\n`c`"], lexing.markdown_cell) == ["a\\|b 'c'"]
 
 
-def test_brace_depths(spark):
-    rows = spark.createDataFrame([(["{", "x", "{ }", "}", "}"],)], "x array<string>").select(lexing.brace_depths(F.col("x")).alias("d")).first()
-    assert rows["d"] == [1, 1, 1, 0, -1]
+def test_brace_change(spark):
+    rows = spark.createDataFrame([("{",), ("x",), ("{ }",), ("}}{",), ("",)], "x string").select(lexing.brace_change(F.col("x")).alias("d")).collect()
+    assert sorted(r["d"] for r in rows) == [-1, 0, 0, 0, 1]
 
 
 def test_inside_literal(spark):
