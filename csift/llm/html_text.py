@@ -7,10 +7,13 @@ A hash on many pages that holds little of their text is a template: such subtree
 that holds much of it is content, and is gone through. So on a host of several pages the counts decide what of a
 page's body is its main text.
 
-Counts can't tell in two places, and there names, classes and roles do (see `named`): for subtrees on too few pages,
-where a page of which nothing recurs is its article, main element or else body; and inside an article, whose parts
-are no template for being of one shape. There subtrees go that recur as a whole, unless they are running text, for
-sentences recur too.
+Only on a page whose body doesn't recur (its host has too few pages to count) do names, classes and roles decide (see
+`named`): there the text is that of the article, main element or else body, without what is named as something else. Class
+names and ids count as whole words; `share-prices` is no share button. On a counted host they decide nothing, with one
+exception: inside an article, whose parts are no template for being of one shape, counts can't tell a section from readers'
+comments or an advert. There subtrees go that recur as a whole, unless they are running text, for sentences recur too;
+elements of another kind by their tag (forms, asides and so on); and what both is labelled as readers' words or an advert
+(`OTHERS`) and recurs in shape on the host's pages.
 
 Counting is a partial aggregate by host and hash, so a hot host is spread. Verdicts, 9 bytes a hash, are broadcast
 while there are at most BROADCAST, which is counted; beyond, each page gets those it holds by a join on its hashes,
@@ -23,16 +26,16 @@ repeated pages give the same text each; an empty table gives an empty result; ot
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from csift.llm.common import durable, slices
 from csift.llm.htmltree import FLOW, Element, below, blocks, hashed, parse
+from csift.llm.radix import salted_join
 
 #: A template is on this many of a host's distinct pages, and on this part of them, and holds at most this part of their text.
 MIN_PAGES = 5
@@ -48,18 +51,26 @@ LABELS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget related recommended share sharing social newsletter subscribe signup login form "
     "comment comments reply replies disqus footer header masthead topbar toolbar pagination skip copyright".split()
 )
+OTHERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments reply replies disqus".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form alert dialog menu menubar".split())
 UNKNOWN, TEMPLATE, CONTENT = 0, 1, 2
 
 
+def labels(x: Element) -> set[str]:
+    return {*x.attributes.get("class", "").lower().split(), x.attributes.get("id", "").lower()}
+
+
 def labelled(x: Element) -> bool:
-    words = re.split(r"[^a-z]+", f"{x.attributes.get('class', '')} {x.attributes.get('id', '')}".lower())
-    return not LABELS.isdisjoint(words)
+    return not LABELS.isdisjoint(labels(x))
+
+
+def tagged(x: Element) -> bool:
+    """Whether its tag, role or state say that an element isn't of the main text."""
+    return x.name in DROPPED or x.attributes.get("role") in ROLES or "hidden" in x.attributes
 
 
 def named(x: Element) -> bool:
-    """Whether its name, role or labels say that an element isn't of the main text."""
-    return x.name in DROPPED or x.attributes.get("role") in ROLES or "hidden" in x.attributes or labelled(x)
+    return tagged(x) or labelled(x)
 
 
 def articles(order: list[Element]) -> list[Element]:
@@ -90,10 +101,12 @@ def main_text(page: str, verdicts=None, names: bool = True) -> str:
             return True
         recurs, slot = said[id(x)]
         if id(x) in inside:
-            return recurs == TEMPLATE and x.name not in FLOW or names and named(x)
+            if recurs == TEMPLATE and x.name not in FLOW or names and tagged(x):
+                return True
+            return names and (slot == TEMPLATE and not OTHERS.isdisjoint(labels(x)) if counted else labelled(x))
         if recurs == TEMPLATE or slot == TEMPLATE:
             return True
-        return slot != CONTENT and names and (named(x) or x.name == "header")
+        return names and not counted and slot != CONTENT and (named(x) or x.name == "header")
 
     tops = [body] if counted or not names else found or [body]
     return "\n".join(text for x in tops for text in blocks(x, skip))
@@ -143,10 +156,11 @@ def verdicts_of(distinct: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     each = distinct.select("_csift_host", F.col("chars").alias("of"), F.explode(F.concat("found", F.array(F.struct(F.lit(None).cast("long").alias("hash"), F.col("chars"))))).alias("x"))
     counts = each.groupBy("_csift_host", F.col("x.hash").alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.chars").alias("chars"), F.sum("of").alias("of"))
     counts = counts.filter(F.col("n") >= min_pages)
-    pages = F.max(F.when(F.col("hash").isNull(), F.col("n"))).over(Window.partitionBy("_csift_host"))
+    pages = counts.filter("hash is null").select("_csift_host", F.col("n").alias("pages"))
     little = F.col("chars") <= most_text * F.col("of")
     verdict = F.when(~little, CONTENT).when(F.col("n") >= min_share * F.col("pages"), TEMPLATE)
-    return counts.withColumn("pages", pages).withColumn("verdict", verdict.cast("byte")).filter("hash is not null and verdict is not null").select("hash", "verdict")
+    joined = salted_join(counts.filter("hash is not null"), pages, ["_csift_host"], "hash")
+    return joined.withColumn("verdict", verdict.cast("byte")).filter("verdict is not null").select("hash", "verdict")
 
 
 def looked_up(keys: np.ndarray, values: np.ndarray, mark: np.int64):

@@ -387,6 +387,25 @@ def test_reader_comments_in_an_article_go(spark):
     assert all(r["text"].split("\n")[0] == f"T{r['page_id']}" and len(r["text"].split("\n")) == 2 for r in html_text.extract(pages).collect())
 
 
+def misleading(n, extra=""):
+    """A page whose class names say other things than its parts are."""
+    words = " ".join(f"word{n}x{i}" for i in range(40))
+    inner = f"<div class='post-header header'><h1>Title {n}</h1></div><p>{words}</p><section class='share-prices share'><p>Shares rose {n}.</p></section><div class='notice-period notice'>Notice {n * 3}</div><div class='related'><p>Related to {n + 1}</p></div>{extra}"
+    return f"<body><div class='content'>Home {n} page</div><article>{inner}</article><div class='main article'>Join {n * 7} now</div></body>"
+
+
+def test_counts_overrule_misleading_names(spark):
+    """On a counted host class names decide nothing in an article, but for readers' words that recur in shape."""
+    comments = "<div class='comments'><p>First!</p><p>So true</p></div>"
+    pages = [(n, f"https://m.example/{n}", misleading(n, comments)) for n in range(20)] + [(100, "https://few.example/1", misleading(1))]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    for n in range(20):
+        assert found[n].split("\n") == [f"Title {n}", " ".join(f"word{n}x{i}" for i in range(40)), f"Shares rose {n}.", f"Notice {n * 3}", f"Related to {n + 1}"]
+    assert "Title 1" not in found[100] and "word1x0" in found[100]  # where nothing can be counted, labels are all there is
+    single = "<article><div class='post-header'><h1>T</h1></div><section class='share-prices'>Up</section><div class='notice-period'>N</div><p>Body.</p></article>"
+    assert html_text.main_text(single) == "T\nUp\nN\nBody."  # words that only begin or end like a label are none
+
+
 def test_copies_of_a_page_make_no_template(spark):
     pages = [(n, "http://d.example/a", "<body><div>One text, the same on each</div></body>") for n in range(30)]
     assert {r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {"One text, the same on each"}
