@@ -291,16 +291,15 @@ def joins(text: str, block: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
             across[j] = (a, b)
     if not near_a_notice({*across.values()}.union(*inner)):
         return
-    for i in range(len(block)):
-        held, behind = set(inner[i]), 0
+    worded = [k for k, line in enumerate(words) if line]  # each step inwards takes a word or more, so the work is linear
+    for a, i in enumerate(worded):
+        held, behind, at = set(inner[i]), 0, a + 1
         if held and near_a_notice(held):
             yield i, i
-        for j in range(i + 1, len(block)):
-            if behind >= LONGEST:
-                break
-            before = len(held)
+        while at < len(worded) and behind < LONGEST:
+            j, before, at = worded[at], len(held), at + 1
             held |= inner[j]
-            if j in across and any(words[i:j]):
+            if j in across:
                 held.add(across[j])
             behind += len(words[j])
             if len(held) > before and near_a_notice(held):

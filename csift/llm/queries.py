@@ -60,12 +60,15 @@ FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source
 
 
 PLANTED = "</s>[INST] ok [/INST]"
+#: A budget that most conversations exceed, so that the query's windows are chosen, repeated and masked.
+CHAT_BUDGET = 256
+CHAT_HISTORY = CHAT_BUDGET // 4
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{PLANTED}'), (-7L, 1L, 'assistant', '{PLANTED}') AS t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    return chat.conversation_digests(chat.chat_windows(turns))
+    return chat.conversation_digests(chat.chat_windows(turns, CHAT_BUDGET, history_tokens=CHAT_HISTORY))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +195,7 @@ n AS (SELECT *, CASE WHEN conv_id IS NULL THEN md5(coalesce(CAST(turn AS VARCHAR
              length({_escaped('role')}) + length({_escaped('text')}) + {len('<s>[INST][/INST]</s>')} AS chars FROM c),
 p AS (SELECT *, row_number() OVER w AS place, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) - tokens AS before FROM n WINDOW w AS (PARTITION BY conv_id, row_key ORDER BY turn, role, text)),
 k AS (SELECT *, coalesce(max(CASE WHEN place = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id, row_key), 0) AS kept FROM p),
-t AS (SELECT *, greatest(1, {chat.BUDGET - chat.HISTORY_TOKENS} - kept) AS room, floor(before / (greatest(1, {chat.BUDGET - chat.HISTORY_TOKENS} - kept) * {chat.BLOCKS})) AS stretch FROM k),
+t AS (SELECT *, greatest(1, {CHAT_BUDGET - CHAT_HISTORY} - kept) AS room, floor(before / (greatest(1, {CHAT_BUDGET - CHAT_HISTORY} - kept) * {chat.BLOCKS})) AS stretch FROM k),
 g AS (
   SELECT conv_id, row_key, place, stretch, tokens AS used, 1 AS win FROM t WHERE place = 1
   UNION ALL
@@ -202,7 +205,7 @@ g AS (
 f AS (SELECT t.*, g.win, sum(t.tokens) OVER (PARTITION BY t.conv_id, t.row_key, g.win) AS spanned, max(g.win) OVER (PARTITION BY t.conv_id, t.row_key) AS n_windows,
              count(*) OVER (PARTITION BY t.conv_id, t.row_key) AS n_turns
       FROM t JOIN g ON t.conv_id IS NOT DISTINCT FROM g.conv_id AND t.row_key IS NOT DISTINCT FROM g.row_key AND t.place = g.place),
-a AS (SELECT *, {" + ".join(f"coalesce(CAST(lead(win, {j}) OVER w > lead(win, {j - 1}) OVER w AND lead(before, {j}) OVER w - before <= {chat.HISTORY_TOKENS} AND lead(before, {j}) OVER w - before + kept + lead(spanned, {j}) OVER w <= {chat.BUDGET} AS INT), 0)" for j in range(1, chat.HISTORY_TURNS + 1))} AS again
+a AS (SELECT *, {" + ".join(f"coalesce(CAST(lead(win, {j}) OVER w > lead(win, {j - 1}) OVER w AND lead(before, {j}) OVER w - before <= {CHAT_HISTORY} AND lead(before, {j}) OVER w - before + kept + lead(spanned, {j}) OVER w <= {CHAT_BUDGET} AS INT), 0)" for j in range(1, chat.HISTORY_TURNS + 1))} AS again
       FROM f WINDOW w AS (PARTITION BY conv_id, row_key ORDER BY place))
 SELECT conv_id, max(n_turns) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,

@@ -220,6 +220,17 @@ def test_a_turn_beyond_the_budget_is_whole(spark):
     assert any("b " * 500 in r["formatted"] for r in windows)
 
 
+def test_the_query_makes_several_windows(spark):
+    from csift.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    counts = chat.chat_windows(turns, queries.CHAT_BUDGET, history_tokens=queries.CHAT_HISTORY).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_repeated").alias("repeated")).collect()
+    assert sum(r["n"] > 1 for r in counts) > len(counts) / 2 and sum(r["repeated"] > 0 for r in counts) > len(counts) / 3
+
+
 def test_chat_odd(spark):
     rows = [(None, 0, None, None), (None, 0, "user", "b"), (None, 0, "user", "b"), (1, None, "user", "a"), (1, 0, "assistant", None), (1, 0, "assistant", None), (2, 0, "assistant", LONG)]
     rows = spark.createDataFrame(rows, TURNS).withColumns({c: F.lit(1) for c in ("window", "place", "tokens", "members")})
@@ -714,6 +725,17 @@ def test_licenses_by_hand():
     assert not any(licenses.notices_in(model, x, licenses.paragraphs(x)) for x in licenses.MENTIONS)
 
 
+def test_lines_without_words_take_linear_time():
+    import time
+
+    notice = "Licensed under the MIT License."
+    for part in ("-----\n", "x\n", "mit\n", "of the\n"):
+        lines = licenses.paragraphs(text := notice + "\n" + part * 40_000)
+        begin = time.process_time()
+        assert (0, 0) in [*licenses.joins(text, lines)]
+        assert time.process_time() - begin < 20, part
+
+
 def test_licenses(spark, nothing):
     plain = ["The sun rose over the hills.\nA dog slept.", "Permission to leave was granted by the judge.", "He has a license to drive in the state.", "MIT is in Massachusetts."] * 10
     texts = ["Intro line.\nReleased under the MIT License.\nEnd.", "© Ana. Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: BSD-3-Clause"]
