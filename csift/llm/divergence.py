@@ -7,8 +7,8 @@ is V |b_g - b_h|; a term of g alone changes that by |p - b_h| - |b_g - b_h|, whi
 give for every b_h at once; and a term of both takes off twice the overlap of [b_g, p] and [b_h, q] from the two
 changes. Terms by which a group exceeds its language are ranked by radix select (`csift.llm.radix`).
 
-Each document adds a term's occurrences and, once, the document itself; both are summed where the rows lie, by
-(language, source, term), so a source of any size is many partial sums. Joins with a group's or a language's values are
+Each document adds a term's occurrences and, once, the document itself. Both are summed where the rows lie, by (language,
+source, term), in numpy over a slice's bytes and then in Spark, so a source of any size is many partial sums. Joins with a group's or a language's values are
 salted.
 
 Defined results: null text, lang and source are empty; a repeated row counts again; a group without terms, or a language
@@ -18,18 +18,21 @@ an empty table gives an empty result; columns beside the three are ignored, what
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from csift.llm.common import durable
+from csift.llm.common import durable, slices
 from csift.llm.radix import salted_join, top_ranks
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents of its language that a kept term has at least; what is added to each count; the whole; ranks of terms.
 DOCUMENTS, ADDED, WHOLE, RANKS = 30, 5, 1_000_000_000, 50
-#: Begins an element that stands for a document; no term begins with a digit.
-MARK = "0"
+#: Bytes of texts that are counted together, and that are looked at at once.
+SLICE, PIECE = 16 << 20, 8 << 20
 
 
 def lower_ascii(text: Column) -> Column:
@@ -37,16 +40,73 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+#: By byte: what it is in lower case, and whether terms have it (letters, and all of a character beyond ASCII).
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
+OF_TERM = np.isin(LOWERED, np.arange(97, 123)) | (np.arange(256) >= 128)
+
+
+def _pieces(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about `most` bytes that end where a term can't go on."""
+    begin = 0
+    while begin < len(data):
+        end = begin + most
+        while end < len(data) and OF_TERM[data[end]]:
+            gaps = np.flatnonzero(~OF_TERM[data[end : end + most]])
+            end = min(len(data), end + (int(gaps[0]) if len(gaps) else most))
+        yield begin, min(end, len(data))
+        begin = end
+
+
+def text_terms(texts: pa.StringArray, most: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+    """(text's number, term's number, occurrences) of each term of each text, and the terms. Texts are read a piece at a time."""
+    texts = texts.cast(pa.large_string())
+    raw, at = texts.buffers()[2], np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw else np.empty(0, np.uint8)
+    at = at - at[0]
+    found = []
+    for begin, end in _pieces(data, most):
+        part = LOWERED[data[begin:end]]
+        inside = OF_TERM[part]
+        starts = inside.copy()
+        starts[1:] &= ~inside[:-1]
+        heads = at[(at >= begin) & (at < end)] - begin
+        starts[heads] = inside[heads]  # a text's first byte begins a term, whatever the text before ends with
+        starts = np.flatnonzero(starts)
+        offsets = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, inside.sum()).astype(np.int32)
+        terms = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(part[inside])).dictionary_encode()
+        own, width = np.searchsorted(at, starts + begin, "right") - 1, max(1, len(terms.dictionary))
+        pairs, counts = np.unique(own * width + terms.indices.to_numpy(), return_counts=True)
+        found.append((pairs // width, pairs % width, counts, terms.dictionary))
+    if len(found) == 1:
+        return found[0]
+    if not found:
+        return np.empty(0, int), np.empty(0, int), np.empty(0, int), pa.array([], pa.string())
+    terms = pa.concat_arrays([d.take(pa.array(c)) for _, c, _, d in found]).dictionary_encode()
+    width = max(1, len(terms.dictionary))
+    pairs, where = np.unique(np.concatenate([o for o, *_ in found]) * width + terms.indices.to_numpy(), return_inverse=True)
+    return pairs // width, pairs % width, np.bincount(where, np.concatenate([n for _, _, n, _ in found])).astype(int), terms.dictionary
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", SLICE):
+        lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+        own, term, counts, terms = text_terms(batch.column("text"))
+        width, sources = max(1, len(terms)), len(source.dictionary)
+        group = lang.indices.to_numpy().astype(np.int64) * sources + source.indices.to_numpy()
+        keys, where = np.unique(group[own] * width + term, return_inverse=True)
+        take = lambda values, at: values.take(pa.array(at))
+        yield pa.RecordBatch.from_arrays(
+            [take(lang.dictionary, keys // width // sources), take(source.dictionary, keys // width % sources), take(terms, keys % width), pa.array(np.bincount(where, counts).astype(np.int64)), pa.array(np.bincount(where).astype(np.int64))],
+            names=["lang", "source", "term", "count", "docs"],
+        )
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, count (occurrences) and docs (documents of the group that have it)."""
-    filled = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
-    terms = docs.select(*filled, F.regexp_extract_all(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)).alias("terms"))
-    marked = F.transform(F.array_distinct("terms"), lambda t: F.concat(F.lit(MARK), t))
-    rows = terms.select("lang", "source", F.explode(F.concat("terms", marked)).alias("x"))
-    document = F.col("x").startswith(MARK)
-    return rows.groupBy("lang", "source", F.when(document, F.substr("x", F.lit(2))).otherwise(F.col("x")).alias("term")).agg(
-        F.sum(F.when(document, 0).otherwise(1).cast("long")).alias("count"), F.sum(F.when(document, 1).otherwise(0).cast("long")).alias("docs")
-    )
+    filled = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    rows = filled.mapInArrow(_counted, "lang string, source string, term string, count long, docs long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def kept_counts(counts: DataFrame, documents: int = DOCUMENTS) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,17 @@ def test_divergence(spark, documents, ranks):
     assert found(spark, rows, documents, ranks) == brute(rows, documents, ranks)
 
 
+@pytest.mark.parametrize("most", [1, 2, 7, 64, 1 << 20])
+def test_terms_do_not_depend_on_pieces(most):
+    chance = random.Random(most)
+    texts = ["".join(chance.choice("aB é漢1 .Z\x00🙂") for _ in range(chance.randint(0, 60))) for _ in range(80)] + ["", "x" * 500]
+    own, term, counts, terms = divergence.text_terms(pa.array([*texts, "cut off"]).slice(0, len(texts)), most)
+    found = {}
+    for o, t, n in zip(own.tolist(), term.tolist(), counts.tolist()):
+        assert found.setdefault(o, {}).setdefault(terms[t].as_py(), n) == n
+    assert found == {i: dict(Counter(words(t))) for i, t in enumerate(texts) if words(t)}
+
+
 def test_no_documents(spark):
     assert found(spark, [], 30, 50) == set()
 
