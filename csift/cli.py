@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import os
+import shutil
 import sys
+import tempfile
 
 from csift import __version__
 from csift.operators.baseline import BadBaseline
@@ -25,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("target", nargs="?", default=".")
     scan.add_argument("--config", "-c")
     scan.add_argument("--output", "-o")
-    scan.add_argument("--format", "-f", choices=sorted(reports.PIECES))
+    scan.add_argument("--format", "-f", choices=sorted(reports.FORMS))
     scan.add_argument("--quiet", "-q", action="store_true")
     scan.add_argument("--ignore-file")
     scan.add_argument("--ignore-pattern", action="append", default=[])
@@ -53,13 +55,14 @@ def session(quiet: bool = False):
 
 
 def write(scan, form: str, head: dict, path: str | None) -> None:
-    """A report to a file or to the terminal, piece by piece."""
-    if path is None:
-        for piece in reports.pieces(scan, form, head):
-            print(piece, end="")
+    """A report to a file, or by way of one to the terminal."""
+    if path is not None:
+        reports.write_report(scan, form, path if "://" in path else os.path.abspath(path), head)
         return
-    with open(path, "w", encoding="utf-8") as file:
-        file.writelines(reports.pieces(scan, form, head))
+    with tempfile.TemporaryDirectory() as folder:
+        reports.write_report(scan, form, f"{folder}/report", head)
+        with open(f"{folder}/report", encoding="utf-8") as file:
+            shutil.copyfileobj(file, sys.stdout)
 
 
 def run_scan(args, spark=None) -> int:

@@ -22,6 +22,7 @@ from csift.operators.findings import at_least, findings, first_wins, needs_facts
 from csift.operators.lines import ARRAY, FILLED, brace_depths, line_rows, room_of_buffers
 from csift.operators.parse import lexed, parsed, reach, relation
 from csift.plans import report
+from csift.plans.scan import Scan, ScanConfig
 from csift.rules import catalog
 from csift.schema import FINDING, FINDING_COLUMNS
 from csift.sources.ignore import IgnoreRules
@@ -697,6 +698,22 @@ SELECT rule_id AS "ruleId", CASE impact WHEN 'High' THEN 'error' WHEN 'Medium' T
 """
 
 
+def text_report(spark, sf_dir):
+    """The mixed corpus's whole text report: section, place in it, and text."""
+    rows = mixed_hits(spark, sf_dir, twice=True)
+    found = findings(rows, numbers=MIXED)
+    errors = rows.filter("error is not null").select(F.col("path").alias("file_path"), "error.error_type", "error.message")
+    scan = Scan("corpus", ScanConfig(MIXED, "regex"), rows, found, summary.file_summaries(rows, found), errors)
+    return report.report_rows(scan, "text")
+
+
+TEXT_SQL = f"""
+WITH f AS ({_placed_sql()}), t AS ({TOTALS_SQL})
+SELECT 0 AS section, row_number() OVER (ORDER BY file_path, line_number, column_number, rule_id, message) AS nth,
+       file_path || ':' || line_number || ':' || column_number || ': ' || impact || ': ' || message || ' [' || rule_id || ']' || chr(10) || '    ' || code_snippet AS text FROM f
+UNION ALL SELECT 4, CAST(0 AS BIGINT), files_analyzed || ' files, ' || lines_of_code || ' lines: ' || issues_count || ' findings (' || high_count || ' high, ' || medium_count || ' medium, ' || low_count || ' low)' FROM t
+"""
+
 PLAIN = {
     "lines_loc": (lines_loc, LINES_SQL),
     "strip_comments": (strip_comments, STRIP_SQL),
@@ -735,6 +752,7 @@ PLAIN = {
     "precision_recall": (precision_recall, PRECISION_SQL),
     "full_scan": (full_scan, None),
     "json_report": (json_report, _placed_sql()),
+    "text_report": (text_report, TEXT_SQL),
     "sarif_results": (sarif_results, SARIF_SQL),
 }
 

@@ -1,6 +1,7 @@
 """Rules, findings, sources, settings, reports and the command line, end to end."""
 
 import json
+import re
 import os
 
 import pytest
@@ -17,6 +18,7 @@ from csift.plans.scan import ScanConfig, scan_files, scan_path, scan_text
 from csift.queries import message_text, severity_of
 from csift.rules import catalog
 from csift.rules.custom import CustomRule, register, registered
+from csift.schema import FINDING_COLUMNS
 from csift.sources.config import BadConfig, find_config, load_config, read_config
 from csift.sources.files import from_lake, from_table
 from csift.sources.ignore import IgnoreRules
@@ -187,10 +189,49 @@ def test_macro_limit_is_reported(spark):
     assert {r["status"] for r in scan.summaries.collect()} == {"success"}
 
 
-def test_reports_are_streamed(spark, tree, tmp_path):
+def by_hand(scan, head):
+    """The JSON and the Markdown report, from collected rows."""
+    rows = lambda df, *by: [json.dumps(r.asDict(True), ensure_ascii=False, separators=(",", ":")) for r in sorted(df.collect(), key=lambda r: tuple(r[c] for c in by))]
+    order = ("file_path", "line_number", "column_number", "rule_id", "message")
+    lists = {"issues": rows(scan.findings.select(*FINDING_COLUMNS), *order), "file_summaries": rows(scan.summaries, "file_path"), "scan_errors": rows(scan.errors, "file_path", "error_type", "message")}
+    lists |= {"ignored_paths": [json.dumps(x) for x in sorted(scan.ignored)], "failed_paths": [json.dumps(r["file_path"]) for r in scan.summaries.filter("status = 'failed'").orderBy("file_path").collect()]}
+    whole = [f"  {json.dumps(k)}: {json.dumps(v, ensure_ascii=False)}" for k, v in head.items()]
+    whole += [f"  {json.dumps(k)}: " + ("[\n    " + ",\n    ".join(v) + "\n  ]" if v else "[]") for k, v in lists.items()]
+    cell = lambda x: re.sub(r"\r\n|\r|\n", " ", x).replace("|", "\\|").replace("`", "'")
+    lines = [f"| {i['rule_id']} | {i['impact']} | `{cell(i['file_path'])}:{i['line_number']}` | {cell(i['message'])} | {cell(i['auto_fix_replacement'] or i['suggested_fix_replacement'] or i['remediation'])} |" for i in map(json.loads, lists["issues"])]
+    return "{\n" + ",\n".join(whole) + "\n}\n", lines
+
+
+def test_reports_are_written_in_parts(spark, tree, tmp_path):
+    """Byte for byte what one pass over collected rows gives, in many tasks."""
+    (tree / "src/a | `b`.c").write_text("int f(void) {\n  char b[9];\n  gets(b); \n  strcpy(b, \"\u00e9\");\n}\n" * 40)
+    scan = scan_path(spark, str(tree), ScanConfig(numbers=(1, 4)), patterns=["old.c"])
+    head = reports.overview(scan)
+    wanted, lines = by_hand(scan, head)
+    for parallel in ("4", "64"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parallel)
+        try:
+            reports.write_report(scan, "json", str(tmp_path / "out.json"), head)
+            reports.write_report(scan, "markdown", str(tmp_path / "out.md"), head)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert (tmp_path / "out.json").read_text(encoding="utf-8") == wanted
+        assert [x for x in (tmp_path / "out.md").read_text(encoding="utf-8").split("\n") if x.startswith("| CSIFT")] == lines
+    assert sorted(x.name for x in tmp_path.iterdir() if "out" in x.name) == ["out.json", "out.md"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        reports.write_parts(scan, "json", str(tmp_path / "parts"), head)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(x for x in (tmp_path / "parts").iterdir() if x.name.startswith("part-"))
+    assert len(parts) > 1 and "".join(x.read_text(encoding="utf-8") for x in parts) == wanted
+    text = reports.render(scan, "text").split("\n")
+    assert len([x for x in text if x.endswith("]") and "[CSIFT" in x]) == len(lines)
+
+
+def test_reports_of_odd_scans(spark, tree, tmp_path):
     scan = scan_path(spark, str(tree), ScanConfig(numbers=(1, 4)))
-    texts = list(reports.pieces(scan, "json"))
-    assert len(texts) > 8 and json.loads("".join(texts))["issues"] == reports.as_dict(scan)["issues"]
     reports.write_lines(scan.findings, str(tmp_path / "lines"))
     assert [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "lines")).collect()] == reports.as_dict(scan)["issues"]
     sarif = json.loads(reports.render(scan, "sarif"))["runs"][0]
