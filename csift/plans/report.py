@@ -72,7 +72,7 @@ def overview(scan: Scan) -> dict:
     by = {r["impact"]: r["count"] for r in scan.findings.groupBy("impact").count().collect()}
     issues = sum(by.values())
     sums = {
-        "files_discovered": scan.discovered if scan.discovered is not None else files["files"], "files_analyzed": files["files"] - files["failed"], "files_ignored": len(scan.ignored), "files_failed": files["failed"],
+        "files_discovered": scan.discovered if scan.discovered is not None else files["files"], "files_analyzed": files["files"] - files["failed"], "files_ignored": scan.ignored_files.count() if scan.ignored_files is not None else 0, "files_failed": files["failed"],
         "lines_of_code": files["lines"], "issues_count": issues, "high_count": by.get("High", 0), "medium_count": by.get("Medium", 0), "low_count": by.get("Low", 0), "rules_applied_count": scan.rules,
         "scan_duration_seconds": round(time.time() - scan.started, 4),
     }
@@ -130,10 +130,6 @@ def _list(rows: DataFrame, order: tuple[str, ...], text: Column, before: str, af
     return Part(rows, order, F.concat(F.lit("    "), text), f"{before}[", f"  ]{after}", f"{before}[]{after}", ",")
 
 
-def _texts(spark: SparkSession, texts: list[str]) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in texts], "file_path string")
-
-
 def json_rows(scan: Scan, head: dict) -> DataFrame:
     """The JSON report's keys in order."""
     spark, files = scan.findings.sparkSession, scan.summaries
@@ -143,7 +139,7 @@ def json_rows(scan: Scan, head: dict) -> DataFrame:
         _list(scan.findings, REPORT_ORDER, json_of(*FINDING_COLUMNS), '  "issues": ', ","),
         _list(files, ("file_path",), json_of(*files.columns), '  "file_summaries": ', ","),
         _list(scan.errors, ERROR_COLUMNS, json_of(*ERROR_COLUMNS), '  "scan_errors": ', ","),
-        _list(_texts(spark, scan.ignored), ("file_path",), quoted, '  "ignored_paths": ', ","),
+        _list(scan.ignored_files if scan.ignored_files is not None else files.select("file_path").limit(0), ("file_path",), quoted, '  "ignored_paths": ', ","),
         _list(files.filter("status = 'failed'"), ("file_path",), quoted, '  "failed_paths": '),
         "}",
     ]

@@ -18,8 +18,9 @@ from csift.operators.parse import parsed
 from csift.rules import catalog
 from csift.rules.custom import NUMBERS, CustomRule
 from csift.sources.config import Config
-from csift.sources.files import from_lake, from_text, read_tree, relative, walk
+from csift.sources.files import from_lake, from_text, relative
 from csift.sources.ignore import IgnoreRules
+from csift.sources.listing import FILE, IGNORED, LISTED, list_tree, read_listing
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,7 @@ class Scan:
     findings: DataFrame
     summaries: DataFrame
     errors: DataFrame
-    ignored: list[str] = field(default_factory=list)
+    ignored_files: DataFrame | None = None
     discovered: int | None = None
     started: float = field(default_factory=time.time)
     timestamp: str = field(default_factory=lambda: datetime.datetime.now(datetime.timezone.utc).isoformat())
@@ -76,6 +77,11 @@ class Scan:
     baseline_path: str | None = None
     rules: int = 0
 
+    @property
+    def ignored(self) -> list[str]:
+        """Paths of files that ignore rules left out, in order; `ignored_files` has them as rows."""
+        return sorted(r["file_path"] for r in self.ignored_files.collect()) if self.ignored_files is not None else []
+
     def ordered(self) -> DataFrame:
         return in_report_order(self.findings)
 
@@ -139,7 +145,12 @@ def scan_path(spark: SparkSession, target: str, config: ScanConfig = ScanConfig(
     rules.add_file(os.path.join(base, ".csiftignore"))
     if ignore_file:
         rules.add_file(ignore_file)
-    tree = walk(target, rules)
-    out = scan_files(read_tree(spark, tree, partitions or None), config, target, custom)
-    out.ignored, out.discovered = tree.ignored, len(tree.found) + len(tree.ignored)
+    if os.path.isfile(target):
+        listing = spark.createDataFrame([(os.path.basename(target), FILE, os.path.getsize(target))], LISTED)
+    elif os.path.isdir(target):
+        listing = list_tree(spark, os.path.abspath(target), rules)
+    else:
+        raise FileNotFoundError(f"no such file or folder: {target}")
+    out = scan_files(read_listing(listing, os.path.abspath(base), partitions or None), config, target, custom)
+    out.ignored_files, out.discovered = listing.filter(F.col("kind") == IGNORED).select(F.col("path").alias("file_path")), listing.count()
     return out

@@ -2,71 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csift.sources.ignore import IgnoreRules
-
-EXTENSIONS = (".c", ".h")
 SCHEMA = "path string, content string"
 
 
-@dataclass
-class Tree:
-    """What a walk found: paths relative to base, in order, and ignored ones."""
-
-    base: str
-    found: list[str] = field(default_factory=list)
-    ignored: list[str] = field(default_factory=list)
-
-
-def walk(target: str, rules: IgnoreRules) -> Tree:
-    """A folder's files by extension, whatever its case; folders that rules prune aren't entered, nor counted."""
-    if os.path.isfile(target):
-        return Tree(os.path.dirname(os.path.abspath(target)), [os.path.basename(target)])
-    if not os.path.isdir(target):
-        raise FileNotFoundError(f"no such file or folder: {target}")
-    out = Tree(os.path.abspath(target))
-    for folder, folders, files in os.walk(out.base):
-        inside = os.path.relpath(folder, out.base).replace(os.sep, "/")
-        name = lambda x: x if inside == "." else f"{inside}/{x}"  # noqa: B023, E731
-        folders[:] = sorted(f for f in folders if not rules.prunes(name(f)))
-        for file in sorted(files):
-            if file.lower().endswith(EXTENSIONS):
-                (out.ignored if rules.ignores(name(file)) else out.found).append(name(file))
-    return out
-
-
-def read_tree(spark: SparkSession, tree: Tree, partitions: int | None = None) -> DataFrame:
-    """path (relative), content and read_error. Executors read the files, so the folder is one they share.
-
-    Bytes that aren't UTF-8 are replaced. Paths are dealt out by size, large ones first, so that no task gets many.
-    """
-    sized = sorted(((os.path.getsize(p) if os.path.exists(p := os.path.join(tree.base, x)) else 0, x) for x in tree.found), reverse=True)
-    count = partitions or max(1, min(len(sized), spark.sparkContext.defaultParallelism * 4))
-    base = tree.base
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                content, error = None, None
-                try:
-                    with open(os.path.join(base, path), encoding="utf-8", errors="replace") as file:
-                        content = file.read()
-                except OSError as e:
-                    error = f"{type(e).__name__}: {e.strerror}"
-                yield pa.record_batch([pa.array([path]), pa.array([content], pa.string()), pa.array([error], pa.string())], ["path", "content", "read_error"])
-
-    paths = spark.createDataFrame([(p, i % count) for i, (_, p) in enumerate(sized)], "path string, deal int").repartition(count, "deal")
-    return paths.select("path").mapInArrow(run, "path string, content string, read_error string")
-
-
 def from_text(spark: SparkSession, text: str, path: str = "source.c") -> DataFrame:
     return spark.createDataFrame([(path, text)], SCHEMA)
 
