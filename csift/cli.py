@@ -11,6 +11,7 @@ import tempfile
 from csift import __version__
 from csift.operators.baseline import BadBaseline
 from csift.plans import report as reports
+from csift.plans.progress import Progress
 from csift.plans.scan import ScanConfig, scan_path
 from csift.rules import catalog
 from csift.sources.config import BadConfig, load_config
@@ -46,12 +47,16 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def session(quiet: bool = False):
-    """Spark shows the progress of long stages where someone looks."""
+def session():
     from pyspark.sql import SparkSession
 
-    shown = not quiet and sys.stderr.isatty()
-    return SparkSession.builder.appName("csift").config("spark.ui.showConsoleProgress", str(shown).lower()).getOrCreate()
+    return SparkSession.builder.appName("csift").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+
+
+def show(completed: int, total: int, path: str | None) -> None:
+    """One line of a terminal, written over and over."""
+    width = shutil.get_terminal_size().columns - 1
+    print(f"\r{f'[{completed}/{total}] {reports.plain(path or str())}'[:width]:{width}}", end="" if completed < total else "\n", file=sys.stderr, flush=True)
 
 
 def write(scan, form: str, head: dict, path: str | None) -> None:
@@ -72,8 +77,10 @@ def run_scan(args, spark=None) -> int:
         for text in project.warnings:
             complain(f"warning: {text}")
         config = ScanConfig.of(project, mode=args.engine, severity=args.severity)
-        scan = scan_path(spark or session(args.quiet), args.target, config, project, args.ignore_file, args.ignore_pattern, args.jobs)
-        head = reports.overview(scan)
+        spark = spark or session()
+        with Progress(spark, show if sys.stderr.isatty() and not args.quiet else lambda *_: None) as progress:
+            scan = scan_path(spark, args.target, config, project, args.ignore_file, args.ignore_pattern, args.jobs, progress=progress)
+            head = reports.overview(scan)
         if args.update_baseline:
             write(scan, "json", head, args.update_baseline)
         if args.baseline:

@@ -25,12 +25,13 @@ def lexed(files: DataFrame) -> DataFrame:
 
 def parsed(
     files: DataFrame, with_facts: bool = True, allocators=(), reallocators=(), deallocators=(), numbers=None, banned: dict[str, tuple[str, str]] | None = None,
-    functions: tuple[tuple[int, Callable[[str, str], str | None]], ...] = (),
+    functions: tuple[tuple[int, Callable[[str, str], str | None]], ...] = (), seen=None,
 ) -> DataFrame:
     """path, content, clean, parse and error of each file; a file whose analysis fails has an error and no facts.
 
     Without facts only tokens are looked at, and nothing is parsed. numbers: rules whose line forms are looked for (all
     if it isn't given), with the names that banned adds; functions: (number, function of a line and its masked form).
+    seen: an accumulator that is told (1, path) of each file.
     """
     target = to_arrow_schema(StructType.fromDDL(schema.PARSED))
     wanted = sorted(RULES if numbers is None else RULES.keys() & set(numbers))
@@ -63,6 +64,8 @@ def parsed(
                     for f in found["functions"]:
                         f["types"] = list(f["types"].items()) if isinstance(f["types"], dict) else f["types"]
                     rows.append({**row, "parse": found, "error": error})
+                    if seen is not None:
+                        seen.add((1, row["path"]))
                 yield pa.RecordBatch.from_pylist(rows, target)
 
     return lexed(files).mapInArrow(run, schema.PARSED)

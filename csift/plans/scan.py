@@ -15,6 +15,7 @@ from csift.operators import baseline as baselines
 from csift.operators import summary
 from csift.operators.findings import AST, HYBRID, REGEX, at_least, findings, in_report_order, needs_facts, with_hits
 from csift.operators.parse import parsed
+from csift.plans.progress import Progress
 from csift.rules import catalog
 from csift.rules.custom import NUMBERS, CustomRule
 from csift.sources.config import Config
@@ -100,14 +101,14 @@ class Scan:
         return out, warning
 
 
-def scan_files(files: DataFrame, config: ScanConfig = ScanConfig(), target: str = "", custom: tuple[CustomRule, ...] = ()) -> Scan:
+def scan_files(files: DataFrame, config: ScanConfig = ScanConfig(), target: str = "", custom: tuple[CustomRule, ...] = (), progress: Progress | None = None) -> Scan:
     """files: path and content, and read_error where a file could not be read."""
     unread = files.filter("read_error is not null") if "read_error" in files.columns else None
     readable = files.filter("read_error is null") if unread is not None else files
     facts = needs_facts(config.numbers, config.mode) or config.mode != REGEX and any(r.query for r in custom)
     functions = tuple((NUMBERS + k, r.scan_line) for k, r in enumerate(custom) if r.scan_line is not None)
     numbers = config.numbers if config.mode != AST else ()
-    parses = parsed(readable, facts, config.allocators, config.reallocators, config.deallocators, numbers, config.banned, functions).persist(StorageLevel.MEMORY_AND_DISK)
+    parses = parsed(readable, facts, config.allocators, config.reallocators, config.deallocators, numbers, config.banned, functions, progress.seen if progress else None).persist(StorageLevel.MEMORY_AND_DISK)
     rows = with_hits(parses, config.numbers, config.mode, config.reallocators, custom)
     found = findings(rows, config.prefix, config.overrides, config.suppress, config.keyword, config.numbers, custom)
     found = at_least(found, config.severity).persist(StorageLevel.MEMORY_AND_DISK)
@@ -126,7 +127,7 @@ def scan_text(spark: SparkSession, text: str, path: str = "source.c", config: Sc
     return scan_files(from_text(spark, text, path), config, path, custom)
 
 
-def scan_path(spark: SparkSession, target: str, config: ScanConfig = ScanConfig(), project: Config | None = None, ignore_file: str | None = None, patterns=(), partitions: int | None = None, custom: tuple[CustomRule, ...] = ()) -> Scan:
+def scan_path(spark: SparkSession, target: str, config: ScanConfig = ScanConfig(), project: Config | None = None, ignore_file: str | None = None, patterns=(), partitions: int | None = None, custom: tuple[CustomRule, ...] = (), progress: Progress | None = None) -> Scan:
     """A folder or a file. Ignore rules: defaults, patterns, the project's excludes, the folder's ignore file, a given one.
 
     A folder of a store (scheme://...) is listed and read by Spark; its ignored paths aren't told.
@@ -139,7 +140,7 @@ def scan_path(spark: SparkSession, target: str, config: ScanConfig = ScanConfig(
             rules.add_file(ignore_file)
         files = from_lake(spark, target)
         files = files.withColumn("path", relative(F.col("path"), target)).filter(~rules.column(F.col("path")))
-        return scan_files(files.repartition(partitions) if partitions else files, config, target, custom)
+        return scan_files(files.repartition(partitions) if partitions else files, config, target, custom, progress)
     base = target if os.path.isdir(target) else os.path.dirname(os.path.abspath(target))
     rules = IgnoreRules([*patterns, *(project.excludes_from(base) if project else [])])
     rules.add_file(os.path.join(base, ".csiftignore"))
@@ -151,6 +152,8 @@ def scan_path(spark: SparkSession, target: str, config: ScanConfig = ScanConfig(
         listing = list_tree(spark, os.path.abspath(target), rules)
     else:
         raise FileNotFoundError(f"no such file or folder: {target}")
-    out = scan_files(read_listing(listing, os.path.abspath(base), partitions or None), config, target, custom)
+    if progress:
+        progress.total = listing.filter(F.col("kind") == FILE).count()
+    out = scan_files(read_listing(listing, os.path.abspath(base), partitions or None), config, target, custom, progress)
     out.ignored_files, out.discovered = listing.filter(F.col("kind") == IGNORED).select(F.col("path").alias("file_path")), listing.count()
     return out

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,15 @@ from csift.functions import classify, lexing
 from csift.operators import baseline, chunks, summary
 from csift.operators.asof import nearest_before
 from csift.operators.band import band_join
+from csift.operators.durable import durable, shared_folder
 from csift.operators.findings import at_least, findings, first_wins, needs_facts, suppressed, with_hits
 from csift.operators.lines import ARRAY, FILLED, brace_depths, line_rows, room_of_buffers
 from csift.operators.parse import lexed, parsed, reach, relation
+from csift.operators.snapshots import Snapshots
 from csift.plans import report
 from csift.plans.scan import Scan, ScanConfig
 from csift.rules import catalog
+from csift.rules.table_rules import register_table_rule
 from csift.schema import FINDING, FINDING_COLUMNS
 from csift.sources.ignore import IgnoreRules
 
@@ -495,6 +499,61 @@ WITH {LINE_FINDINGS_SQL}, b AS (SELECT fingerprint, count(*) AS c FROM f GROUP B
 SELECT CAST(sum(greatest(b.c - coalesce(w.c, 0), 0)) AS BIGINT) AS resolved FROM b LEFT JOIN w ON b.fingerprint = w.fingerprint
 """
 
+def snapshot_difference(spark, sf_dir):
+    """Fingerprints of which two versions of a store have different counts: without every tenth document, then without others."""
+    every = _line_findings(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/csift-snapshots-{uuid.uuid4().hex}"
+    store = Snapshots(spark, f"csift_{uuid.uuid4().hex}", folder)
+    for left_out in (3, 7):
+        store.save(every.filter(F.col("doc_id") % 10 != left_out))
+    out = durable(store.difference(1, 2))
+    store.drop()
+    return out
+
+
+SNAPSHOT_SQL = f"""
+WITH {LINE_FINDINGS_SQL}, a AS (SELECT fingerprint, count(*) AS c FROM f WHERE doc_id % 10 <> 3 GROUP BY 1), b AS (SELECT fingerprint, count(*) AS c FROM f WHERE doc_id % 10 <> 7 GROUP BY 1),
+j AS (SELECT coalesce(a.fingerprint, b.fingerprint) AS fingerprint, coalesce(a.c, 0) AS before, coalesce(b.c, 0) AS after FROM a FULL JOIN b ON a.fingerprint = b.fingerprint)
+SELECT fingerprint, greatest(after - before, 0) AS added, greatest(before - after, 0) AS resolved FROM j WHERE before <> after
+"""
+
+
+class Repeated:
+    """A rule of a user's own: a line that says what the line before said, blank lines apart."""
+
+    def __init__(self):
+        self.last, self.count = None, 0
+
+    def line(self, row):
+        said = row["line"].strip(" ")
+        if said and said == self.last:
+            self.count += 1
+            yield row["line_number"], "repeats the line before"
+        self.last = said or self.last
+
+    def end(self):
+        if self.count > 1:
+            yield 0, f"{self.count} repeated lines"
+
+
+def table_rule_lines(spark, sf_dir):
+    """A user's rule as a table function over the lines of documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    view, function = f"lines_{uuid.uuid4().hex}", f"repeated_{uuid.uuid4().hex}"
+    line_rows(docs, ["path"], "text").createOrReplaceTempView(view)
+    register_table_rule(spark, function, Repeated)
+    return spark.sql(f"SELECT path, line, message FROM {function}(TABLE({view}) PARTITION BY path ORDER BY line_number)")
+
+
+TABLE_RULE_SQL = f"""
+{DOCUMENT_LINES_SQL},
+s AS (SELECT doc_id, line_number, trim(line, ' ') AS said FROM l WHERE trim(line, ' ') <> ''),
+r AS (SELECT *, lag(said) OVER (PARTITION BY doc_id ORDER BY line_number) AS last FROM s),
+h AS (SELECT doc_id, line_number FROM r WHERE said = last)
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line_number AS INT) AS line, 'repeats the line before' AS message FROM h
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 0, count(*) || ' repeated lines' FROM h GROUP BY doc_id HAVING count(*) > 1
+"""
+
 IGNORED = ["*.html", "!keep*.html", "/en/*", "de/", "page?.txt", "!en/1*"]
 
 
@@ -741,6 +800,8 @@ PLAIN = {
     "status_histogram": (status_histogram, STATUS_SQL),
     "baseline_new": (baseline_new, BASELINE_NEW_SQL),
     "baseline_resolved": (baseline_resolved, RESOLVED_SQL),
+    "snapshot_difference": (snapshot_difference, SNAPSHOT_SQL),
+    "table_rule_lines": (table_rule_lines, TABLE_RULE_SQL),
     "ignore_filter": (ignore_filter, IGNORE_SQL),
     "functions": (functions, FUNCTIONS_SQL),
     "variables": (variables, VARIABLES_SQL),
