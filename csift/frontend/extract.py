@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from csift.frontend import fallback, flow
+from csift.frontend.lexical import Source
 from csift.frontend.syntax import Node, Type, parse, readable_block, show
 from csift.frontend.tokens import Preprocessor, Token, TooLong, Unreadable, tokens
 
@@ -52,6 +53,16 @@ def unsigned_typedefs(clean: str) -> list[str]:
     return out
 
 
+def returns_truth(words: list[str]) -> bool:
+    """Whether a return gives a truth value and nothing else, brackets apart."""
+    for k, word in enumerate(words):
+        if word == "return" and ";" in words[k : k + 5]:
+            given = [w for w in words[k + 1 : words.index(";", k)] if w not in ("(", ")")]
+            if len(given) == 1 and given[0] in ("0", "1", "true", "false"):
+                return True
+    return False
+
+
 class FileFacts:
     """allocators and so on: names beside the usual ones that a project's settings add."""
 
@@ -68,6 +79,7 @@ class FileFacts:
         self.facts: list[dict] = []
         self.lines = clean.split("\n")
         self.reason: str | None = None
+        self._source: Source | None = None
 
     def row(self) -> dict:
         tier, units = PREPROCESSED, None
@@ -200,6 +212,13 @@ class FileFacts:
         self.indexes(node, row, variables, usual)
         self.divisions(node, usual)
 
+    @property
+    def source(self) -> Source:
+        """The text as tokens, for what is looked up by name."""
+        if self._source is None:
+            self._source = Source(self.clean)
+        return self._source
+
     def record(self, number: int, graph: flow.Graph, facts: dict) -> None:
         for e in graph.events:
             sets = {k: sorted(getattr(e, k)) for k in ("reads", "writes", "null_writes", "freed", "allocated", "derefs", "asserted")}
@@ -217,12 +236,11 @@ class FileFacts:
             text = x["array_size"]
             if text.isdigit():
                 return int(text)
-            value = re.search(rf"#\s*define\s+{re.escape(text)}\s+(0[xX][0-9a-fA-F]+|\d+)\b", self.clean)
-            if value:
-                return int(value[1], 0 if value[1][:2].lower() == "0x" else 10)
-            digits = re.search(r"\b(\d+)\b", text)
-            if digits:
-                return int(digits[1])
+            if (value := self.source.named(text)) is not None:
+                return value
+            numbers = [int(t.text) for t in tokens(text) if t.text.isdigit()]
+            if numbers:
+                return numbers[0]
         found = None
         for y in node.walk():
             value = None
@@ -383,7 +401,7 @@ class FileFacts:
             row = {
                 "idx": number, "name": f["name"], "return_type": f["return_type"], "start_line": start, "end_line": end, "brace_line": first, "body_lines": max(0, end - start - 1),
                 "empty_params": f["listed"] == "", "void_params": f["listed"] == "void",
-                "returns_boolean": bool(re.search(r"\breturn\s*\(?\s*(?:0|1|true|false)\s*\)?\s*;", inside)) and any(t in f["name"].lower() for t in DECIDING),
+                "returns_boolean": any(t in f["name"].lower() for t in DECIDING) and returns_truth([t.text for t in tokens(inside)]),
                 "has_assertions": any(c["callee"] in flow.ASSERTIONS for c in calls), "params": parameters, "variables": list(variables.values()), "calls": calls,
                 "words": sorted(set(WORD.findall(inside))), "events": [], "casts": [], "sizeofs": [],
                 "types": {**{g["name"]: g["type"] for g in self.globals}, **{v["name"]: v["type"] for v in variables.values()}, **{p["name"]: p["type"] for p in parameters if p["name"]}},

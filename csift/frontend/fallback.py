@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 HEADER = re.compile(r"^[ \t]*((?:[A-Za-z_]\w*[\s*]+)+?)\**\s*([A-Za-z_]\w*)\s*\(([^;{}()]*(?:\([^()]*\)[^;{}()]*)*)\)\s*\{", re.M)
 WORDS_BEFORE = frozenset("if else while for switch do return case default sizeof typedef goto".split())
@@ -60,6 +61,9 @@ def split_arguments(text: str) -> list[str]:
     return [] if out == [""] else out
 
 
+NAME_CHARACTERS = string.ascii_letters + string.digits + "_"
+
+
 def closing(text: str, at: int) -> int:
     """The place of the brace that closes the one at `at`, or the text's end."""
     depth, quote, k = 0, "", at
@@ -92,9 +96,11 @@ def functions(clean: str) -> list[dict]:
         begin = match.start() + len(match[0]) - len(match[0].lstrip())
         parameters = []
         for text in split_arguments(match[3]):
-            found = re.match(r"(.*?)([A-Za-z_]\w*)\s*(\[[^\]]*\])?$", text, re.S)
-            if text not in ("void", "...") and found:
-                parameters.append((found[1].strip() or found[2], found[2] if found[1].strip() else ""))
+            head = text.partition("[")[0].rstrip()  # what a dimension stands behind
+            name = head[len(head.rstrip(NAME_CHARACTERS)) :]
+            kind = head.removesuffix(name).strip()
+            if text not in ("void", "...") and name and not name[0].isdigit():
+                parameters.append((kind, name) if kind else (name, ""))
         out.append({"name": match[2], "return_type": " ".join(match[1].split()), "parameters": parameters, "listed": match[3].strip(), "begin": begin, "brace": match.end() - 1, "end": end})
         after = end
     return out

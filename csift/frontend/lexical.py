@@ -8,7 +8,8 @@ these words is a sensitive name; Spark decides that, with the classifiers of nam
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 from csift.frontend.tokens import PATTERN, Token, tokens
@@ -36,7 +37,6 @@ RELATIONS = ("<", "<=", ">", ">=")
 OPERATORS = frozenset("+ - * << += -= *= <<=".split())
 CLOSING = {")": "(", "]": "[", "}": "{"}
 Range = tuple[int, int]
-ESCAPE = re.compile(r"\\(?:[0-7]{1,3}|x[0-9a-fA-F]+|.)", re.S)
 
 
 def number_of(token: Token) -> int | None:
@@ -282,16 +282,18 @@ class Source:
         if part[1] - part[0] != 1:
             return None
         token = self.tokens[part[0]]
-        if token.kind != "word":
-            return number_of(token)
+        return self.named(token.text) if token.kind == "word" else number_of(token)
+
+    def named(self, name: str) -> int | None:
+        """The value of a #define or a const of that name."""
         if self._defined is None:
             self._defined = {}
             for d in self.directives:
                 if len(d) > 3 and d[1].text == "define" and (value := number_of(d[3])) is not None:
                     self._defined.setdefault(d[2].text, value)
-        if token.text in self._defined:
-            return self._defined[token.text]
-        for k in self.assigned.get(token.text, ()):
+        if name in self._defined:
+            return self._defined[name]
+        for k in self.assigned.get(name, ()):
             if self.kind(k + 2) == "number" and "const" in self.texts((self.statement(k), k)):
                 return number_of(self.tokens[k + 2])
         return None
@@ -362,7 +364,7 @@ class Rules:
         for number in numbers:
             words, rule = RULES[number]
             wanted = self.table if number == 1 else self.reallocators if number == 32 else words
-            if any(w in self.clean for w in wanted):
+            if not wanted or any(w in self.clean for w in wanted):
                 out += [{"rule": number, **h} for h in rule(self)]
         return out
 
@@ -474,10 +476,9 @@ class Rules:
         s = self.source
         for k, t in enumerate(s.tokens):
             close = s.partner.get(k) if t.text == "(" else None
-            if close is not None and 0 < close - k - 1 <= 8 and s.kind(close + 1) == "word" and (s.kind(k - 1) != "word" or s.text(k - 1) in ("return", "else", "do", "case")):
-                inner = s.tokens[k + 1 : close]
-                if inner[0].kind == "word" and all(x.kind == "word" or x.text == "*" for x in inner):
-                    yield k, [x.text for x in inner], s.text(close + 1)
+            if close is not None and s.kind(k + 1) == "word" and s.kind(close + 1) == "word" and (s.kind(k - 1) != "word" or s.text(k - 1) in ("return", "else", "do", "case")):
+                if all(s.kind(j) == "word" or s.text(j) == "*" for j in range(k + 2, close)):
+                    yield k, [s.text(j) for j in range(k + 1, close)], s.text(close + 1)
 
     def hardware_casts(self) -> Iterator[dict]:
         for k, kind, name in self.casts():
@@ -507,15 +508,16 @@ class Rules:
 
     # 015
     def signed_bits(self) -> Iterator[dict]:
-        s = self.source
+        s, ends, last = self.source, [], {}
+        for k, t in enumerate(s.tokens):
+            if t.text == ";":
+                ends.append(k)
+            elif t.text in ("<<", ">>", "&=", "|=", "^=") and k and s.lines[k - 1] == t.line:
+                last[t.line, s.text(k - 1)] = k - 1
         for k in s.by_name.get("int", ()):
-            first, last = k, s.on_lines(s.lines[k], s.lines[k])[1]
-            name, ended = s.text(k + 1), False
-            for j in range(first + 2, last):
-                ended |= s.text(j) == ";"
-                if ended and s.kind(k + 1) == "word" and s.text(j) == name and s.text(j + 1) in ("<<", ">>", "&=", "|=", "^=") and j + 1 < last:
-                    yield self.hit(k)
-                    break
+            end = bisect_left(ends, k + 2)
+            if s.kind(k + 1) == "word" and end < len(ends) and s.lines[ends[end]] == s.lines[k] and last.get((s.lines[k], s.text(k + 1)), -1) > ends[end]:
+                yield self.hit(k)
         for k, t in enumerate(s.tokens):
             if t.text == "-" and s.kind(k + 1) == "number" and s.text(k + 2) in ("<<", ">>") and s.kind(k - 1) not in ("number",) and (s.kind(k - 1) != "word" or s.text(k - 1) in KEYWORDS) and s.text(k - 1) not in (")", "]"):
                 yield self.hit(k)
@@ -562,16 +564,20 @@ class Rules:
 
     # 028
     def random_numbers(self) -> Iterator[dict]:
-        s = self.source
+        """Of a line's equal calls with equal contexts only the first counts, so a line's words are gathered once."""
+        s, told = self.source, set()
         for k, name in s.calls(DRAWS, once=True):
-            if not s.arguments(k):
+            if not s.arguments(k) and (s.lines[k], name) not in told:
+                told.add((s.lines[k], name))
                 near = s.on_lines(s.lines[k] - 3, s.lines[k])
                 yield self.hit(k, name, context=[w for w in s.words(near) if w != name])
         for k, name in s.calls(SEEDS):
             given = s.arguments(k)
             seed = set(s.words((given[0][0], given[-1][1]))) if given else set()
-            predictable = seed & CLOCKS or all(w == w.upper() for w in seed - CAST_WORDS)
-            yield self.hit(k, name, context=None if predictable else s.words(s.on_lines(s.lines[k], s.lines[k])))
+            predictable = bool(seed & CLOCKS) or all(w == w.upper() for w in seed - CAST_WORDS)
+            if (s.lines[k], name, predictable) not in told:
+                told.add((s.lines[k], name, predictable))
+                yield self.hit(k, name, context=None if predictable else s.words(s.on_lines(s.lines[k], s.lines[k])))
 
     # 030
     def commands(self) -> Iterator[dict]:
@@ -678,19 +684,35 @@ def unsigned_words(kind: list[str]) -> bool:
     return kind in (["size_t"], ["unsigned"], ["unsigned", "int"]) or len(kind) == 1 and kind[0].startswith("uint") and kind[0].endswith("_t")
 
 
+def spelled_length(body: str) -> int:
+    """Characters that a literal's inner text stands for: a backslash begins one, whatever number of digits name it."""
+    count, at = 0, 0
+    while at < len(body):
+        count += 1
+        if body[at] != "\\":
+            at += 1
+            continue
+        digits, most = (string.hexdigits, len(body)) if body[at + 1 : at + 2] == "x" else (string.octdigits, at + 4)
+        at += 2
+        if digits is string.hexdigits or body[at - 1 : at] in string.octdigits:
+            while at < min(most, len(body)) and body[at] in digits:
+                at += 1
+    return count
+
+
 def literal_length(parts: list[str]) -> int | None:
-    """Bytes of adjacent string literals, an escape being one; null where they are wide or not in ASCII."""
+    """Bytes of adjacent string literals; null where they are wide or not in ASCII."""
     if not all(text.isascii() and text.startswith(('"', 'u8"')) for text in parts):
         return None
-    return sum(len(ESCAPE.sub("x", text[text.find('"') + 1 : len(text) - text.endswith('"')])) for text in parts)
+    return sum(spelled_length(text[text.find('"') + 1 : len(text) - text.endswith('"')]) for text in parts)
 
 
-#: Rule: (words of which one must stand in the text, the rule).
+#: Rule: (words of which every hit's text has one, none if there are no such words; the rule).
 RULES: dict[int, tuple[tuple[str, ...], Callable[[Rules], Iterator[dict]]]] = {
     1: ((), Rules.banned),
     2: (("printf", "syslog"), Rules.formats),
     5: (("cmp",), Rules.compared),
-    6: (("alloc", "_MAX", "2147483647", "4294967295", "0x7", "0xF", "0xf", "0X", "9223372036854775807", "18446744073709551615"), Rules.overflow),
+    6: ((), Rules.overflow),
     7: (("[",), Rules.constant_indexes),
     8: (("memset",), Rules.wiped),
     9: (("*",), lambda r: r.one_a_line(r.hardware_casts())),
@@ -700,7 +722,7 @@ RULES: dict[int, tuple[tuple[str, ...], Callable[[Rules], Iterator[dict]]]] = {
     15: (("<<", ">>", "&=", "|=", "^="), lambda r: r.one_a_line(r.signed_bits())),
     18: (("goto",), lambda r: r.one_a_line(r.jumps())),
     21: (("*",), lambda r: r.one_a_line(r.bare_pointers())),
-    24: (("char", "Char", "CHAR", "string", "String", "STRING"), lambda r: r.one_a_line(r.secrets())),
+    24: ((), lambda r: r.one_a_line(r.secrets())),
     26: (("snprintf",), lambda r: r.one_a_line(r.grown())),
     28: (("rand",), Rules.random_numbers),
     30: (("system", "popen", "exec"), Rules.commands),

@@ -11,6 +11,8 @@ LITERAL = r"""(?s)"(?:[^"\\]++|\\.)*+(?:"|\\?\z)|'(?:[^'\\]++|\\.)*+(?:'|\\?\z)|
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 #: ECMA-48: a control sequence has parameter bytes 30-3F, intermediate bytes 20-2F and a final byte 40-7E; another escape has one byte 40-5F.
 CONTROL_SEQUENCE = r"\x1b\[[\x30-\x3f]*[\x20-\x2f]*[\x40-\x7e]|\x1b[\x40-\x5f]"
+#: What a directive does.
+VERBS = ("ignore", "disable")
 IDENTIFIER = r"\b[a-zA-Z_]\w*\b"
 
 
@@ -77,20 +79,31 @@ def comments(text: Column) -> Column:
 def suppressions(text: Column, keyword: str = "csift") -> Column:
     """array<struct<line, rule_id>> of directives in comments; rule_id is * for all rules.
 
-    `keyword-ignore` or `keyword-disable`, then -next-line or -line, then rule ids after a colon or a space; what
-    follows is taken as ids even if it's prose.
+    A directive is the keyword and a verb, then perhaps -next-line and -line, then perhaps a colon or white space and rule
+    ids with commas between them. What follows is taken as ids even if it's prose.
     """
-    pattern = rf"(?i)(?:{keyword}-ignore|{keyword}-disable)(-next-line)?(?:-line)?(?:\s*[:\s]\s*([A-Za-z0-9_,\-\s]+))?"
+    run = r"[A-Za-z0-9_,\-\s]*"
+    whole = rf"(?i){keyword}-(?:{'|'.join(VERBS)}){run}(?::{run})?"
+    blank = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+
+    def parsed(directive: Column, line: Column) -> Column:
+        verb = F.lower(F.element_at(F.split(directive, "-"), 2))
+        length = F.lit(0)
+        for v in VERBS:
+            length = F.when(verb.startswith(v), len(keyword) + 1 + len(v)).otherwise(length)
+        rest = F.upper(F.substr(directive, length + 1))
+        following = rest.startswith("-NEXT-LINE")
+        rest = F.when(following, F.substr(rest, F.lit(len("-NEXT-LINE") + 1))).otherwise(rest)
+        rest = F.when(rest.startswith("-LINE"), F.substr(rest, F.lit(len("-LINE") + 1))).otherwise(rest)
+        head = F.substring_index(rest, ":", 1)
+        # ids stand behind the colon if nothing stands before it, else before it, and then behind white space
+        listed = F.when((blank(head) == "") & rest.contains(":"), F.substring_index(rest, ":", -1)).when(F.substring(head, 1, 1).rlike(r"\s"), head).otherwise("")
+        names = F.filter(F.transform(F.split(listed, ","), blank), lambda x: x != "")
+        at = (line + following.cast("int")).cast("int")
+        return F.transform(F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("*"))), lambda x: F.struct(at.alias("line"), x.alias("rule_id")))
 
     def of(comment: Column) -> Column:
-        found = F.regexp_extract_all(comment["text"], F.lit(pattern), F.lit(0))
-
-        def ids(directive: Column) -> Column:
-            line = (comment["line"] + F.when(F.regexp_extract(directive, pattern, 1) != "", 1).otherwise(0)).cast("int")
-            names = F.filter(F.transform(F.split(F.upper(F.regexp_extract(directive, pattern, 2)), ","), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
-            return F.transform(F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("*"))), lambda x: F.struct(line.alias("line"), x.alias("rule_id")))
-
-        return F.flatten(F.transform(found, ids))
+        return F.flatten(F.transform(F.regexp_extract_all(comment["text"], F.lit(whole), F.lit(0)), lambda d: parsed(d, comment["line"])))
 
     directives = F.flatten(F.transform(comments(text), of))
     empty = F.array().cast("array<struct<line:int,rule_id:string>>")

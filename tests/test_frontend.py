@@ -236,6 +236,7 @@ def test_token_rules_take_linear_time():
     many = 8000
     for text in (
         "void f(void) {\n int t[4];\n" + " t[3] = 1; p[2] = 0;\n" * many + "}", "int t[] = {" + "gets(x), a[1], " * many + "};", "void f(void) {\n" + ' strcpy(d, "abc");\n' * many + "}",
+        "srand(foo); " * many, "int x; " * many, "int x; x << 1; " * many, "rand(); int y; y & 1; " * many, "(" * many + "a)" * many, "(a *)b; " * many,
         "f(" * many, "#define A 1\n" * many + "char b[A];\n" + "void f(void) {\n" + ' strcpy(b, "abc");\n' * many + "}", "void f(void) {\n" + " memset(key, 0, n);\n}" * many,
     ):
         begin = time.process_time()
@@ -243,6 +244,15 @@ def test_token_rules_take_linear_time():
         assert time.process_time() - begin < 12, text[:60]
 
 
+def test_hits_do_not_depend_on_foreign_words():
+    hits = lambda text, rule: [h["line"] for h in Rules(text, BANNED).hits([rule])]
+    for rule, text, word in ((6, "int f(int x) {\n  return x + 8589934591;\n}\n", "int alloc_n;\n"), (24, 'ChAR *password = "abc";\n', "CHAR x;\n")):
+        assert hits(text, rule) == hits(text + word, rule) != []
+    cast = "reg = (const struct some long type of many words *) reg_base;\n"
+    assert hits(cast, 9) == [1]  # a cast of any length
+    assert [h["column"] for h in Rules("srand(time(0)); srand(seed); srand(seed); srand(1);\n", BANNED).hits([28])] == [1, 17]
+
+
 BROKEN = "int f(int *a, int *b) {\n  if (b) {\n    *b = 1;\n  }\n  int *q = NULL;\n  x = = 3;\n  *q = 2;\n  if (!q) {\n    q[1] = 0;\n  }\n  return *a;\n}\n"
 
 

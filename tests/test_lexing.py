@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from csift.frontend.lexical import literal_length
 from csift.functions import classify, lexing
 
 
@@ -120,8 +121,6 @@ def test_inside_literal(spark):
         (classify.sensitive_type, ["crypto_t", "hash_ctx", "key_t"], ["int", "key_count_t", "uint8_t *"]),
         (classify.security_function, ["login", "check_hash", "get_mac", "make_iv"], ["main", "check_header_len", "verify_length_sig"]),
         (classify.predictable_seed, ["time(NULL)", "42", "0x1fU", "", "SEED", "(unsigned) 7"], ["seed", "read_noise()"]),
-        (classify.unsigned_type, ["unsigned int", "size_t *", "uint8_t"], ["int", "ssize_t"]),
-        (classify.signed_type, ["int", "long long", "ssize_t"], ["unsigned int", "float"]),
     ],
 )
 def test_classifiers(spark, classifier, yes, no):
@@ -129,10 +128,18 @@ def test_classifiers(spark, classifier, yes, no):
     assert apply(spark, no, classifier) == [False] * len(no)
 
 
-def test_literal_length(spark):
-    assert apply(spark, ['"abc"', '"a" "b\\n"', '"\\x41\\101"', "x", '"é"', ""], classify.literal_length) == [3, 3, 2, None, None, None]
+def test_literal_length():
+    given = [['"abc"'], ['"a"', '"b\\n"'], ['"\\x41\\101"'], ['"\\1011"'], ['"\\x4142g"'], ['u8"\\\\"'], ['"\\8"'], ['"'], ['L"a"'], ['"é"'], ['""']]
+    assert [literal_length(x) for x in given] == [3, 3, 2, 2, 2, 1, 1, 0, None, None, 0]
+
+
+def test_directives(spark):
+    given = ["// csift-ignore", "/* CSIFT-IGNORE-next-line: a-1 , b */", "// csift-disable-line x y", "// csift-disable-next-line-line:c", "// csift-ignored: x", "// csift-ignore a: b", "// csift-ignore : z", "// x-csift-ignore:\tq csift-ignore: r", "// csift-ignore-nothing", "// csift-ignore,a", "no csift-ignore"]
+    found = [[(x["line"], x["rule_id"]) for x in r] for r in apply(spark, given, lexing.suppressions)]
+    assert found == [[(1, "*")], [(2, "A-1"), (2, "B")], [(1, "X Y")], [(2, "C")], [(1, "*")], [(1, "A")], [(1, "Z")], [(1, "Q CSIFT-IGNORE")], [(1, "*")], [(1, "*")], []]
 
 
 def test_paths_and_lvalues(spark):
     assert apply(spark, ["(const char *) p", "( p )", "a -> b"], classify.bare_path) == ["p", "p", "a->b"]
-    assert apply(spark, ["(char *) x", "((x))", "a . b"], classify.bare_lvalue) == ["x", "x", "a.b"]
+    given = ["(char *) x", "((x))", "a . b", "(x)", "(struct s *) (p)->q", "(x)->y", "(unsigned) x", "f(x)", "(char **) *x", "((char *) x)", "(a)(b)", "", None]
+    assert apply(spark, given, classify.bare_lvalue) == ["x", "x", "a.b", "x", "(p)->q", "(x)->y", "x", "f(x)", "*x", "x", "b", "", None]
