@@ -175,6 +175,14 @@ def test_custom_rules_are_rules_like_others(spark):
     assert [(r["file_path"], r["error_type"]) for r in scan.errors.collect()] == [("b.c", "ValueError")]
 
 
+def test_only_calls_of_one_path_meet(spark):
+    """Rule 35 over many paths: each use with each check of its own path before it, unless the path changed in between."""
+    body = "".join(f"  access(p{k}, 0);\n" for k in range(250)) + "  p3 = other();\n" + "".join(f"  fopen((char *) p{k}, m);\n" for k in range(250)) + "  stat(p7, &s);\n  remove(p7);\n  openat(d, p9, 0);\n"
+    found = scan_text(spark, f"void f(char *p1) {{\n  char *p3;\n{body}}}\n", "a.c", ScanConfig(numbers=(35,), mode="ast")).findings.select("line_number", "message").collect()
+    wanted = {(254 + k, 3 + k) for k in range(250) if k != 3} | {(505, 10), (505, 504), (506, 12)}
+    assert {(r["line_number"], int(re.search(r"line (\d+)", r["message"])[1])) for r in found} == wanted
+
+
 def test_nothing_is_parsed_where_no_rule_needs_it(spark):
     files = spark.createDataFrame([("a.c", BAD)], "path string, content string")
     assert scan_files(files, ScanConfig(numbers=(1, 13, 18))).summaries.first()["parser"] == "regex"
