@@ -108,13 +108,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit_cumulative(data: Rows, grades: np.ndarray, levels: int, shrink: float, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Cumulative-link logistic regression: P(grade > k) = sigmoid(w x - cut[k]), one w for all cuts, cuts in order.
 
-    Cuts are the first and the logarithms of the gaps between them, so they can't cross.
+    Cuts are the first and, as softplus(x), the gaps between them, so they can't cross; a gap never changes faster than its
+    x, so the step that suits weights suits it too.
     """
     n, p = data.shape
     k = levels - 1
 
     def cuts(x):
-        return x[p] + np.concatenate([[0.0], np.cumsum(np.exp(x[p + 1 :]))])
+        return x[p] + np.concatenate([[0.0], np.cumsum(np.logaddexp(0, x[p + 1 :]))])
 
     def gradient(x):
         z = data.times(x[:p])
@@ -128,11 +129,11 @@ def fit_cumulative(data: Rows, grades: np.ndarray, levels: int, shrink: float, r
         dz = -(s_above - s_below) / mass / n
         dcut = np.bincount(np.maximum(grades - 1, 0), s_above / mass / n, k) - np.bincount(np.minimum(grades, k - 1), s_below / mass / n, k)
         tail = dcut[::-1].cumsum()[::-1]
-        return np.concatenate([data.back(dz), [tail[0]], np.exp(x[p + 1 :]) * tail[1:]])
+        return np.concatenate([data.back(dz), [tail[0]], sigmoid(x[p + 1 :]) * tail[1:]])
 
     share = np.clip([(grades > j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
     first = np.log((1 - share) / share)
-    start = np.concatenate([np.zeros(p), [first[0]], np.log(np.maximum(np.diff(first), 0.1))])
+    start = np.concatenate([np.zeros(p), [first[0]], np.log(np.expm1(np.maximum(np.diff(first), 0.1)))])
     step = 0.5 / max(curvature(data, np.full(n, 0.5 / max(n, 1))), 1e-9)
     x = fista(gradient, start, np.concatenate([np.full(p, shrink), np.zeros(k)]), step, rounds)
     return x[:p], cuts(x)

@@ -84,6 +84,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels tell toxic texts from others and no more: that a toxic text is of grade 2 is no label, but made by counting the
+    words that the sample's other half shows to be telling. What severity follows is tested on a planted scale."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

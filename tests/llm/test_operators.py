@@ -670,6 +670,45 @@ def test_terms():
     assert toxicity.words_of(long) == set(toxicity.WORDS.findall(long.lower()))
 
 
+def test_cumulative_fit_is_the_least_loss():
+    """The fit against the loss itself, written out row by row: nothing near it is better."""
+    import math
+
+    from csift.llm.linear import Rows, fit_cumulative
+
+    chance, shrink = np.random.default_rng(21), 2e-3
+    terms = [sorted(set(chance.integers(0, 6, chance.integers(1, 5)).tolist())) for _ in range(300)]
+    grades = np.array([min(2, sum(t < 2 for t in x) + int(chance.random() < 0.2)) for x in terms])
+    weights, cuts = fit_cumulative(Rows.of(terms, {i: i for i in range(6)}), grades, 3, shrink)
+
+    def loss(w, c):
+        total = shrink * sum(map(abs, w))
+        for x, g in zip(terms, grades):
+            z = sum(w[t] for t in x)
+            over = [1.0, *(1 / (1 + math.exp(v - z)) for v in c), 0.0]
+            total -= math.log(over[g] - over[g + 1]) / len(terms)
+        return total
+
+    best = loss(weights, cuts)
+    for _ in range(150):
+        size = 10.0 ** -chance.integers(1, 4)
+        assert loss(weights + chance.normal(size=6) * size, cuts + chance.normal(size=2) * size * 0.3) > best - 1e-9
+
+
+def test_severity_follows_a_planted_scale(spark):
+    """Labels say toxic or not; how many telling words a text has is what severity is meant to follow, and does."""
+    chance = random.Random(31)
+    plain, foul = [f"word{i}" for i in range(200)], [f"foul{i}x" for i in range(12)]
+    planted = {i: chance.choice([0, 0, 0, 1, 2, 3, 5]) for i in range(900)}
+    texts = {i: chance.choices(plain, k=30) + chance.sample(foul, n) for i, n in planted.items()}
+    docs = spark.createDataFrame([(i, " ".join(chance.sample(t, len(t)))) for i, t in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(n > 0)) for i, n in planted.items()], "doc_id long, quality int, toxic int")
+    rows = [r for r in toxicity.toxicity(docs, labels).collect() if r["held_out"]]
+    mean = lambda n: np.mean([r["expected_severity"] for r in rows if planted[r["doc_id"]] == n])
+    assert mean(0) < 0.2 < mean(1) < mean(2) < mean(3) <= mean(5) + 0.05
+    assert np.mean([r["severity"] for r in rows if planted[r["doc_id"]] >= 3]) > 1.5 and np.mean([r["severity"] for r in rows if planted[r["doc_id"]] == 1]) < 1.6
+
+
 def test_cumulative_links_keep_order():
     chance = np.random.default_rng(12)
     from csift.llm.linear import Rows, fit_cumulative, sigmoid
