@@ -23,7 +23,7 @@ def test_flagship(spark):
 
 
 @here
-@pytest.mark.parametrize("name", ["lines_loc", "comment_extract", "suppressions", "baseline_new", "baseline_resolved", "script_calls_pages", "ignore_filter", "severity_totals", "rule_catalog", "node_facts", "reachability", "json_report", "sarif_results"])
+@pytest.mark.parametrize("name", ["lines_loc", "comment_extract", "suppressions", "baseline_new", "baseline_resolved", "script_calls_pages", "ignore_filter", "severity_totals", "rule_catalog", "node_facts", "reachability", "json_report", "sarif_results", "text_report", "lex_in_pieces", "running_depth", "buffer_room", "nearest_declaration", "check_then_use", "snapshot_difference", "table_rule_lines"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
