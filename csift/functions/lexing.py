@@ -55,7 +55,10 @@ def mask_literals(line: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines as a text editor counts them: a final line end begins no line, the empty text has none."""
-    parts = F.split(text, LINE_END, -1)
+    return without_last_end(F.split(text, LINE_END, -1))
+
+
+def without_last_end(parts: Column) -> Column:
     return F.when(F.size(parts) == 0, parts).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 

@@ -18,7 +18,8 @@ FILLED = r"\b(strcpy|strcat|strncpy|strncat|sprintf|snprintf|memcpy|memmove|gets
 
 def line_rows(files: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """keys, line_number (from 1) and line."""
-    lines = files.select(*[f"`{k}`" for k in keys], F.posexplode(lexing.split_lines(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("n", "line"))
+    parts = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), lexing.LINE_END, -1)  # split once, for a generator evaluates what it names each time
+    lines = files.select(*[f"`{k}`" for k in keys], F.posexplode(lexing.let(parts, lexing.without_last_end)).alias("n", "line"))
     return lines.select(*[f"`{k}`" for k in keys], (F.col("n") + 1).cast("long").alias("line_number"), "line")
 
 

@@ -250,7 +250,8 @@ def _line_words(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
     lines = line_rows(docs, ["doc_id", "source"], "text").withColumn("at", F.col("doc_id") * (1 << 24) + F.col("line_number"))
     heads = lines.select("source", F.regexp_extract("line", r"^(\w+)", 1).alias("name"), "at").filter("name <> ''")
-    tails = lines.select("source", F.regexp_extract("line", r"(\w+)\W*$", 1).alias("name"), "at").filter("name <> ''")
+    # from behind, for a pattern that ends with the line is tried at each of its places
+    tails = lines.select("source", F.reverse(F.regexp_extract(F.reverse("line"), r"^\W*(\w+)", 1)).alias("name"), "at").filter("name <> ''")
     return heads, tails
 
 
