@@ -75,11 +75,26 @@ def end_state(found: Column, text: Column) -> Column:
 
 
 def transition(text: Column) -> Column:
-    """ends: the state after the text for each state before it."""
-    full = F.array(*[lexing.let(lexing.tokens(F.concat(F.lit(o), text)), lambda t, o=o: end_state(t, F.concat(F.lit(o), text))) for o in OPENERS])
+    """ends: the state after the text for each state before it.
+
+    After a slash, a star or a backslash only the first character can make another state of it than without.
+    """
+
+    def behind(state: int) -> Column:
+        whole = F.concat(F.lit(OPENERS[state]), text)
+        return lexing.let(lexing.tokens(whole), lambda t: end_state(t, whole))
+
+    first = F.substring(text, 1, 1)
+    alike = {SLASH: (CODE, "/*"), STAR: (BLOCK, "/"), STRING_ESCAPE: (STRING, "\"\\"), CHARACTER_ESCAPE: (CHARACTER, "'\\")}
+    own = [s for s in range(len(OPENERS)) if s not in alike]
+
+    def every(found: Column) -> Column:
+        of = lambda s: F.get(found, F.lit(own.index(s)))
+        return F.array(*[F.when(first.isin(*alike[s][1]), behind(s)).otherwise(of(alike[s][0])) if s in alike else of(s) for s in range(len(OPENERS))])
+
     same = F.array(*[F.lit(s).cast("tinyint") for s in range(len(OPENERS))])
     plain = F.array(*[F.lit(s).cast("tinyint") for s in PLAIN])
-    return F.when(text == "", same).when(~text.rlike(MARKS), plain).otherwise(full)
+    return F.when(text == "", same).when(~text.rlike(MARKS), plain).otherwise(lexing.let(F.array(*map(behind, own)), every))
 
 
 def composed(functions: Column) -> Column:
