@@ -12,7 +12,9 @@ rows is dealt out as pairs of its parts. Shards return stars, not pairs; their c
 sample has about SAMPLE fingerprints at most; nothing else reaches the driver.
 
 `drop_near_copies` keeps one document of each component, by these links (3-word shingles, REACH bits) or, with a
-similarity, by the exact Jaccard similarity of 5-word shingles: 64 bits can't tell pairs of that similarity from others.
+similarity, by the exact Jaccard similarity of 5-word shingles. Then, too, fingerprints (here of the 5-word shingles)
+are linked by the trees first, and each link is confirmed on the whole sets; 64 bits can't tell all pairs of that
+similarity from others, so `similar.roots_of` looks for what is left, between the components that the links made.
 
 Defined results: null text is empty, no word gives fingerprint zero; component_id ignores null doc_ids unless a
 component has no other; repeated rows share fingerprint and component; two texts with one doc_id are two documents;
@@ -93,6 +95,14 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED
     return np.packbits(set_ * 2 > total[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def fingerprint_of(held: np.ndarray) -> int:
+    """The fingerprint (a signed long) of a set of hashes."""
+    set_ = np.zeros(BITS, np.int64)
+    for at in range(0, len(held), HELD):
+        set_ += np.unpackbits(held[at : at + HELD].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(set_ * 2 > len(held), bitorder="little").view(np.int64)[0])
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, key=None) -> DataFrame:
     """doc_id, _csift_key (of the key column, or null) and fingerprint (a signed long) of each row."""
 
@@ -149,6 +159,16 @@ def links(points: DataFrame, reach: int = REACH, blocks: int = BLOCKS, sample: i
     return dealt.repartition(tasks, "block", "leaf", "i", "j").groupBy("block", "leaf", "i", "j").applyInArrow(groups, "a long, b long")
 
 
+def linked_points(points: DataFrame, **parameters) -> DataFrame:
+    """(a, b), a < b: points (point, fingerprint) of equal fingerprints, each with the least of them, and the least ones of linked fingerprints."""
+    least = durable(points.groupBy("fingerprint").agg(F.min("point").alias("least")))
+    found = links(least, **parameters)
+    ends = [least.select(F.col("fingerprint").alias(c), F.col("least").alias(f"of_{c}")) for c in ("a", "b")]
+    near = found.join(ends[0], "a").join(ends[1], "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    same = points.join(least, "fingerprint").filter("point <> least").select(F.col("least").alias("a"), F.col("point").alias("b"))
+    return durable(near.union(same).distinct())
+
+
 def components(docs: DataFrame, key=None, **parameters) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, _csift_key, fingerprint), (fingerprint, component_id, _csift_best: key of the row that stays)."""
     rows = durable(fingerprints(docs, key=key))

@@ -6,6 +6,9 @@ shingles that are similar share one of the first n - ceil(n num / den) + 1 and m
 any order, so no pair is missed; the order used (rarest first in a sample, then by hash) only makes candidates
 few, and puts what a document has alone, such as edits, first.
 
+SimHash links (`simhash.linked_points`) come first: fingerprints of the same shingles, linked by vantage-point trees, each
+link confirmed on the whole sets. What follows looks only between the components that these links make.
+
 A shingle's documents are a list. In a first round each document is compared with its list's pivot, the document with
 the fewest shingles of its own before the shared one: in a group of near copies that is the copy with the fewest
 edits. Lists that still hold several components and are longer than SMALL go through more such rounds, each with the
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from csift.llm.common import durable, hash_sample, slices, text_key, whole_text
 from csift.llm.components import stars
-from csift.llm.simhash import shingle_hashes
+from csift.llm.simhash import fingerprint_of, linked_points, shingle_hashes
 
 SHINGLE = 5
 SEED = 43
@@ -98,7 +101,7 @@ def common_shingles(docs: DataFrame, sample: int, most: int) -> tuple[np.ndarray
 
 
 def points_of(docs: DataFrame, similarity: tuple[int, int], sample: int = SAMPLE, most: int = COMMON) -> DataFrame:
-    """doc_id, _csift_key, digest (of the text), point (one a set), size, sketch and prefix of each row."""
+    """doc_id, _csift_key, digest (of the text), point (one a set), size, fingerprint, sketch and prefix of each row."""
     order = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, sample, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,12 +109,12 @@ def points_of(docs: DataFrame, similarity: tuple[int, int], sample: int = SAMPLE
             held = [shingles_of(x) for x in _bytes(part.column("text"))]
             prefixes = [prefix_of(x, *order.value, similarity).view(np.int64) for x in held]
             yield pa.record_batch(
-                [part.column("doc_id"), part.column("_csift_key"), part.column("digest"), _longs([point_of(x) for x in held]), pa.array(map(len, held), pa.int32()), pa.array(map(sketch_of, held), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "_csift_key", "digest", "point", "size", "sketch", "prefix"],
+                [part.column("doc_id"), part.column("_csift_key"), part.column("digest"), _longs([point_of(x) for x in held]), pa.array(map(len, held), pa.int32()), pa.array(map(fingerprint_of, held), pa.int64()), pa.array(map(sketch_of, held), pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "_csift_key", "digest", "point", "size", "fingerprint", "sketch", "prefix"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("_csift_key"), F.sha2(whole_text(), 256).alias("digest"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, _csift_key string, digest string, point long, size int, sketch binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, _csift_key string, digest string, point long, size int, fingerprint long, sketch binary, prefix array<long>")
 
 
 def bound(similarity: tuple[int, int]):
@@ -188,18 +191,22 @@ class Comparison:
 
 def rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Lists that hold several components, with each document's root and the list's length."""
-    with_roots = lists.drop("root").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
+    return spread(lists.drop("root").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point")))
+
+
+def spread(postings: DataFrame) -> DataFrame:
+    """The postings of lists that hold several components, with the list's length."""
     same = Window.partitionBy("shingle")
-    spread = with_roots.select("*", F.count(F.lit(1)).over(same).alias("n"), F.min("root").over(same).alias("low"), F.max("root").over(same).alias("high"))
-    return durable(spread.filter("low < high").select("shingle", "point", "size", "at", "root", "n"))
+    counted = postings.select("*", F.count(F.lit(1)).over(same).alias("n"), F.min("root").over(same).alias("low"), F.max("root").over(same).alias("high"))
+    return durable(counted.filter("low < high").select("shingle", "point", "size", "at", "root", "n"))
 
 
 def roots_of(points: DataFrame, compare: Comparison, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
     """(point, root) of the points that have others in their component, without its least."""
     same, enough = Window.partitionBy("shingle"), bound(compare.similarity)
-    postings = points.select(F.posexplode("prefix").alias("at", "shingle"), "point", "size", F.col("point").alias("root"))
-    left = durable(postings.withColumn("n", F.count(F.lit(1)).over(same)).filter("n > 1").select("shingle", "point", "size", "at", "root", "n"))
-    roots = None
+    roots = joined(None, compare.confirmed(linked_points(points)))
+    placed = points.select("point", "size", "prefix").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
+    left = spread(placed.select(F.posexplode("prefix").alias("at", "shingle"), "point", "size", "root"))
     for k in range(max(1, rounds)):
         # the pivot is compared with its whole list, and then done with
         pivot = F.min(F.struct("at", "size", "point", "root")).over(same).alias("pivot")
@@ -227,7 +234,7 @@ def staying(docs: DataFrame, similarity: tuple[int, int], sample: int = SAMPLE,
     """_csift_key (see text_key) of one document of each component, the one with the least doc_id."""
     rows = points_of(docs, similarity, sample, most)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_csift_key")).alias("best")
-    points = durable(rows.groupBy("point").agg(best, F.min("digest").alias("digest"), *[F.first(c).alias(c) for c in ("size", "sketch", "prefix")]))
+    points = durable(rows.groupBy("point").agg(best, F.min("digest").alias("digest"), *[F.first(c).alias(c) for c in ("size", "fingerprint", "sketch", "prefix")]))
     roots = roots_of(points, Comparison(docs, points, similarity), **parameters)
     every = points.select("point", "best").join(roots, "point", "left").groupBy(F.coalesce("root", "point")).agg(F.min("best").alias("best"))
     return every.select(F.col("best._csift_key").alias("_csift_key")).distinct()

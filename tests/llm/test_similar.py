@@ -89,3 +89,29 @@ def test_one_doc_id_with_two_texts_is_two_documents(spark):
         kept = simhash.drop_near_copies(docs, similarity=similarity)
         assert kept.columns == docs.columns
         assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted({(i or 0, t) for i, t in rows})
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """SimHash links are the stage's first candidates; what they link is confirmed, and isn't compared again."""
+    chance = random.Random(9)
+    texts = [*edited(0, 20, lambda k: k % 2, chance), *edited(1, 5, lambda k: 8 * k, chance), "a short text", ""]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    compared, confirmed = [], similar.Comparison.confirmed
+
+    def told(self, pairs):
+        out = confirmed(self, pairs)
+        compared.append(({tuple(r) for r in pairs.select("a", "b").collect()}, {tuple(r) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(similar.Comparison, "confirmed", told)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, "").collect())
+    assert kept == brute_force(range(len(texts)), texts)
+    code = {}
+    for t in texts:
+        held = similar.shingles_of(t.encode())
+        code[similar.point_of(held) - (1 << 64) * (similar.point_of(held) >> 63)] = simhash.fingerprint_of(held) % (1 << 64)
+    first, linked = compared[0]
+    assert linked and linked <= first
+    near = {(a, b) for a in code for b in code if a < b and (code[a] ^ code[b]).bit_count() <= simhash.REACH}
+    groups = {frozenset(x) for x in near}
+    assert {frozenset(x) for x in first} & groups and not linked & set().union(*(pairs for pairs, _ in compared[1:]))
