@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,12 +26,13 @@ def lexed(files: DataFrame) -> DataFrame:
 
 def parsed(
     files: DataFrame, with_facts: bool = True, allocators=(), reallocators=(), deallocators=(), numbers=None, banned: dict[str, tuple[str, str]] | None = None,
-    functions: tuple[tuple[int, Callable[[str, str], str | None]], ...] = (), seen=None,
+    functions: tuple[tuple[int, Callable[[str, str], str | None]], ...] = (), seen=None, asked=None,
 ) -> DataFrame:
     """path, content, clean, parse and error of each file; a file whose analysis fails has an error and no facts.
 
     Without facts only tokens are looked at, and nothing is parsed. numbers: rules whose line forms are looked for (all
-    if it isn't given), with the names that banned adds; functions: (number, function of a line and its masked form).
+    if it isn't given), with the names that banned adds; asked: parts of the facts that are wanted (see `extract.PARTS`;
+    all if it isn't given), the others stay empty; functions: (number, function of a line and its masked form).
     seen: an accumulator that is told (1, path) of each file.
     """
     target = to_arrow_schema(StructType.fromDDL(schema.PARSED))
@@ -41,9 +43,9 @@ def parsed(
         from csift.frontend.extract import FileFacts, control_statements
 
         if with_facts:
-            found = FileFacts(content, clean, allocators, reallocators, deallocators).row()
+            found = FileFacts(content, clean, allocators, reallocators, deallocators, asked).row()
         else:
-            found = {**EMPTY, "status": "regex", "parse_tier": "tokens", "confidence": "LIMITED", "controls": control_statements(clean)}
+            found = {**EMPTY, "status": "regex", "parse_tier": "tokens", "confidence": "LIMITED", "controls": control_statements(clean) if asked is None or "controls" in asked else []}
         by_line = [{**h, "pass": 0} for h in Rules(clean, table, tuple(reallocators)).hits(wanted)]
         for number, function in functions:
             for n, line in enumerate(clean.split("\n"), 1):
@@ -71,21 +73,34 @@ def parsed(
     return lexed(files).mapInArrow(run, schema.PARSED)
 
 
+#: Rows of a batch of `reach`.
+HELD = 1 << 16
+
+
 def reach(parses: DataFrame) -> DataFrame:
-    """(path, fn_idx, src, dst): which node can follow which, by paths of any length, found where the file's row lies."""
+    """(path, fn_idx, src, dst, from_line, to_line): which node can follow which, by paths of any length, found where the file's row lies."""
+    kinds = {"path": pa.string(), "fn_idx": pa.int32(), "src": pa.int32(), "dst": pa.int32(), "from_line": pa.int32(), "to_line": pa.int32()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from csift.frontend.flow import reached
+    def rows_of(path: str, edges: list[dict], nodes: list[dict]) -> Iterator[tuple]:
+        from csift.frontend.flow import reached_in_turn
 
-        for batch in batches:
-            for path, edges in zip(batch.column("path").to_pylist(), batch.column("edges").to_pylist()):
-                of: dict[int, list[tuple[int, int]]] = {}
-                for e in edges or ():
-                    of.setdefault(e["fn_idx"], []).append((e["src"], e["dst"]))
-                rows = [(path, f, a, b) for f in sorted(of) for a, b in reached(of[f])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["path", "fn_idx", "src", "dst"])
-
-    return parses.select("path", "parse.edges").mapInArrow(run, "path string, fn_idx int, src int, dst int")
+        of: dict[int, list[tuple[int, int]]] = {}
+        for e in edges or ():
+            of.setdefault(e["fn_idx"], []).append((e["src"], e["dst"]))
+        line = {(n["fn_idx"], n["node_id"]): n["line"] for n in nodes or ()}
+        for f in sorted(of):
+            for a, b in reached_in_turn(of[f]):
+                yield path, f, a, b, line[f, a], line[f, b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("path", "edges", "nodes"))))
+        found = (row for file in files for row in rows_of(*file))
+        while held := list(islice(found, HELD)):
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*held), kinds.values())], list(kinds))
+
+    ends = F.transform("parse.edges", lambda e: F.struct(e["fn_idx"].alias("fn_idx"), e["src"].alias("src"), e["dst"].alias("dst"))).alias("edges")
+    lines = F.transform("parse.nodes", lambda n: F.struct(n["fn_idx"].alias("fn_idx"), n["node_id"].alias("node_id"), n["line"].alias("line"))).alias("nodes")
+    return parses.select("path", ends, lines).mapInArrow(run, "path string, fn_idx int, src int, dst int, from_line int, to_line int")
 
 
 def relation(parses: DataFrame, name: str) -> DataFrame:

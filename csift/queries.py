@@ -582,8 +582,9 @@ SELECT page_id, path FROM d WHERE NOT ignored
 FACT_SOURCES = ["int f_@K(char *p, int n) {\n  char *q = malloc(n);\n  if (q == NULL) {\n    return @N;\n  }\n  q[0] = p[0];\n  free(q);\n  return 0;\n}\n", "unsigned long total_@K;\nstatic int g_@K(void) {\n  int a = 1, *b = &a;\n  return h(a, k(*b));\n}\n"]
 
 
-def _facts(spark, sf_dir) -> DataFrame:
-    return parsed(corpus(table(spark, sf_dir, "part"), FACT_SOURCES))
+def _facts(spark, sf_dir, *asked: str) -> DataFrame:
+    """Parses of the corpus with what is asked of the facts; no rule looks at it."""
+    return parsed(corpus(table(spark, sf_dir, "part"), FACT_SOURCES), numbers=[], asked=asked)
 
 
 def functions(spark, sf_dir):
@@ -610,7 +611,7 @@ FROM part JOIN (VALUES (0, 'q', 'char *', true, 2), (1, 'a', 'int', false, 3), (
 
 def calls(spark, sf_dir):
     """Calls of the corpus in order, with targets."""
-    return relation(_facts(spark, sf_dir), "calls").select("path", F.col("call_idx").cast("long").alias("call_idx"), "callee", "line", "raw_args", "target")
+    return relation(_facts(spark, sf_dir, "calls"), "calls").select("path", F.col("call_idx").cast("long").alias("call_idx"), "callee", "line", "raw_args", "target")
 
 
 CALLS_SQL = """
@@ -621,10 +622,8 @@ FROM part JOIN (VALUES (0, 0, 'malloc', 2, 'n', 'q'), (0, 1, 'free', 7, 'q', NUL
 
 def node_facts(spark, sf_dir):
     """What is known of each variable before each node that names it."""
-    parses = _facts(spark, sf_dir)
-    nodes, facts = relation(parses, "cfg_nodes"), relation(parses, "node_facts")
-    joined = facts.join(nodes.select("path", "fn_idx", "node_id", "line", "kind"), ["path", "fn_idx", "node_id"])
-    return joined.select("path", "line", "kind", F.col("var").alias("name"), "nullness", "init", "alloc")
+    facts = relation(_facts(spark, sf_dir, "flow"), "node_facts")
+    return facts.select("path", "line", "kind", F.col("var").alias("name"), "nullness", "init", "alloc")
 
 
 #: (template, line, kind, name, nullness, init, alloc) before each node.
@@ -643,11 +642,7 @@ FROM part JOIN (VALUES {", ".join(map(str, NODE_FACTS))}) AS v(w, line, kind, na
 
 def reachability(spark, sf_dir):
     """Pairs of lines of which the second can follow the first, by paths of any length."""
-    parses = _facts(spark, sf_dir)
-    nodes = relation(parses, "cfg_nodes").select("path", "fn_idx", "node_id", "line")
-    begin, end = nodes.withColumnsRenamed({"node_id": "src", "line": "from_line"}), nodes.withColumnsRenamed({"node_id": "dst", "line": "to_line"})
-    keys = ["path", "fn_idx"]
-    return reach(parses).join(begin, [*keys, "src"]).join(end, [*keys, "dst"]).select("path", "from_line", "to_line")
+    return reach(_facts(spark, sf_dir, "flow")).select("path", "from_line", "to_line")
 
 
 REACH_SQL = """
@@ -658,16 +653,17 @@ FROM part JOIN (VALUES (0, 2, 3), (0, 2, 4), (0, 2, 6), (0, 2, 7), (0, 2, 8), (0
 
 
 def symbol_resolution(spark, sf_dir):
-    """The types of names in calls: a local's, else a parameter's, else a global's, by joins."""
-    parses = _facts(spark, sf_dir)
-    words = F.regexp_extract_all("raw_args", F.lit(lexing.IDENTIFIER), F.lit(0))
-    used = relation(parses, "calls").select("path", "fn_idx", "call_idx", "callee", F.explode(F.array_distinct(words)).alias("name"))
-    local = relation(parses, "variables").select("path", "fn_idx", "name", F.col("type").alias("_local"))
-    given = relation(parses, "params").select("path", "fn_idx", "name", F.col("type").alias("_given"))
-    outer = relation(parses, "globals").select("path", "name", F.col("type").alias("_outer"))
-    keys = ["path", "fn_idx", "name"]
-    joined = used.join(local, keys, "left").join(given, keys, "left").join(outer, ["path", "name"], "left")
-    return joined.select("path", "callee", "name", F.coalesce("_local", "_given", "_outer").alias("type"))
+    """The types of names in calls: a local's, else a parameter's, else a global's, looked up where the file's row lies."""
+    typed = lambda items: F.transform(items, lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type")))
+    functions = _facts(spark, sf_dir, "calls").select("path", typed(F.col("parse.globals")).alias("outer"), F.explode("parse.functions").alias("f"))
+    calls = functions.select("path", "outer", typed(F.col("f.params")).alias("given"), typed(F.col("f.variables")).alias("local"), F.explode("f.calls").alias("call"))
+    words = F.regexp_extract_all("call.raw_args", F.lit(lexing.IDENTIFIER), F.lit(0))
+    used = calls.select("path", F.col("call.callee").alias("callee"), "local", "given", "outer", F.explode(F.array_distinct(words)).alias("name"))
+    for scope in ("local", "given", "outer"):
+        # each declaration of the name is a row, as a join has it; globals may be declared more than once
+        own = F.transform(F.filter(scope, lambda x: x["name"] == F.col("name")), lambda x: x["type"])
+        used = used.withColumn(f"_{scope}", F.explode_outer(own))
+    return used.select("path", "callee", "name", F.coalesce("_local", "_given", "_outer").alias("type"))
 
 
 SYMBOL_SQL = """

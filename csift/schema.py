@@ -17,7 +17,7 @@ PARSE = (
     f"hits:array<struct<rule:int,line:int,column:int,parameters:array<string>,context:array<string>,pass:int>>,"
     f"nodes:array<struct<fn_idx:int,node_id:int,kind:string,line:int,expr:string,{_SETS.replace(', ', ',')}>>,"
     f"edges:array<struct<fn_idx:int,src:int,dst:int,nonnull:array<string>,null:array<string>>>,"
-    f"facts:array<struct<fn_idx:int,node_id:int,var:string,nullness:string,init:string,alloc:string>>>"
+    f"facts:array<struct<fn_idx:int,node_id:int,line:int,kind:string,var:string,nullness:string,init:string,alloc:string>>>"
 )
 #: What a file row has after parsing; error is null unless its analysis failed.
 PARSED = f"path string, content string, clean string, parse {PARSE}, error struct<error_type:string,message:string>"

@@ -44,3 +44,11 @@ def test_works_without_the_operators():
     )
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+@here
+@pytest.mark.parametrize("name", ["symbol_resolution", "node_facts", "reachability"])
+def test_relations_of_a_file_meet_in_its_row(spark, name):
+    """The corpus is parsed once, and what is known of a file isn't shuffled to meet again."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == (2 if name == "reachability" else 1)
