@@ -27,6 +27,7 @@ from csift.operators.snapshots import Snapshots
 from csift.plans import report
 from csift.plans.scan import Scan, ScanConfig
 from csift.rules import catalog
+from csift.rules.facts import parts_of
 from csift.rules.table_rules import register_table_rule
 from csift.schema import FINDING, FINDING_COLUMNS
 from csift.sources.ignore import IgnoreRules
@@ -41,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rule_query(number: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = corpus(table(spark, sf_dir, "part"), sources_of(number))
-        return findings(with_hits(parsed(files, needs_facts([number]), numbers=[number]), [number]), numbers=[number]).select(*FOUND)
+        return findings(with_hits(parsed(files, needs_facts([number]), numbers=[number], asked=parts_of([number])), [number]), numbers=[number]).select(*FOUND)
 
     run.__doc__ = f"Findings of rule {number} in its corpus."
     return run

@@ -276,3 +276,29 @@ def test_paths_of_any_length():
     chain = [(k, k + 1) for k in range(40)]
     assert len(reached(chain)) == 40 * 41 // 2 and (0, 40) in reached(chain)
     assert set(reached([(1, 2), (2, 1)])) == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_only_what_is_asked_is_looked_for(monkeypatch):
+    """Parts that are asked for are those of the whole analysis, the others stay empty, and no graph is made for them."""
+    from csift.corpus import ALL_CASES
+    from csift.frontend import extract, flow
+    from csift.rules.facts import FROM_PATHS, parts_of
+
+    graphs, usual = [], flow.Graph.__init__
+    monkeypatch.setattr(flow.Graph, "__init__", lambda self, *given: graphs.append(1) or usual(self, *given))
+    for rule, _, source in ALL_CASES:
+        text = source.replace("@K", "7").replace("@N", "9")
+        clean = re.sub(r"/\*.*?\*/", lambda m: " " * len(m[0]), text)
+        whole, asked = FileFacts(text, clean).row(), parts_of([rule])
+        graphs.clear()
+        row = FileFacts(text, clean, asked=asked).row()
+        assert bool(graphs) <= (rule in extract.ON_PATHS)
+        hits = [[h for h in x["hits"] if h["rule"] == rule] for x in (whole, row)]
+        assert hits[0] == hits[1] and (rule in FROM_PATHS or row["parse_tier"] == extract.PATTERNS or not row["hits"])
+        for part in ("switches", "controls"):
+            assert row[part] == (whole[part] if part in asked else [])
+        for f, g in zip(whole["functions"], row["functions"], strict=True):
+            lists = ("calls", "words", "events", "casts", "sizeofs")
+            assert row["parse_tier"] == extract.PATTERNS or g == {**f, **{x: [] for x in lists if x not in asked}}
+        flowing = FileFacts(text, clean, asked=("flow",)).row()
+        assert all(flowing[x] == whole[x] for x in ("nodes", "edges", "facts"))
