@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from csift.llm import bpe, exact_dedup, mixing, quality, simhash
-from csift.llm.common import shared_folder, table
+from csift.llm.common import drop_folder, shared_folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _drop(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stage's checkpoints go once its table is written, and its table once its successor's is.
 
@@ -74,9 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
                 return out
             out.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
-            _drop(spark, f"{folder}/{k}-work")
+            drop_folder(spark, f"{folder}/{k}-work")
             if k:
-                _drop(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+                drop_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     finally:
         spark.sparkContext.setCheckpointDir(usual)
     return docs

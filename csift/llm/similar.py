@@ -227,7 +227,7 @@ def roots_of(points: DataFrame, compare: Comparison, small: int = SMALL, rounds:
 def joined(roots: DataFrame | None, near: DataFrame) -> DataFrame:
     """(point, root) with the links of near, too."""
     links = near if roots is None else near.union(roots.select("point", "root"))
-    return durable(stars(links).withColumnRenamed("node", "point"))
+    return stars(links).withColumnRenamed("node", "point")
 
 
 def staying(docs: DataFrame, similarity: tuple[int, int], sample: int = SAMPLE, most: int = COMMON, **parameters) -> DataFrame:

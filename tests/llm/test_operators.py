@@ -523,6 +523,13 @@ def test_chains_become_stars(spark):
     assert stars(chain.filter("false")).count() == 0
 
 
+def test_rounds_leave_sizes_as_they_are(spark, capsys):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
+    stars(chain).explain("cost")
+    sizes = re.findall(r"sizeInBytes=([^,)]+)", capsys.readouterr().out)
+    assert sizes and all(re.fullmatch(r"[\d.]+ (B|KiB)", x) for x in sizes), sizes
+
+
 def test_simhash_odd(spark, nothing):
     rows = simhash.near_copies(odd(spark)).collect()
     assert len(rows) == 10
